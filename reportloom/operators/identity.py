@@ -253,14 +253,16 @@ def closure(mapping: DataFrame, seeds: DataFrame) -> DataFrame:
     return mapping.join(touched.select("patient_id").distinct(), "patient_id", "left_semi")
 
 
+def _single(c: str) -> Column:
+    """At most one distinct value: the extremes agree, or there is none."""
+    return F.coalesce(F.min(c) == F.max(c), F.lit(True))
+
+
 def consistency(
     rows: DataFrame, component: str = "component", mpi: str = "mpi", epic: str = "epic_mrn"
 ) -> DataFrame:
     """Per component: does it hold at most one distinct value of each identifier?"""
-    one = [
-        F.coalesce(F.min(c) == F.max(c), F.lit(True)) for c in (mpi, epic)
-    ]
-    return rows.groupBy(component).agg((one[0] & one[1]).alias("consistent"))
+    return rows.groupBy(component).agg((_single(mpi) & _single(epic)).alias("consistent"))
 
 
 def mapping_history(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -284,63 +286,36 @@ def empty_mapping(spark) -> DataFrame:
     )
 
 
-def update_mapping(
+def resolve_batch(
     mapping: DataFrame, reports: DataFrame, null_ids: str = "group"
 ) -> tuple[DataFrame, DataFrame]:
-    """Fold a batch of resolved reports into the mapping: ``(mapping, history)``.
+    """Mapping rows a batch adds or may alter, before and after: ``(old, new)``.
 
-    ``null_ids`` says whether reports without any identifier form one patient
-    (``group``) or one each (``separate``).  A new patient is named after its
-    smallest report; a merge keeps the smallest of the stored names.
+    ``new`` holds the batch's reports and all reports of the stored patients the
+    batch touches; ``old`` holds the stored state of the latter.
     """
-    batch = unmapped(newest_per(reports, REPORT, ["mpi", "epic_mrn"]), mapping).select(
-        REPORT, "mpi", "epic_mrn", _anchor(null_ids).alias("anchor")
-    )
-    batch = cut(batch)
-
-    # Vertices of the batch: its identifiers and the stored patients behind them.
-    ids = (
-        batch.select(F.explode(F.array(_vertex("mpi", "mpi"), _vertex("epic", "epic_mrn"))).alias("vertex"))
-        .unionByName(batch.select(F.col("anchor").alias("vertex")))
-        .filter("vertex IS NOT NULL")
-        .distinct()
+    fresh = unmapped(newest_per(reports, REPORT, ["mpi", "epic_mrn"]), mapping)
+    batch = cut(fresh.select(REPORT, "mpi", "epic_mrn", _anchor(null_ids).alias("anchor")))
+
+    # Vertices of the batch, and the stored patients that own one of them.
+    def id_vertices(*more: Column) -> Column:
+        found = F.array(_vertex("mpi", "mpi"), _vertex("epic", "epic_mrn"), *more)
+        return F.explode(F.array_distinct(F.array_compact(found))).alias("vertex")
+
+    ids = batch.select(id_vertices(F.col("anchor"))).distinct()
+    grouped = F.coalesce("mpi", "epic_mrn").isNull() & F.lit(null_ids == "group")
+    owners = mapping.select("patient_id", id_vertices(F.when(grouped, F.lit(NO_IDS))))
+    touched = cut(owners.join(ids, "vertex", "left_semi").distinct())
+    own = batch.select(
+        F.col("anchor").alias("a"),
+        F.coalesce(_vertex("epic", "epic_mrn"), F.col("anchor")).alias("b"),
     )
-    stored = mapping.select(
-        "patient_id",
-        F.explode(
-            F.filter(
-                F.array(
-                    _vertex("mpi", "mpi"),
-                    _vertex("epic", "epic_mrn"),
-                    F.when(
-                        F.coalesce("mpi", "epic_mrn").isNull() & F.lit(null_ids == "group"),
-                        F.lit(NO_IDS),
-                    ),
-                ),
-                lambda v: v.isNotNull(),
-            )
-        ).alias("vertex"),
-    ).distinct()
-    touched = cut(stored.join(ids, "vertex", "left_semi"))
-    edges = (
-        batch.select(
-            F.col("anchor").alias("a"),
-            F.coalesce(_vertex("epic", "epic_mrn"), F.col("anchor")).alias("b"),
-        )
-        .unionByName(
-            touched.select(F.col("vertex").alias("a"), _vertex("patient", "patient_id").alias("b"))
-        )
-        .distinct()
-    )
-    components = cut(connected_components(edges))
+    stored = touched.select(F.col("vertex").alias("a"), _vertex("patient", "patient_id").alias("b"))
+    components = connected_components(own.unionByName(stored).distinct())
 
     patients = touched.select("patient_id").distinct()
-    patients = cut(
-        patients.join(
-            components,
-            _vertex("patient", "patient_id") == F.col("vertex"),
-        ).select("patient_id", "component")
-    )
+    patients = patients.join(components, _vertex("patient", "patient_id") == F.col("vertex"))
+    affected = mapping.join(patients.select("patient_id", "component"), "patient_id")
     placed = batch.join(components, F.col("anchor") == F.col("vertex")).select(
         F.lit(None).cast("string").alias("patient_id"),
         REPORT,
@@ -349,27 +324,36 @@ def update_mapping(
         F.lit(None).cast("boolean").alias("consistent"),
         "component",
     )
-    affected = mapping.join(patients, "patient_id").select(*MAPPING_COLUMNS, "component")
-    members = affected.unionByName(placed)
+    members = cut(affected.select(*MAPPING_COLUMNS, "component").unionByName(placed))
 
-    names = members.groupBy("component").agg(
-        F.min("patient_id").alias("_stored"), F.min(F.when(F.col("patient_id").isNull(), F.col(REPORT))).alias("_first")
+    first_new = F.min(F.when(F.col("patient_id").isNull(), F.col(REPORT)))
+    verdict = members.groupBy("component").agg(
+        F.coalesce(F.min("patient_id"), F.sha2(first_new, 256)).alias("_id"),
+        (_single("mpi") & _single("epic_mrn")).alias("_ok"),
     )
-    verdict = consistency(members)
-    resolved = (
-        members.join(names, "component")
-        .join(verdict.withColumnRenamed("consistent", "_ok"), "component")
-        .select(
-            F.coalesce("_stored", F.sha2(F.col("_first"), 256)).alias("patient_id"),
-            REPORT,
-            "mpi",
-            "epic_mrn",
-            F.col("_ok").alias("consistent"),
-        )
+    new = members.join(verdict, "component").select(
+        F.col("_id").alias("patient_id"),
+        REPORT,
+        "mpi",
+        "epic_mrn",
+        F.col("_ok").alias("consistent"),
     )
-    untouched = mapping.join(patients.select("patient_id"), "patient_id", "left_anti")
-    updated = cut(untouched.select(*MAPPING_COLUMNS).unionByName(resolved))
-    return updated, mapping_history(affected, resolved)
+    return members.filter(F.col("patient_id").isNotNull()).select(*MAPPING_COLUMNS), new
+
+
+def update_mapping(
+    mapping: DataFrame, reports: DataFrame, null_ids: str = "group"
+) -> tuple[DataFrame, DataFrame]:
+    """Fold a batch of resolved reports into the mapping: ``(mapping, history)``.
+
+    ``null_ids`` says whether reports without any identifier form one patient
+    (``group``) or one each (``separate``).  A new patient is named after its
+    smallest report; a merge keeps the smallest of the stored names.
+    """
+    old, new = resolve_batch(mapping, reports, null_ids)
+    untouched = mapping.join(old.select(REPORT), REPORT, "left_anti")
+    updated = cut(untouched.select(*MAPPING_COLUMNS).unionByName(new))
+    return updated, mapping_history(old, new)
 
 
 def build_mapping(reports: DataFrame, null_ids: str = "group") -> DataFrame:

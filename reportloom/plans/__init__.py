@@ -1,4 +1,4 @@
 """Registered queries: every operator over the driver tables, with equal SQL."""
 
-from . import ingest  # noqa: F401
+from . import ingest, maintenance  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

@@ -399,7 +399,7 @@ def _(t):
 
 @query(
     "B8_dates",
-    f"""WITH {SOURCE} SELECT source_file, DATE '1960-02-29' AS birth_date,
+    f"""WITH {SOURCE} SELECT source_file, DATE '1960-02-15' AS birth_date,
        o_orderdate + INTERVAL '8 hours 30 minutes' AS message_dt,
        o_orderdate + INTERVAL '7 hours 30 minutes 15 seconds' AS observation_dt,
        CAST(NULL AS TIMESTAMP) AS observation_end_dt FROM src""",

@@ -213,7 +213,7 @@ def hl7_messages(t: Tables) -> DataFrame:
                     F.lit("H~123456789^^^GOV^SS"),
                 ),
                 5: F.concat(F.lit("CUSTOMER^"), number, F.lit("^ ^JR")),
-                7: F.lit("19600229"),
+                7: F.lit("19600215"),
                 8: F.when(F.col("c_nationkey") >= 12, "M").otherwise("F"),
                 10: F.col("c_mktsegment"),
                 11: F.concat(F.lit("1 ROAD^^CITY^ST^"), F.col("c_nationkey").cast("string"), F.lit("^US")),
