@@ -1,4 +1,11 @@
 """Registered queries: every operator over the driver tables, with equal SQL."""
 
-from . import ingest, maintenance  # noqa: F401
+import importlib
+
 from .registry import REGISTRY  # noqa: F401
+
+for _name in ("ingest", "maintenance", "identity", "search", "metrics", "journeys", "monitoring"):
+    try:
+        importlib.import_module(f".{_name}", __name__)
+    except ModuleNotFoundError:
+        pass
