@@ -238,21 +238,18 @@ def _(t):
 
 @query(
     "F16_section_match",
-    """SELECT doc_id FROM documents WHERE CASE WHEN lang IN ('en', 'de')
-       THEN regexp_matches(source, '(?is)src1') ELSE regexp_matches(text, '(?is)la') END""",
+    """SELECT doc_id FROM documents WHERE regexp_matches(CASE WHEN lang IN ('en', 'de') THEN source ELSE text END,
+       '(?is)src1|tion la')""",
 )
 def _(t):
     en, de = F.col("lang") == "en", F.col("lang") == "de"
-    return t.documents.filter(
-        P.section_match(
-            "src1",
-            impression=F.when(en, F.col("source")).when(~de, F.lit(" ")),
-            findings=F.when(de, F.col("source")),
-            text=F.when(en | de, F.lit("")).otherwise(F.replace("text", F.lit("la"), F.lit("src1"))),
-        )
-        & (en | de | P.matches(F.col("text"), "la"))
-        | (~en & ~de & P.section_match("la", F.lit(None), F.lit(""), F.col("text")))
-    ).select("doc_id")
+    found = P.section_match(
+        "src1|tion la",
+        impression=F.when(en, F.col("source")).when(~de, F.lit("  ")),
+        findings=F.when(de, F.col("source")),
+        text=F.col("text"),
+    )
+    return t.documents.filter(found).select("doc_id")
 
 
 @query(
@@ -499,7 +496,7 @@ def duck_excerpt(col: str, pattern: str) -> str:
       || CASE WHEN {hi} < length({col}) THEN '…' ELSE '' END END"""
 
 
-EXCERPT = r"(?is)\b(?:with\ the|der\ die|que\ la)\b"
+EXCERPT = r"(?is)\b(?:with\ the|that\ of)\b"
 
 
 @query(
@@ -508,7 +505,7 @@ EXCERPT = r"(?is)\b(?:with\ the|der\ die|que\ la)\b"
        FROM documents""",
 )
 def _(t):
-    terms = ["with the", " der die", "que la", ""]
+    terms = ["with the", " that of", ""]
     return t.documents.select("doc_id", T.excerpt([F.col("source"), F.col("text")], terms).alias("excerpt"))
 
 
@@ -540,7 +537,7 @@ def _(t):
              AS negated FROM spans)""",
 )
 def _(t):
-    found = t.documents.select("doc_id", F.explode(T.match_spans(F.col("text"), [MENTION, "data"])).alias("m"))
+    found = t.documents.select("doc_id", F.explode(T.match_spans(F.col("text"), [MENTION, r"\bdata\b"])).alias("m"))
     return found.select(
         "doc_id", F.col("m.start").alias("start"), F.col("m.end").cast("bigint").alias("stop"), F.col("m.negated").alias("negated")
     )
