@@ -221,15 +221,21 @@ def patient_id_value(ids: Column | str, key: str) -> Column:
 
 
 def parse_hl7_date(c: Column | str) -> Column:
-    """Date of the first eight characters; NULL when invalid."""
-    return F.try_to_date(F.substring(_col(c), 1, 8), "yyyyMMdd")
+    """Date of the first eight characters; NULL when invalid.
+
+    Digits are tested first: a failing parse costs an exception per row.
+    """
+    day = F.substring(_col(c), 1, 8)
+    return F.when(day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd"))
 
 
 def parse_hl7_ts(c: Column | str) -> Column:
     """Timestamp of ``yyyyMMddHHmm[ss]``; NULL when invalid."""
     c = _col(c)
     padded = F.when(F.length(c) == 12, F.concat(c, F.lit("00"))).otherwise(c)
-    return F.try_to_timestamp(padded, F.lit("yyyyMMddHHmmss"))
+    return F.when(
+        c.rlike(r"^\d{12}(\d\d)?$"), F.try_to_timestamp(padded, F.lit("yyyyMMddHHmmss"))
+    )
 
 
 def observation_text(fields: Column) -> Column:

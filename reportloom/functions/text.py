@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .predicates import any_of, literal
 
@@ -311,25 +314,55 @@ def matched_diagnoses(
     )
 
 
+SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+
+
+def _lowered(text: str) -> str:
+    """Lower case without ever changing the length."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _locate(text: str | None, snippet: str | None) -> tuple[int | None, int | None]:
+    if text is None or snippet is None or len(snippet.strip()) < 5:
+        return None, None
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    starts, at = [], 0
+    for low, high in words:
+        starts.append(at)
+        at += high - low + 1
+    flat = _lowered(" ".join(text[low:high] for low, high in words))
+    wanted = _lowered(" ".join(snippet.split()))
+    found = flat.find(wanted)
+    if found < 0:
+        return None, None
+
+    def original(position: int) -> int:
+        word = bisect_right(starts, position) - 1
+        return words[word][0] + position - starts[word]
+
+    return original(found), original(found + len(wanted) - 1) + 1
+
+
+@F.pandas_udf(SPAN)
+def _locate_all(text: pd.Series, snippet: pd.Series) -> pd.DataFrame:
+    spans = [_locate(a, b) for a, b in zip(text, snippet)]
+    return pd.DataFrame(spans, columns=["start", "end"]).astype("Int32")
+
+
 def locate_snippet(c: Column, snippet: Column) -> Column:
-    """Where a snippet lies in the text, whatever the white space between words.
+    """Where a snippet lies in the text, whatever the case and the white space between words.
 
     ``struct<start, end>`` with 0-based offsets, end exclusive; NULL when the
-    snippet is shorter than five characters or absent.  The words of the snippet
-    are quoted and joined by a white-space pattern, so offsets refer to the
-    original text directly.
+    snippet is shorter than five characters or absent.  Mapping offsets back
+    through collapsed white space has no built-in form, and a pattern as long as
+    the snippet would exhaust the regular expression engine, so this is an Arrow
+    batch function, linear in the text.
     """
-    words = F.regexp_replace(F.btrim(snippet, F.lit(_WHITESPACE)), r"\s+", " ")
-    quoted = F.replace(words, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    pattern = F.concat(
-        F.lit("(?iu)\\Q"), F.replace(quoted, F.lit(" "), F.lit("\\E\\s+\\Q")), F.lit("\\E")
-    )
-    start = F.regexp_instr(c, pattern) - F.lit(1)
-    end = start + F.length(F.regexp_substr(c, pattern))
-    long_enough = F.length(F.btrim(snippet, F.lit(_WHITESPACE))) >= 5
-    return F.when(
-        long_enough & (start >= 0), F.struct(start.alias("start"), end.alias("end"))
-    )
+    found = _locate_all(c, snippet)
+    return F.when(found["start"].isNotNull(), found)
 
 
 def finding_category(c: Column) -> Column:

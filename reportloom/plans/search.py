@@ -53,7 +53,7 @@ def _(t):
        OR contains(lower(text), 'c++') OR contains(lower(text), 'data')""",
 )
 def _(t):
-    return t.documents.filter(P.text_terms(F.col("text"), "the.{0,20}license\n c++ \n\nData")).select("doc_id")
+    return t.texts.filter(P.text_terms(F.col("text"), "the.{0,20}license\n c++ \n\nData")).select("doc_id")
 
 
 COHORT_SQL = f"""WITH {EXAMS} SELECT DISTINCT patient_id, modality, sending_facility, sex FROM exams
@@ -195,7 +195,7 @@ MENTION = r"licen[sc]e|\bdata\b|ich thon|ion onth"
        FROM pieces""",
 )
 def _(t):
-    return t.documents.select("doc_id", T.positive_mention(F.col("text"), [MENTION, "("]).alias("positive"))
+    return t.texts.select("doc_id", T.positive_mention(F.col("text"), [MENTION, "("]).alias("positive"))
 
 
 @query(
@@ -205,7 +205,7 @@ def _(t):
 )
 def _(t):
     # A word that occurs thousands of times in a long text, negated by the word before it.
-    return t.documents.select(
+    return t.texts.select(
         "doc_id",
         T.positive_mention(F.col("text"), [r"\bthe\b"], [r"\bof\s+$"]).alias("positive"),
     )
@@ -219,7 +219,7 @@ def _(t):
          has_strong_indicator OR positive AS included_in_cohort FROM f""",
 )
 def _(t):
-    docs = t.documents.withColumn("diagnoses", diagnosis_array((F.col("lang"), F.col("source"))))
+    docs = t.texts.withColumn("diagnoses", diagnosis_array((F.col("lang"), F.col("source"))))
     return K.flag_inclusion(docs, ["de"], [MENTION], "text").select(
         "doc_id", "has_strong_indicator", "has_positive_mention", "included_in_cohort"
     )
@@ -233,7 +233,7 @@ def _(t):
 )
 def _(t):
     text = F.col("text")
-    return t.documents.filter(P.matches(text, "license") & P.unnegated(text, "license")).select("doc_id")
+    return t.texts.filter(P.matches(text, "license") & P.unnegated(text, "license")).select("doc_id")
 
 
 @query(
@@ -249,7 +249,7 @@ def _(t):
         findings=F.when(de, F.col("source")),
         text=F.col("text"),
     )
-    return t.documents.filter(found).select("doc_id")
+    return t.texts.filter(found).select("doc_id")
 
 
 @query(
@@ -259,7 +259,7 @@ def _(t):
        OR regexp_matches(text, '(?is)the.{0,15}data')""",
 )
 def _(t):
-    return t.documents.filter(P.matches(F.col("text"), P.near("the", "thousand|data", 15))).select("doc_id")
+    return t.texts.filter(P.matches(F.col("text"), P.near("the", "thousand|data", 15))).select("doc_id")
 
 
 @query(
@@ -416,7 +416,7 @@ def scored(t):
         F.lit("A, pirads "),
         (n % 5 + 1).cast("string"),
     )
-    return t.documents.select("doc_id", "source", F.concat("text", tail).alias("text"))
+    return t.texts.select("doc_id", "source", F.concat("text", tail).alias("text"))
 
 
 SCORED = """scored AS (
@@ -506,7 +506,7 @@ EXCERPT = r"(?is)\b(?:with\ the|that\ of)\b"
 )
 def _(t):
     terms = ["with the", " that of", ""]
-    return t.documents.select("doc_id", T.excerpt([F.col("source"), F.col("text")], terms).alias("excerpt"))
+    return t.texts.select("doc_id", T.excerpt([F.col("source"), F.col("text")], terms).alias("excerpt"))
 
 
 @query(
@@ -537,7 +537,7 @@ def _(t):
              AS negated FROM spans)""",
 )
 def _(t):
-    found = t.documents.select("doc_id", F.explode(T.match_spans(F.col("text"), [MENTION, r"\bdata\b"])).alias("m"))
+    found = t.texts.select("doc_id", F.explode(T.match_spans(F.col("text"), [MENTION, r"\bdata\b"])).alias("m"))
     return found.select(
         "doc_id", F.col("m.start").alias("start"), F.col("m.end").cast("bigint").alias("stop"), F.col("m.negated").alias("negated")
     )
@@ -553,7 +553,7 @@ def _(t):
     # The whole text with its white space changed is found at its own place.
     snippet = F.concat(F.lit("  "), F.regexp_replace("text", r"\s+", " \n "))
     return (
-        t.documents.select("doc_id", T.locate_snippet(F.col("text"), snippet).alias("m"))
+        t.texts.select("doc_id", T.locate_snippet(F.col("text"), snippet).alias("m"))
         .filter("m IS NOT NULL")
         .select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("stop"))
     )

@@ -119,6 +119,64 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     )
 
 
+def _enter_blocks(tagged: DataFrame) -> DataFrame:
+    """``log_path, block, entry, opened_before``: the state each block is entered with.
+
+    A block lies in one scan task, so its tag lines are gathered before the
+    shuffle and only one small row per block moves.  The tags are folded for both
+    possible states at the start of the block; the blocks of a file are then
+    chained, which settles the state and the number of frames opened so far.
+    """
+    tags = F.array_sort(
+        F.collect_list(
+            F.when(
+                F.col("swap") | F.col("set_to").isNotNull(), F.struct("pos", "swap", "set_to")
+            )
+        )
+    )
+
+    def run(start: int) -> Column:
+        def step(state: Column, tag: Column) -> Column:
+            after = F.when(tag["swap"], 1 - state["inside"]).otherwise(tag["set_to"])
+            opens = ((state["inside"] == 0) & (after == 1)).cast("bigint")
+            return F.struct(after.alias("inside"), (state["opened"] + opens).alias("opened"))
+
+        first = F.struct(F.lit(start).alias("inside"), F.lit(0).cast("bigint").alias("opened"))
+        return F.aggregate("tags", first, step)
+
+    blocks = (
+        tagged.groupBy("log_path", "block")
+        .agg(tags.alias("tags"))
+        .select("log_path", "block", run(0).alias("from_out"), run(1).alias("from_in"))
+    )
+    entry_type = "array<struct<block:bigint,entry:int,opened_before:bigint>>"
+
+    def chain(state: Column, block: Column) -> Column:
+        taken = F.when(state["inside"] == 1, block["from_in"]).otherwise(block["from_out"])
+        entry = F.struct(
+            block["block"].alias("block"),
+            state["inside"].alias("entry"),
+            state["opened"].alias("opened_before"),
+        )
+        return F.struct(
+            taken["inside"].alias("inside"),
+            (state["opened"] + taken["opened"]).alias("opened"),
+            F.concat(state["entries"], F.array(entry)).cast(entry_type).alias("entries"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("inside"),
+        F.lit(0).cast("bigint").alias("opened"),
+        F.array().cast(entry_type).alias("entries"),
+    )
+    files = blocks.groupBy("log_path").agg(
+        F.array_sort(F.collect_list(F.struct("block", "from_out", "from_in"))).alias("blocks")
+    )
+    return files.select(
+        "log_path", F.inline(F.aggregate("blocks", start, chain, lambda state: state["entries"]))
+    )
+
+
 def split_frames(lines: DataFrame) -> DataFrame:
     """Messages as ``log_path, message_number, lines`` from ordered log lines.
 
@@ -126,90 +184,41 @@ def split_frames(lines: DataFrame) -> DataFrame:
     to and including one holding ``<EB>``, whose tag is removed.  A frame that
     never closes ends with its file.  Anything outside frames is noise.
 
-    A line's effect on the open/closed state is one of: none, open, close, or
-    swap (both tags on one line).  ``swaps`` counts parity and ``base`` holds the
-    last absolute state corrected by the parity at that point, so the state after
-    any line is ``base xor parity`` and two scans compose by their summaries.
+    A line leaves the open/closed state alone, sets it, or swaps it (both tags on
+    one line).  Inside a block the state after a line is the last value set,
+    turned once per swap since; the state a block starts with is known from
+    ``_enter_blocks``.
     """
     starts, ends = F.contains("line", F.lit("<SB>")), F.contains("line", F.lit("<EB>"))
-    flagged = lines.select(
+    tagged = lines.select(
         "log_path",
         "block",
         "pos",
         "line",
-        (starts & ends).cast("int").alias("swap"),
+        (starts & ends).alias("swap"),
         F.when(starts & ~ends, F.lit(1)).when(ends & ~starts, F.lit(0)).alias("set_to"),
     )
+    entered = _enter_blocks(tagged.drop("line"))
+
     block = Window.partitionBy("log_path", "block").orderBy("pos")
     so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = flagged.withColumn("swaps", F.sum("swap").over(so_far)).withColumn(
-        "base",
-        F.last((F.col("set_to") + F.col("swaps")) % 2, ignorenulls=True).over(so_far),
-    )
-
-    # One row per block: its net effect on the state it is entered with.
-    effects = scanned.groupBy("log_path", "block").agg(
-        F.max("swaps").alias("block_swaps"),
-        F.max_by("base", "pos").alias("block_base"),
-    )
-    earlier = (
-        Window.partitionBy("log_path")
-        .orderBy("block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    upto = Window.partitionBy("log_path").orderBy("block")
-    entered = (
-        effects.withColumn(
-            "swaps_before", F.coalesce(F.sum("block_swaps").over(earlier), F.lit(0))
-        )
-        # The absolute state set inside a block, moved to the file's parity origin.
+    swaps = F.sum(F.col("swap").cast("int")).over(so_far)
+    states = (
+        tagged.join(entered, ["log_path", "block"])
+        .withColumn("swaps", swaps)
         .withColumn(
-            "file_base",
-            F.last(
-                (F.col("block_base") + F.col("swaps_before")) % 2, ignorenulls=True
-            ).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-        .withColumn("entry_base", F.coalesce(F.lag("file_base").over(upto), F.lit(0)))
-        .select(
-            "log_path",
-            "block",
-            ((F.col("entry_base") + F.col("swaps_before")) % 2).alias("entry"),
+            "base", F.last((F.col("set_to") + F.col("swaps")) % 2, ignorenulls=True).over(so_far)
         )
-    )
-
-    after = F.when(F.col("base").isNotNull(), (F.col("base") + F.col("swaps")) % 2).otherwise(
-        (F.col("entry") + F.col("swaps")) % 2
-    )
-    states = (
-        scanned.join(entered, ["log_path", "block"])
-        .withColumn("after", after)
+        .withColumn("after", (F.coalesce("base", "entry") + F.col("swaps")) % 2)
         .withColumn("before", F.coalesce(F.lag("after").over(block), F.col("entry")))
         .withColumn("opens", ((F.col("before") == 0) & (F.col("after") == 1)).cast("int"))
-        .withColumn("opened", F.sum("opens").over(so_far))
-    )
-    opened_before = (
-        states.groupBy("log_path", "block")
-        .agg(F.max("opened").alias("block_opened"))
-        .withColumn("opened_before", F.coalesce(F.sum("block_opened").over(earlier), F.lit(0)))
-        .select("log_path", "block", "opened_before")
+        .withColumn("opened", F.col("opened_before") + F.sum("opens").over(so_far))
     )
-    inside = (
-        states.filter((F.col("before") == 1) | (F.col("opens") == 1))
-        .join(opened_before, ["log_path", "block"])
-        .select(
-            "log_path",
-            (F.col("opened_before") + F.col("opened") - 1).alias("message_number"),
-            F.when(
-                F.col("opens") == 0,
-                F.struct(
-                    "block",
-                    "pos",
-                    F.replace(
-                        F.regexp_replace("line", "<R>$", ""), F.lit("<EB>"), F.lit("")
-                    ).alias("line"),
-                ),
-            ).alias("entry"),
-        )
+    kept = F.replace(F.regexp_replace("line", "<R>$", ""), F.lit("<EB>"), F.lit(""))
+    inside = states.filter((F.col("before") == 1) | (F.col("opens") == 1)).select(
+        "log_path",
+        (F.col("opened") - 1).alias("message_number"),
+        F.when(F.col("opens") == 0, F.struct("block", "pos", kept.alias("line"))).alias("entry"),
     )
     return inside.groupBy("log_path", "message_number").agg(
         F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["line"]).alias("lines")
