@@ -251,7 +251,8 @@ def bursts(
 ) -> DataFrame:
     """Patients with ``k`` rows within ``months`` full months.
 
-    ``patient, burst_first, burst_last``: the earliest such burst.
+    ``patient, burst_first, burst_last``: the earliest such burst, the shortest
+    one where several start together.
     """
     dated = df.select(patient, ts, *tiebreak)
     ahead = with_neighbours(
@@ -261,7 +262,10 @@ def bursts(
     return (
         ahead.filter(span <= months)
         .groupBy(patient)
-        .agg(F.min(ts).alias("burst_first"), F.min_by("_kth", ts).alias("burst_last"))
+        .agg(
+            F.min(ts).alias("burst_first"),
+            F.min_by("_kth", F.struct(ts, "_kth")).alias("burst_last"),
+        )
     )
 
 

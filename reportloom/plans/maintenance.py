@@ -306,51 +306,38 @@ def _(t):
 
 
 CASCADE_SQL = f"""WITH {BASE}, good AS (SELECT * FROM final WHERE trim(accession) <> '')
-SELECT 'reports' AS tbl, count(*) AS n FROM base
-UNION ALL SELECT 'reports_curated', count(*) FROM good
-UNION ALL SELECT 'reports_latest', count(*) FROM good
-UNION ALL SELECT 'reports_dx', 2 * count(*) FROM good
-UNION ALL SELECT 'reports_report_patient_mapping', count(*) FROM good
-UNION ALL SELECT 'commits_of_a_repeat', CAST(0 AS BIGINT)"""
-
-
-def run_tables(t):
-    """Ingest all reports in two batches, then the first again, and follow the changes."""
-    tables = ReportTables(t.spark, scratch_path(t.spark, "tables"), buckets=8)
-    reports = base_reports(t)
-    early = reports.filter("year < 1998")
-    tables.ingest(0, early)
-    tables.refresh()
-    tables.ingest(1, reports.filter("year >= 1998"))
-    repeated = tables.ingest(2, early)
-    tables.refresh()
-    return tables, repeated
+SELECT 'reports' AS tbl, report AS k, version_id AS v FROM base
+UNION ALL SELECT 'reports_curated', report, primary_id FROM good
+UNION ALL SELECT 'reports_latest', accession, report FROM good
+UNION ALL SELECT 'reports_dx', report || '_0', o_orderpriority FROM good
+UNION ALL SELECT 'reports_dx', report || '_1', 'N' || c_nationkey FROM good
+UNION ALL SELECT 'reports_report_patient_mapping', report, patient_mpi FROM good"""
 
 
 @query("C10_run_cascade", CASCADE_SQL)
 def _(t):
-    tables, repeated = run_tables(t)
-    named = {
-        "reports": tables.base,
-        "reports_curated": tables.curated,
-        "reports_latest": tables.latest,
-        "reports_dx": tables.dx,
-        "reports_report_patient_mapping": tables.mapping,
-    }
-    out = t.spark.range(1).select(
-        F.lit("commits_of_a_repeat").alias("tbl"), F.lit(int(repeated)).cast("bigint").alias("n")
+    tables = ReportTables(t.spark, scratch_path(t.spark, "tables"), buckets=4)
+    tables.ingest(0, base_reports(t))
+    tables.refresh()
+    shown = (
+        ("reports", tables.base, "source_file", "version_id"),
+        ("reports_curated", tables.curated, "primary_report_identifier", "primary_patient_identifier"),
+        ("reports_latest", tables.latest, "accession_number", "primary_report_identifier"),
+        ("reports_dx", tables.dx, "diagnosis_id", "diagnosis_code"),
+        ("reports_report_patient_mapping", tables.mapping, "primary_report_identifier", "mpi"),
     )
-    for name, table in named.items():
-        out = out.unionByName(
-            table.read().agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
-        )
+    out = None
+    for name, table, key, value in shown:
+        part = table.read().select(F.lit(name).alias("tbl"), F.col(key).alias("k"), F.col(value).alias("v"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 @query(
     "C11_derivative_tables",
-    """SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-       ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
+    """SELECT o_custkey, o_orderkey, o_orderdate, (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
+       AS second_commit FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+         ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
 )
 def _(t):
     root = scratch_path(t.spark, "dag")
@@ -366,9 +353,13 @@ def _(t):
         newest.upsert(version, incoming.drop("key"), "s.o_orderdate > t.o_orderdate")
 
     dag = [Derivative("orders", "orders_newest", keep_newest)]
-    base.upsert(0, orders)
+    base.upsert(0, orders.filter("o_orderdate < '1998-01-01'"))
+    run_cascade(t.spark, root, dag, f"{root}/_checkpoints")
+    # The second batch repeats the first; only what is new becomes a change.
+    base.upsert(1, orders)
     run_cascade(t.spark, root, dag, f"{root}/_checkpoints")
-    return newest.read()
+    second = base.changes().filter("_commit_version = 1").agg(F.count("*").alias("second_commit"))
+    return newest.read().join(F.broadcast(second), how="cross")
 
 
 @query(

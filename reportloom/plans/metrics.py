@@ -168,14 +168,14 @@ def _(t):
 
 @query(
     "H11_reader_metrics",
-    f"""WITH {TIMED} SELECT radiologist, count(*) AS total_reports, round(avg(hours), 6) AS mean_tat,
+    f"""WITH {TIMED} SELECT l_linenumber, count(*) AS total_reports, round(avg(hours), 6) AS mean_tat,
        round(median(hours), 6) AS median_tat, {share('has_addendum')} AS addendum_rate,
        round(avg(length(report_text)), 6) AS avg_length FROM quality WHERE hours IS NOT NULL
-       GROUP BY 1 HAVING count(*) >= 50 ORDER BY 2 DESC, 1 LIMIT 20""",
+       GROUP BY 1 HAVING count(*) >= 5 ORDER BY 2 DESC, 1 LIMIT 4""",
 )
 def _(t):
     return rounded(
-        M.reader_metrics(quality(t)), "mean_tat", "median_tat", "addendum_rate", "avg_length"
+        M.reader_metrics(quality(t), "l_linenumber", 5, 4), "mean_tat", "median_tat", "addendum_rate", "avg_length"
     )
 
 
@@ -705,7 +705,7 @@ def _(t):
 
 
 BURSTS = """burst AS (
-  SELECT patient_id, min(o_orderdate) AS burst_first, min_by(third, o_orderdate) AS burst_last FROM (
+  SELECT patient_id, min(o_orderdate) AS burst_first, min_by(third, CAST(o_orderdate AS VARCHAR) || CAST(third AS VARCHAR)) AS burst_last FROM (
     SELECT o_custkey AS patient_id, o_orderdate,
       lead(o_orderdate, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS third FROM orders)
   WHERE datesub('month', o_orderdate, third) <= 6 GROUP BY 1)"""
