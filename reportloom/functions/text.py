@@ -246,10 +246,18 @@ def extract_scores(c: Column, kind: str) -> Column:
 
 
 def primary_score(scores: Column, kind: str) -> Column:
-    """Highest-risk score of an extracted list; NULL for an empty one."""
+    """Highest-risk score of an extracted list; NULL for an empty one.
+
+    The list is bound to a lambda variable, so an extraction passed in is not
+    evaluated once per candidate.
+    """
     ranked = F.array(*[F.lit(s) for s in SCORE_PRIORITY[kind]])
-    present = F.filter(ranked, lambda s: F.array_contains(scores, s))
-    return F.coalesce(F.get(present, F.lit(0)), F.get(scores, F.lit(0)))
+
+    def best(found: Column) -> Column:
+        present = F.filter(ranked, lambda s: F.array_contains(found, s))
+        return F.coalesce(F.get(present, F.lit(0)), F.get(found, F.lit(0)))
+
+    return F.get(F.transform(F.array(scores), best), F.lit(0))
 
 
 def mentions_score(c: Column, kind: str) -> Column:

@@ -167,11 +167,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each vertex and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    """Link each vertex and its smaller neighbours to the smallest of them.
+
+    ``edges`` run from the larger vertex ``u`` to the smaller ``v``.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = (
-        down.join(low.select(F.col("u").alias("_u"), "m"), F.col("u") == F.col("_u"))
+        edges.join(low.select(F.col("u").alias("_u"), "m"), F.col("u") == F.col("_u"))
         .filter(F.col("v") != F.col("m"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
     )
@@ -189,16 +191,15 @@ def connected_components(
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(
         F.col("u").isNotNull() & F.col("v").isNotNull()
     )
-    vertices = cut(
+    # One undirected edge each; a loop only keeps its vertex.
+    pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    vertices = (
         pairs.select(F.col("u").alias("vertex"))
         .unionByName(pairs.select(F.col("v").alias("vertex")))
         .distinct()
     )
-    current = cut(
-        pairs.filter(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
+    # Contracting once before anything is mirrored thins out dense graphs.
+    current = cut(_small_star(pairs.filter(F.col("u") != F.col("v"))))
     before = _signature(current)
     for _ in range(max_rounds):
         current = cut(_small_star(_large_star(current)))

@@ -26,13 +26,16 @@ PROGRESSION_RANK = {
 
 
 def score_reports(df: DataFrame, kind: str, text: str = "report_text") -> DataFrame:
-    """Reports with at least one score: ``scores`` and ``primary_score``."""
-    found = df.filter(T.mentions_score(F.col(text), kind)).withColumn(
-        "scores", T.extract_scores(F.col(text), kind)
-    )
-    return found.withColumn("primary_score", T.primary_score(F.col("scores"), kind)).filter(
-        F.col("primary_score").isNotNull()
+    """Reports with at least one score: ``scores`` and ``primary_score``.
+
+    The list is produced by a generator that drops empty ones.  A filter on a
+    computed list would be pushed below the projection and extract twice.
+    """
+    extracted = F.array(F.struct(T.extract_scores(F.col(text), kind).alias("scores")))
+    found = df.filter(T.mentions_score(F.col(text), kind)).select(
+        "*", F.inline(F.filter(extracted, lambda r: F.size(r["scores"]) > 0))
     )
+    return found.withColumn("primary_score", T.primary_score(F.col("scores"), kind))
 
 
 def severity(score: Column, kind: str) -> Column:

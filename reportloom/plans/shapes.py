@@ -52,9 +52,10 @@ EXAMS = """exams AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def timed(t: Tables) -> DataFrame:
+def timed(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     """Line items as timed reports: ordered, shipped, read by a supplier."""
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines = t.lineitem if lines is None else lines
+    return lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",
