@@ -17,6 +17,8 @@ from .windows import newest_per
 CONTENT_HASH = "content_hash"
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 UPSERTS = ("insert", "update_postimage")
+# Most partition values that become literals of a pruning filter.
+MAX_PRUNED = 1000
 
 # Serialisation the content hash is defined over.
 _HASH_JSON = {
@@ -46,15 +48,17 @@ def drop_unchanged(
 ) -> DataFrame:
     """Rows whose key, partition and hash are not all present already.
 
-    The stored side is limited to the partitions the batch touches by a semi
-    join, which Spark turns into partition pruning.  A NULL partition value or a
-    NULL stored hash never counts as unchanged.
+    The stored side is limited to the partitions the batch touches.  These are
+    years, so a short list of literals, which prunes the scan; a batch that
+    touches more than ``MAX_PRUNED`` of them reads the whole table.  A NULL
+    partition value or a NULL stored hash never counts as unchanged.
     """
     columns = [key, CONTENT_HASH] + ([partition] if partition else [])
     known = existing.select(*columns)
     if partition:
-        touched = df.select(partition).distinct()
-        known = known.join(F.broadcast(touched), partition, "left_semi")
+        touched = [r[0] for r in df.select(partition).distinct().limit(MAX_PRUNED + 1).collect()]
+        if len(touched) <= MAX_PRUNED:
+            known = known.filter(F.col(partition).isin([v for v in touched if v is not None]))
     known = known.select(*[F.col(c).alias(f"_old_{c}") for c in columns])
     same = F.col(key) == F.col(f"_old_{key}")
     if partition:

@@ -353,7 +353,7 @@ def update_mapping(
     """
     old, new = resolve_batch(mapping, reports, null_ids)
     untouched = mapping.join(old.select(REPORT), REPORT, "left_anti")
-    updated = cut(untouched.select(*MAPPING_COLUMNS).unionByName(new))
+    updated = untouched.select(*MAPPING_COLUMNS).unionByName(new)
     return updated, mapping_history(old, new)
 
 

@@ -274,8 +274,9 @@ def quality_summary(
         pct(count_true(F.col("has_findings")), total).alias("findings_pct"),
         pct(count_true(F.col("has_impression")), total).alias("impression_pct"),
     )
-    # Both sides are global aggregates, one row each.
-    return rest.join(F.broadcast(spread), how="cross")
+    # One row, read as a scalar subquery.
+    times = spread.select(F.struct("mean_hours", "median_hours", "p90_hours")).scalar()
+    return rest.withColumn("_t", times).select("*", "_t.*").drop("_t")
 
 
 def _timed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -295,12 +296,11 @@ def tat_by(df: DataFrame, by: str, min_count: int = MIN_GROUP) -> DataFrame:
 def tat_trend(df: DataFrame, max_daily_span: int = MAX_DAILY_SPAN) -> DataFrame:
     """Turnaround per day, or per week when the data spans more days than given."""
     timed = _timed(df, [])
-    span = timed.agg(
-        (F.date_diff(F.max("report_date"), F.min("report_date")) <= max_daily_span).alias("_daily")
-    )
-    # The span is a global aggregate, one row.
-    dated = timed.join(F.broadcast(span), how="cross").withColumn(
-        "x", F.when(F.col("_daily"), F.col("report_date")).otherwise(F.col("report_week"))
+    daily = timed.agg(
+        F.date_diff(F.max("report_date"), F.min("report_date")) <= max_daily_span
+    ).scalar()
+    dated = timed.withColumn(
+        "x", F.when(daily, F.col("report_date")).otherwise(F.col("report_week"))
     )
     return _hours(dated, {"median_hours": 0.5, "p90_hours": 0.9}, "x", count="n").orderBy("x")
 

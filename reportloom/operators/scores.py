@@ -62,16 +62,14 @@ def score_distribution(
         known = df.filter(F.col(patient).isNotNull())
         exploded = known.select(F.explode(scores).alias("score"), patient)
         counted = exploded.groupBy("score").agg(F.count_distinct(patient).alias("n"))
-        total = known.agg(F.count_distinct(patient).alias("_total"))
+        total = known.agg(F.count_distinct(patient))
     else:
         exploded = df.select(F.explode(scores).alias("score"))
         counted = exploded.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-        total = counted.agg(F.sum("n").alias("_total"))
-    # The total is a single row.
-    return (
-        counted.join(F.broadcast(total), how="cross")
-        .select("score", "n", F.round(pct(F.col("n"), F.col("_total")), 1).alias("percentage"))
-        .orderBy(severity(F.col("score"), kind), "score")
+        total = counted.agg(F.sum("n"))
+    share = F.round(pct(F.col("n"), total.scalar()), 1)
+    return counted.select("score", "n", share.alias("percentage")).orderBy(
+        severity(F.col("score"), kind), "score"
     )
 
 
@@ -126,23 +124,21 @@ def patient_stats(
     newest = newest_per_patient(df, patient, ts, tiebreak)
     ages = newest.groupBy(age).agg(F.count(F.lit(1)).alias("_freq"))
     # Ages are few; the median is taken over counts.
-    middle = ages.agg(F.percentile(F.col(age), F.lit(0.5), F.col("_freq")).alias("median_age"))
+    middle = ages.agg(F.percentile(F.col(age), F.lit(0.5), F.col("_freq")))
     base = newest.agg(
         F.count(patient).alias("patients"),
         F.avg(age).alias("mean_age"),
         F.stddev_samp(age).alias("std_age"),
     )
-    return base.join(middle, how="cross")
+    return base.withColumn("median_age", middle.scalar())
 
 
 def share_of(df: DataFrame, c: str) -> DataFrame:
     """Count and percentage per value of a column, NULLs left out."""
     known = df.filter(F.col(c).isNotNull())
     counted = known.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    total = F.broadcast(counted.agg(F.sum("n").alias("_total")))
-    return counted.join(total, how="cross").select(
-        c, "n", pct(F.col("n"), F.col("_total")).alias("percentage")
-    )
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.select(c, "n", pct(F.col("n"), total).alias("percentage"))
 
 
 def score_trend(

@@ -115,8 +115,7 @@ def _(t):
     framed.write.option("extension", "log").option("sep", "\x01").option("quote", "").option(
         "ignoreLeadingWhiteSpace", False
     ).csv(path)
-    found = [r["log_path"] for r in logs.discover_logs(t.spark, path).collect()]
-    split = logs.split_frames(logs.read_log_lines(t.spark, found))
+    split = logs.read_discovered_logs(t.spark, path, logs.discover_logs(t.spark, path))
     facility = hl7.component(hl7.header(F.get("lines", F.lit(0))), 4)
     return split.groupBy(facility.alias("sending_facility")).agg(F.count("*").alias("n"))
 
@@ -492,12 +491,13 @@ def _(t):
        o_orderdate + INTERVAL '7 hours' AS requested_dt, o_orderdate + INTERVAL '9 hours' AS changed_dt,
        CAST(year(o_orderdate) AS INTEGER) AS year, cust AS epic_mrn, 'JANE ROE' AS ordering_provider,
        'ANN GRAY' AS principal_result_interpreter, 'BO POE;CY DOE' AS assistants,
-       CASE left(o_orderpriority, 1) WHEN '1' THEN 'CT' WHEN '2' THEN 'MR' END AS modality FROM src""",
+       r_name AS modality FROM src LEFT JOIN region ON 'X' || (r_regionkey + 2) = 'X' || left(o_orderpriority, 1)""",
 )
 def _(t):
-    codes = t.region.filter("r_regionkey < 2").select(
-        F.concat(F.lit("X"), (F.col("r_regionkey") + 1).cast("string")).alias("service_identifier"),
-        F.when(F.col("r_regionkey") == 0, "CT").otherwise("MR").alias("modality"),
+    # Codes X2 to X6: messages with X1 have no modality, X6 occurs in none.
+    codes = t.region.select(
+        F.concat(F.lit("X"), (F.col("r_regionkey") + 2).cast("string")).alias("service_identifier"),
+        F.col("r_name").alias("modality"),
     )
     r = curate.build_reports(parsed(t), codes)
     return r.select(

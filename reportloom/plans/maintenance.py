@@ -358,8 +358,8 @@ def _(t):
     # The second batch repeats the first; only what is new becomes a change.
     base.upsert(1, orders)
     run_cascade(t.spark, root, dag, f"{root}/_checkpoints")
-    second = base.changes().filter("_commit_version = 1").agg(F.count("*").alias("second_commit"))
-    return newest.read().join(F.broadcast(second), how="cross")
+    second = base.changes().filter("_commit_version = 1").agg(F.count("*"))
+    return newest.read().withColumn("second_commit", second.scalar())
 
 
 @query(
@@ -494,8 +494,8 @@ def _(t):
 def _(t):
     lines = keyed_lines(t)
     kept = C.require_key(lines, "accession").agg(F.count("*").alias("kept"))
-    total = lines.agg(F.count("*").alias("total"))
-    return kept.join(total, how="cross").select("kept", (F.col("total") - F.col("kept")).alias("dropped"))
+    total = lines.agg(F.count("*")).scalar()
+    return kept.withColumn("dropped", total - F.col("kept"))
 
 
 @query(

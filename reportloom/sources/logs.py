@@ -230,6 +230,23 @@ def read_message_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     return split_frames(read_log_lines(spark, paths)).withColumn("log_date", log_date("log_path"))
 
 
+def same_path(path: Column | str) -> Column:
+    """Path with one spelling of its scheme; sources differ in the slashes after it."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.regexp_replace(path, r"^(\w+):/+", "$1:/")
+
+
+def read_discovered_logs(
+    spark: SparkSession, root: str | Sequence[str], found: DataFrame
+) -> DataFrame:
+    """Messages of the ``found`` logs below ``root``; the list stays on the executors."""
+    listed = found.select(same_path("log_path").alias("_path")).distinct()
+    lines = read_log_lines(spark, root).join(
+        listed, same_path("log_path") == F.col("_path"), "left_semi"
+    )
+    return split_frames(lines).withColumn("log_date", log_date("log_path"))
+
+
 def validate_messages(
     messages: DataFrame, logs: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -247,11 +264,11 @@ def validate_messages(
         F.lit(EMPTY_MESSAGE).alias("error_message"),
     )
     if logs is not None:
-        framed = messages.select("log_path").distinct()
+        framed = messages.select(same_path("log_path").alias("_path")).distinct()
         errors = errors.unionByName(
             logs.select("log_path")
             .distinct()
-            .join(framed, "log_path", "left_anti")
+            .join(framed, same_path("log_path") == F.col("_path"), "left_anti")
             .select(
                 F.col("log_path").alias("file_path"),
                 F.lit("Log").alias("type"),

@@ -99,9 +99,8 @@ def test_log_files(spark, tmp_path):
     (tmp_path / "sub" / "20240105.log").write_text("nothing here\n")
     (tmp_path / "20240106.txt").write_text("<SB>\nMSH\n<EB>\n")
     found = logs.discover_logs(spark, str(tmp_path), "2024-01-05")
-    paths = [r["log_path"] for r in found.collect()]
-    assert len(paths) == 2
-    messages = logs.read_message_logs(spark, paths)
+    assert found.count() == 2
+    messages = logs.read_discovered_logs(spark, str(tmp_path), found)
     ok, errors = logs.validate_messages(messages, found)
     good = ok.collect()
     assert [(r["message_number"], list(r["lines"])) for r in good] == [(0, ["MSH|±60%÷", "PID|1", ""])]
