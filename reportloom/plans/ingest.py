@@ -499,7 +499,8 @@ def _(t):
         F.concat(F.lit("X"), (F.col("r_regionkey") + 2).cast("string")).alias("service_identifier"),
         F.col("r_name").alias("modality"),
     )
-    r = curate.build_reports(parsed(t), codes)
+    # The identifier columns are known, so no job is needed to discover them.
+    r = curate.build_reports(parsed(t), codes, id_keys=["epic_mrn"])
     return r.select(
         "source_file", "message_control_id", "sending_facility", "mpi", "sex", "race", "patient_class",
         "orc_2_placer_order_number", "orc_3_filler_order_number", "obr_3_filler_order_number",
