@@ -384,6 +384,11 @@ def finding_detail(c: Column) -> Column:
     return F.when(at > 0, F.trim(F.substr(c, at + F.lit(1))))
 
 
+def finding_parts(c: Column) -> Column:
+    """``struct<category, detail>`` of a finding."""
+    return F.struct(finding_category(c).alias("category"), finding_detail(c).alias("detail"))
+
+
 def keyword_followup(c: Column) -> Column:
     """Keyword rule: some follow-up phrase occurs; NULL text does not."""
     return F.coalesce(

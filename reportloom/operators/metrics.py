@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import FOLLOWUP_KEYWORDS  # noqa: F401  (public re-export)
 from ..functions.rules import has_text
+from ..functions.text import finding_category
 from .longitudinal import pad_grid
 
 # Longest plausible turnaround in hours, shortest section that
@@ -487,6 +488,25 @@ def detection_trend(
     )
 
 
+def followup_examples(
+    df: DataFrame,
+    n: int = 10_000,
+    ts: str = "message_dt",
+    modality: str = "modality",
+    pred: str = "followup_detected",
+    finding: str = "followup_finding",
+    snippet: str = "followup_snippet",
+    tiebreak: Sequence[str] = (),
+) -> DataFrame:
+    """The newest detected follow-ups that carry a snippet."""
+    shown = df.filter(F.col(pred) & F.col(snippet).isNotNull())
+    return (
+        shown.orderBy(F.desc(ts), *tiebreak)
+        .limit(n)
+        .select(ts, modality, finding_category(F.col(finding)).alias("finding_category"), snippet)
+    )
+
+
 def run_totals(
     df: DataFrame,
     pred: str = "followup_detected",

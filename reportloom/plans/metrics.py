@@ -317,6 +317,17 @@ def _(t):
     return rounded(M.detection_trend(doc_reports(t), grain="day"), "detection_rate")
 
 
+@query(
+    "H20_followup_examples",
+    f"""WITH {DOCS} SELECT message_dt, modality, split_part(followup_finding, ':', 1) AS finding_category,
+       sending_facility AS followup_snippet FROM docs WHERE followup_detected
+       ORDER BY message_dt DESC LIMIT 1000""",
+)
+def _(t):
+    found = doc_reports(t).withColumn("followup_snippet", F.col("sending_facility"))
+    return M.followup_examples(found, 1000)
+
+
 @query(
     "H21_run_summary",
     f"""WITH {DOCS}, e AS (SELECT user_id, count(*) AS c FROM events WHERE event_type = 'error' GROUP BY 1)
@@ -406,6 +417,14 @@ def _(t):
     return scores.crosstab(banded, "modality", "age_group")
 
 
+@query(
+    "H23_top_values",
+    f"""WITH {EXAMS} SELECT race, count(*) AS n FROM exams GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10""",
+)
+def _(t):
+    return scores.top_values(exams(t), "race", 10)
+
+
 @query(
     "H24_patient_stats",
     f"""WITH {EXAMS}, newest AS (SELECT *, row_number() OVER (PARTITION BY patient_id
