@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
+from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,9 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("size") * F.size("shards")).alias("taken"),
         F.explode(F.sequence(F.lit(1), F.col("copies_of"))).alias("row"),
     ).drop("row")
+
+
+@_query
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document by the byte-level vocabulary."""
+    return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
