@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from ..session import scratch_path
+from . import mixing, repair
+from .packing import pack_documents
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +45,18 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document by the byte-level vocabulary."""
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as the method finds."""
+    return pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op7_repair_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as their ids come back from the compressed files."""
+    path = scratch_path(spark, "ids")
+    docs = _table(spark, folder, "documents")
+    repair.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    return repair.read_summary(spark, path)
