@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 LONGEST = 100
 
 # Two blanks that meet, one of them a space or a line break: no cut is safe in there.
@@ -87,18 +87,28 @@ class PieceEncoder:
         if len(known) > REMEMBERED:
             known.clear()
         cut = [self._cut(t) for t in texts]
-        new = {p for pieces in cut if pieces for p in set(pieces) if p not in known}
-        long = {p for p in new if len(p) > LONGEST}
-        new = list(new - long)
-        known.update(zip(new, self._whole(new)))
-        aside = dict(zip(long, self._whole(list(long))))
-        get = known.__getitem__
-        if aside:
-            get = lambda p: known[p] if p in known else aside[p]
-        return [
-            self._whole([text])[0] if pieces is None else b"".join(map(get, pieces))
-            for text, pieces in zip(texts, cut)
-        ]
+        found = [None if pieces is None else list(map(known.get, pieces)) for pieces in cut]
+        new: dict[str, bytes] = {}
+        for pieces, own in zip(cut, found):
+            if own is not None and None in own:
+                new.update((p, b"") for p, ids in zip(pieces, own) if ids is None)
+        names = list(new)
+        new = dict(zip(names, self._whole(names)))
+        known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
+        out = []
+        for text, pieces, own in zip(texts, cut, found):
+            if own is None:
+                out += self._whole([text])
+            elif None in own:
+                out.append(b"".join([new[p] if ids is None else ids for p, ids in zip(pieces, own)]))
+            else:
+                out.append(b"".join(own))
+        return out
+
+    @property
+    def size(self) -> int:
+        """Above every id."""
+        return max(self._library.get_vocab(with_added_tokens=True).values()) + 1
 
 
 @functools.cache
