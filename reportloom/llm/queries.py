@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import mixing, repair
+from . import mixing, repair, secret_scan
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -60,3 +60,16 @@ def op7_repair_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     repair.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
     return repair.read_summary(spark, path)
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document, with a digest of those the patterns give."""
+    spans = F.col("spans")
+    base = secret_scan.of_kind(spans, "assign", "access", "hex")
+    return secret_scan.scan(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        *(F.size(secret_scan.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"),
+        secret_scan.spelled(spans).alias("spans"),
+    )
