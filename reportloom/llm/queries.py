@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import mixing, repair, secret_scan
+from . import language, mixing, repair, secret_scan
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -73,3 +73,18 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"),
         secret_scan.spelled(spans).alias("spans"),
     )
+
+
+def held_out(key: str, folds: int):
+    """Rows whose CRC of the id as text falls into the first of so many folds."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0
+
+
+@_query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from four folds of five."""
+    docs = _table(spark, folder, "documents")
+    model = language.fit(docs, ~held_out("doc_id", 5))
+    return language.predict(docs, model).select(
+        "doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score"
+    )

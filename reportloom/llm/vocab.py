@@ -117,13 +117,15 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def text_groups(batches: Iterable[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of batches of about ``chars`` characters, with their ``text`` column.
+def text_groups(
+    batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 1_000_000
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches of about ``chars`` characters, with their texts, null as empty.
 
     A longer text is a slice of its own, so memory is bounded by the longest text.
     """
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
+        column = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
         if not len(sizes):
             continue
