@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import language, mixing, repair, secret_scan
+from . import jaccard, language, mixing, repair, secret_scan
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -88,3 +88,9 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model).select(
         "doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score"
     )
+
+
+@_query
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, component and links of every document by five-word shingles at 0.75."""
+    return jaccard.join(_table(spark, folder, "documents"))
