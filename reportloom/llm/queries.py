@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, language, mixing, repair, secret_scan
+from . import jaccard, language, lattice, mixing, repair, secret_scan
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -94,3 +94,13 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Class, component and links of every document by five-word shingles at 0.75."""
     return jaccard.join(_table(spark, folder, "documents"))
+
+
+@_query
+def op9_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probabilities of every document, the word counts learned from nine folds of ten."""
+    docs = _table(spark, folder, "documents")
+    scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held_out("doc_id", 10))
+    return scored.select(
+        "doc_id", held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
