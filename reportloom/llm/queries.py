@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, language, lattice, mixing, repair, secret_scan
+from . import chunks, jaccard, language, lattice, mixing, repair, secret_scan
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -104,3 +104,9 @@ def op9_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@_query
+def op4_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, its edited text, and their likeness."""
+    return chunks.compare_with_next(_table(spark, folder, "documents"))
