@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chunks, jaccard, language, lattice, mixing, repair, secret_scan
+from . import chunks, jaccard, language, lattice, mixing, neighbours, repair, secret_scan
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -110,3 +110,9 @@ def op9_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
 def op4_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document, its edited text, and their likeness."""
     return chunks.compare_with_next(_table(spark, folder, "documents"))
+
+
+@_query
+def op5_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors found of every vector whose id is divisible by 50."""
+    return neighbours.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
