@@ -29,36 +29,35 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stage import staged
-from .vocab import encoder, text_groups
+from .vocab import encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def _cut(path: str, capacity: int, end: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, step = encoder(path).ids, 4 * capacity
-    for part, texts in text_groups(batches):
-        rows, piece, length, crc = [], [], [], []
-        for i, ids in enumerate(encode(texts)):
-            ids += end
-            for k, at in enumerate(range(0, len(ids), step)):
-                own = ids[at : at + step]
-                rows.append(i)
-                piece.append(k)
-                length.append(len(own) // 4)
-                crc.append(zlib.crc32(own))
-        piece = np.array(piece, dtype=np.int32)
+def _cut(path: str, capacity: int, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encode = encoder(path).encode
+    for part, texts in text_slices(batches):
+        flat, begins = encode(texts)
+        flat = np.insert(flat, begins[1:], np.uint32(end))  # after each document's last id
+        begins = begins + np.arange(len(begins))
+        counts = -(-np.diff(begins) // capacity)
+        row = np.repeat(np.arange(len(counts)), counts)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = begins[row] + piece * capacity
+        last = np.minimum(first + capacity, begins[row + 1])
+        raw = memoryview(flat.astype("<u4").tobytes())
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), last.tolist())]
         yield pa.RecordBatch.from_arrays(
             [
-                part.column(0).take(pa.array(rows, pa.int64())),
-                pa.array(piece),
-                pa.array(piece.astype(np.int64) * capacity),
-                pa.array(length, pa.int64()),
+                part.column(0).take(pa.array(row)),
+                pa.array(piece.astype(np.int32)),
+                pa.array(piece * capacity),
+                pa.array(last - first),
                 pa.array(crc, pa.int64()),
             ],
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
@@ -70,8 +69,7 @@ def pieces(
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every row."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    end = int(end_id).to_bytes(4, "little")
-    return rows.mapInArrow(functools.partial(_cut, tokenizer, capacity, end), PIECES)
+    return rows.mapInArrow(functools.partial(_cut, tokenizer, capacity, end_id), PIECES)
 
 
 def dearest(price: np.ndarray) -> list[int]:
@@ -82,7 +80,7 @@ def dearest(price: np.ndarray) -> list[int]:
     """
     capacity = len(price) - 1
     best, used = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.flatnonzero(price > 0)
+    lengths = np.flatnonzero(price[1:] > 0) + 1
     for room in range(1, capacity + 1):
         fits = lengths[: np.searchsorted(lengths, room, side="right")]
         if len(fits):

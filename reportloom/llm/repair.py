@@ -28,11 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vocab import encoder, text_groups
+from .vocab import encoder, text_slices
 
 FILE = (
     "part int, shard int, n_ids long, base long, doc_ids array<long>, starts binary, "
@@ -152,10 +151,9 @@ def read_ids(shard, doc: int, begin: int = 0, end: int | None = None) -> np.ndar
     return expand(symbols[a:b], rules, base)[begin - skipped : end - skipped]
 
 
-def _shard(part: int, shard: int, docs: list, ids: list[bytes], base: int, options: dict) -> dict:
-    lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    starts = np.concatenate([[0], np.cumsum(lengths)])
+def _shard(part: int, shard: int, docs: list, lengths: list[np.ndarray], ids: list[np.ndarray], base: int, options: dict) -> dict:
+    flat = np.concatenate(ids)
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
     ends = np.zeros(len(flat), dtype=bool)
     ends[starts[1:] - 1] = True
     symbols, marks, rules, sizes = compress(flat, ends, base, **options)
@@ -181,20 +179,21 @@ _ARROW = pa.schema(
 )
 
 
-def _write(path: str, end: bytes, shard_ids: int, options: dict, batches: Iterator[pa.RecordBatch]):
+def _write(path: str, end: int, shard_ids: int, options: dict, batches: Iterator[pa.RecordBatch]):
     code = encoder(path)
-    base, part, shard, docs, ids, held = code.size, 0, 0, [], [], 0
-    for rows, texts in text_groups(batches):
+    base, part, shard, docs, lengths, ids, held = code.size, 0, 0, [], [], [], 0
+    for rows, texts in text_slices(batches, chars=2 * shard_ids):
         part = rows.column(2)[0].as_py()
-        for doc, own in zip(rows.column(0).to_pylist(), code.ids(texts)):
-            docs.append(doc)
-            ids.append(own + end)
-            held += len(own) // 4 + 1
-            if held >= shard_ids:
-                yield pa.RecordBatch.from_pylist([_shard(part, shard, docs, ids, base, options)], schema=_ARROW)
-                shard, docs, ids, held = shard + 1, [], [], 0
+        flat, begins = code.encode(texts)
+        ids.append(np.insert(flat, begins[1:], np.uint32(end)))  # after each document's last id
+        lengths.append(np.diff(begins) + 1)
+        docs += rows.column(0).to_pylist()
+        held += len(ids[-1])
+        if held >= shard_ids:
+            yield pa.RecordBatch.from_pylist([_shard(part, shard, docs, lengths, ids, base, options)], schema=_ARROW)
+            shard, docs, lengths, ids, held = shard + 1, [], [], [], 0
     if docs:
-        yield pa.RecordBatch.from_pylist([_shard(part, shard, docs, ids, base, options)], schema=_ARROW)
+        yield pa.RecordBatch.from_pylist([_shard(part, shard, docs, lengths, ids, base, options)], schema=_ARROW)
 
 
 def write_ids(
@@ -217,8 +216,7 @@ def write_ids(
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .withColumn("part", F.spark_partition_id())
     )
-    end = int(end_id).to_bytes(4, "little")
-    ordered.mapInArrow(functools.partial(_write, tokenizer, end, shard_ids, options), FILE).write.parquet(path)
+    ordered.mapInArrow(functools.partial(_write, tokenizer, end_id, shard_ids, options), FILE).write.parquet(path)
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,29 +19,23 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - used as pa.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stage import whole_text
-from .vocab import LONGEST, REMEMBERED, byte_level_pieces, text_groups
+from .vocab import LATIN_END, BYTE_LEVEL, LONGEST, REMEMBERED, byte_level_pieces, byte_symbols, text_groups
 
-# The pre-tokenization of byte-level vocabularies: a fixed pattern.
-_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + others.index(b)) for b in range(256)]
+@functools.cache
+def _newer_letters() -> regex.Pattern:
+    """Letters and numbers that the pattern library knows and Unicode 15, as in vocabularies, does not."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    new = [c for c in range(0x250, 0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    return regex.compile("[" + "".join(f"\\U{c:08x}" for c in new) + "]" if new else r"(?!)")
 
 
 class MergeCounter:
@@ -63,7 +57,7 @@ class MergeCounter:
             self._ranks[vocab[left] * base + vocab[right]] = rank
             self._made.append(vocab[left + right])
         self._special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self._split = regex.compile(_PATTERN).findall
+        self._split = regex.compile(BYTE_LEVEL).findall
         self._known: dict[str, int] = {}
 
     def merged(self, raw: bytes) -> int:
@@ -105,7 +99,13 @@ class MergeCounter:
 
     def piece(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        return sum(self.merged(p.encode("utf-8")) for p in self._split(text))
+        parts = self._split(text)
+        if not (text.isascii() or max(text) < LATIN_END) and _newer_letters().search(text):
+            # split as if they were unassigned, then take the text's own characters
+            parts, at = self._split(_newer_letters().sub("\u0378", text)), 0
+            for i, part in enumerate(parts):
+                parts[i], at = text[at : at + len(part)], at + len(part)
+        return sum(self.merged(p.encode("utf-8")) for p in parts)
 
     def count(self, text: str) -> int:
         """Tokens of a text, special strings as one each."""

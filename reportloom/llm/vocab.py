@@ -3,8 +3,10 @@ short pieces between the cuts are encoded once and remembered.
 
 The cuts are safe for the pre-tokenizers named below, so joining the pieces' ids gives
 exactly the ids of the whole text; texts that do not fit the rule are encoded whole by
-the library.  The memory of a worker holds at most ``REMEMBERED`` pieces of at most
-``LONGEST`` characters and is emptied when full, so it is bounded for any corpus.
+the library.  A new piece of Latin letters is split into pre-tokens, which the
+library's model encodes; any other goes through the whole library.  The memory of a
+worker holds at most ``REMEMBERED`` pieces of at most ``LONGEST`` characters and is
+emptied when full, so it is bounded for any corpus.
 """
 
 from __future__ import annotations
@@ -12,19 +14,41 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from tokenizers import Tokenizer
 
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 LONGEST = 100
 
 # Two blanks that meet, one of them a space or a line break: no cut is safe in there.
-_MEETING = re.compile(r"\s[ \n]|\n\s")
-# str.split() takes these for blanks, the tokenizers do not.
-_CONTROL = re.compile(r"[\x1c-\x1f]")
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_MEETING = rf"{_BLANK}[ \n]|\n{_BLANK}"
+_MEETING_IN_TEXT = re.compile(r"\s[ \n]|\n\s")
+# Marks the cuts; a text that holds it is encoded whole.
+_MARK = "\x01"
+# Arrow takes the first for blanks, the tokenizers do not; the last becomes two in lower case.
+_CONTROL = r"[\x1c-\x1f\x{130}]"
+# Below this code point no letters compose, and lower case is letter by letter.
+LATIN_END = "\u0250"
+# The pre-tokenizations of the public vocabularies: fixed patterns.
+BYTE_LEVEL = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+)
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return [chr(b) if b in set(plain) else chr(256 + others.index(b)) for b in range(256)]
 
 
 def byte_level_pieces(text: str) -> list[str] | None:
@@ -34,23 +58,23 @@ def byte_level_pieces(text: str) -> list[str] | None:
     blanks never meet, because the pre-tokenizer then takes a space with the word
     after it and a line break alone.
     """
-    if _MEETING.search(text):
+    if _MARK in text or _MEETING_IN_TEXT.search(text):
         return None
-    first, *others = text.split("\n")
-    out = first.replace(" ", "\0 ").split("\0") if "\0" not in first else None
-    if out is None:
-        return None
-    for line in others:
-        if "\0" in line:
-            return None
-        out.append("\n")
-        out += line.replace(" ", "\0 ").split("\0")
-    return out
+    return text.replace(" ", _MARK + " ").replace("\n", f"{_MARK}\n{_MARK}").split(_MARK)
+
+
+# Letters and what is not a letter never share a pre-token, but for an apostrophe.
+_STOP = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"
+
+
+def _cut_byte_level(texts: pa.Array) -> pa.Array:
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}")
+    return pc.split_pattern(pc.replace_substring_regex(marked, _STOP, rf"\1{_MARK}\2"), _MARK)
 
 
-def word_level_pieces(text: str) -> list[str] | None:
-    """Words of a text for a pre-tokenizer that drops all blanks, or None."""
-    return None if _CONTROL.search(text) else text.split()
+def _cut_words(texts: pa.Array) -> pa.Array:
+    """Words and the stops behind them, for a vocabulary that lowers letters and drops blanks."""
+    return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _STOP, r"\1 \2"))
 
 
 class PieceEncoder:
@@ -59,51 +83,110 @@ class PieceEncoder:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         self._library = Tokenizer.from_file(path)
+        self._tokenize = self._library.model.tokenize
         self._library.no_truncation()
         self._library.no_padding()
         self.special = [t["content"] for t in spec["added_tokens"]]
         kinds = json.dumps(spec["pre_tokenizer"])
-        if any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in spec["added_tokens"]):
-            self._cut = lambda text: None
-        elif spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"]["use_regex"] and not spec["normalizer"]:
-            self._cut = self._byte_level
-        elif '"Removed"' in kinds and "[^\\\\s\\\\p{L}\\\\p{N}]+" in kinds:
-            self._cut = word_level_pieces
-        else:
-            self._cut = lambda text: None
+        odd = any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in spec["added_tokens"])
+        byte_level = spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"]["use_regex"]
+        self._cut, self._lower, self._split = None, False, None
+        if byte_level and not odd and not spec["normalizer"] and not spec["pre_tokenizer"]["add_prefix_space"]:
+            self._cut, self._split = _cut_byte_level, regex.compile(BYTE_LEVEL).findall
+        elif (
+            not odd
+            and '"Removed"' in kinds
+            and "[^\\\\s\\\\p{L}\\\\p{N}]+" in kinds
+            and "Lowercase" in json.dumps(spec["normalizer"])
+        ):
+            self._cut, self._lower, self._split = _cut_words, True, regex.compile(WORD_LEVEL).findall
+        self._symbols = dict(enumerate(byte_symbols()))
         self._known: dict[str, bytes] = {}
 
-    def _byte_level(self, text: str) -> list[str] | None:
+    def _fits(self, texts: pa.Array) -> pa.Array:
+        """Texts that may be cut."""
+        if self._lower:
+            odd = pc.match_substring_regex(texts, _CONTROL)
+        else:
+            odd = pc.or_(pc.match_substring_regex(texts, _MEETING), pc.match_substring(texts, _MARK))
         # A special string ends the text before it, which changes how blanks are taken.
-        return None if any(s in text for s in self.special) else byte_level_pieces(text)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        return pc.invert(odd)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, without begin, end or added special tokens."""
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        found = self._tokenize(part.encode("utf-8").decode("latin-1").translate(self._symbols))
+        return np.array([t.id for t in found], dtype="<u4").tobytes()
+
+    def _new(self, pieces: list[str], known: dict[str, bytes]) -> dict[str, bytes]:
+        """Ids of pieces that are not remembered; short ones are from now on."""
+        lower, split, part, others = self._lower, self._split, self._part, []
+        for piece in pieces:
+            if len(piece) > LONGEST or not (piece.isascii() or max(piece) < LATIN_END):
+                others.append(piece)
+                continue
+            text = piece.lower() if lower else piece
+            # Letters, with at most a space before them, need no pattern.
+            if (text[1:] if text[:1] == " " else text).isalpha():
+                known[piece] = part(text)
+            else:
+                known[piece] = b"".join(map(part, split(text)))
+        found = dict(zip(others, self._whole(others)))
+        known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        return found
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        cut = [self._cut(t) for t in texts]
-        found = [None if pieces is None else list(map(known.get, pieces)) for pieces in cut]
-        new: dict[str, bytes] = {}
-        for pieces, own in zip(cut, found):
-            if own is not None and None in own:
-                new.update((p, b"") for p, ids in zip(pieces, own) if ids is None)
-        names = list(new)
-        new = dict(zip(names, self._whole(names)))
-        known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
-        out = []
-        for text, pieces, own in zip(texts, cut, found):
-            if own is None:
-                out += self._whole([text])
-            elif None in own:
-                out.append(b"".join([new[p] if ids is None else ids for p, ids in zip(pieces, own)]))
+        found = list(map(known.get, pieces))
+        if None in found:
+            new = self._new([p for p, ids in zip(pieces, found) if ids is None], known)
+            found = [(known[p] if p in known else new[p]) if ids is None else ids for p, ids in zip(pieces, found)]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text begins, with the end last.
+
+        Without begin, end or added special tokens.  Pieces are numbered first, so a
+        piece that occurs often in the group is looked up once.
+        """
+        fits = self._fits(texts).to_numpy(zero_copy_only=False) if self._cut else np.zeros(len(texts), dtype=bool)
+        lists = self._cut(texts.filter(pa.array(fits))) if fits.any() else pa.array([], pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        each = sizes[codes]
+        reach = np.concatenate([[0], np.cumsum(each)])
+        kind = np.int32 if max(reach[-1], len(pool)) < 1 << 31 else np.int64
+        flat = pool[np.arange(reach[-1], dtype=kind) + np.repeat((starts[codes] - reach[:-1]).astype(kind), each)]
+        offsets = lists.offsets.to_numpy()
+        begins = reach[offsets - offsets[0]]
+        if fits.all():
+            return flat, begins
+        others = iter(self._whole(texts.filter(pa.array(~fits)).to_pylist()))
+        parts, k = [], 0
+        for fit in fits:
+            if fit:
+                parts.append(flat[begins[k] : begins[k + 1]])
+                k += 1
             else:
-                out.append(b"".join(own))
-        return out
+                parts.append(np.frombuffer(next(others), "<u4"))
+        begins = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return np.concatenate(parts) if parts else flat, begins
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as bytes."""
+        flat, begins = self.encode(pa.array(texts, pa.string()))
+        raw = flat.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(begins, begins[1:])]
 
     @property
     def size(self) -> int:
@@ -117,21 +200,27 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def text_groups(
-    batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 1_000_000
-) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of batches of about ``chars`` characters, with their texts, null as empty.
+def text_slices(
+    batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000
+) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of batches of about ``chars`` bytes of text, with their texts, null as empty.
 
     A longer text is a slice of its own, so memory is bounded by the longest text.
     """
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+        sizes = np.asarray(pc.binary_length(column), dtype=np.int64)
         if not len(sizes):
             continue
         group = (np.cumsum(sizes) - sizes) // chars
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(starts, [*starts[1:], len(sizes)]):
-            part = batch.slice(a, b - a)
-            texts = column.slice(a, b - a).to_pylist()
-            yield part, ["" if t is None else t for t in texts]
+            yield batch.slice(a, b - a), column.slice(a, b - a)
+
+
+def text_groups(
+    batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 1_000_000
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """As ``text_slices``, with the texts as a list."""
+    for part, texts in text_slices(batches, text, chars):
+        yield part, texts.to_pylist()
