@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - used as pa.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -128,7 +128,7 @@ def _send(words: int, buckets: int, chars: int, batches: Iterator[pa.RecordBatch
         by_class = np.argsort(refs_of, kind="stable")
         members = np.flatnonzero(owner >= 0)
         members = members[np.argsort(owner[members], kind="stable")]
-        known = pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         record = [
             b"".join(first),
             sizes.astype("<i8").tobytes(),
@@ -261,7 +261,7 @@ def _verify(threshold: int, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["n_shingles", "class_id"], kind="stable").reset_index(drop=True)
     ids, n = frame["class_id"].to_numpy(), frame["n_shingles"].to_numpy()
     copies, side = frame["copies"].to_numpy(), frame["side"].to_numpy()
-    across = bool((side != side[0]).any()) if len(side) else False
+    across = bool(frame["low"].iloc[0] != frame["high"].iloc[0])  # else all are of one block
     sets = [np.frombuffer(s, "<u8") for s in frame["shared"]]
     lengths = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)

@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +180,7 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     bits: int = 15,
-    sample_per_class: int = 1500,
+    sample_per_class: int = 1000,
     epochs: int = 3,
     calibrate_share: float = 0.2,
     seed: int = 11,

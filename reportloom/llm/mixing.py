@@ -65,7 +65,7 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     for i, have in enumerate(quotas):  # one hypergeometric a source, conditioned on those before
         total -= int(have)
         if have and take:
-            drawn[i] = have if not total else rng.hypergeometric(int(have), total, take)
+            drawn[i] = rng.hypergeometric(int(have), total, take)
             take -= int(drawn[i])
     return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
 
@@ -109,16 +109,24 @@ def _plan(blocks: dict[str, np.ndarray], goal: dict[str, float], shards: int, se
 
 
 def _first_fit(block: pd.DataFrame) -> pd.DataFrame:
-    """The last draw of a source: in seeded order, every document that still fits."""
+    """The last draw of a source: in seeded order, every document that still fits.
+
+    The smallest that does not is taken too where that comes nearer to the target.
+    """
     block = block.sort_values(["tie", "id", "size"], kind="stable").reset_index(drop=True)
-    left, shards = float(block["tail_words"].iloc[0]), []
-    for size, copies, drawn in zip(block["size"], block["copies_of"], block["shards"]):
-        drawn = [] if drawn is None else list(drawn)
-        if size * copies <= left:
-            left -= size * copies
-            drawn.append(int(block["tail_shard"].iloc[0]))
-        shards.append(drawn)
-    block["shards"] = shards
+    left, words = float(block["tail_words"].iloc[0]), block["size"] * block["copies_of"]
+    taken = np.zeros(len(block), dtype=bool)
+    for i, own in enumerate(words):
+        if own <= left:
+            left -= own
+            taken[i] = True
+    if not taken.all():
+        least = int(words[~taken].argmin())
+        least = words[~taken].index[least]
+        taken[least] = words[least] - left < left
+    shard = int(block["tail_shard"].iloc[0])
+    before = [[] if drawn is None else list(drawn) for drawn in block["shards"]]
+    block["shards"] = [drawn + [shard] * int(new) for drawn, new in zip(before, taken)]
     return block
 
 
@@ -199,7 +207,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", seed: i
     to have every shard shuffled locally.
     """
     drawn = draws(docs, key=key, source=source, seed=seed, **options).select(
-        F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "shards"
+        F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("shards").alias("mix_shards")
     )
     size = options.get("size")
     sized = docs.withColumn("mix_words", F.coalesce(n_words() if size is None else size, F.lit(0)).cast("long"))
@@ -209,7 +217,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", seed: i
         & (F.col("mix_size") == F.col("mix_words"))
     )
     return (
-        sized.join(drawn.filter(F.size("shards") > 0), same)
-        .select(*docs.columns, F.posexplode("shards").alias("mix_copy", "mix_shard"))
+        sized.join(drawn.filter(F.size("mix_shards") > 0), same)
+        .select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
         .withColumn("mix_order", F.xxhash64(F.lit(seed + 2), key, "mix_copy"))
     )
