@@ -53,13 +53,19 @@ CLAUSE_NEGATIONS = (
 )
 
 
+# Letters match in either case and classes such as \\s and \\b beyond ASCII, a dot any character.
+FLAGS = "(?isU)"
+
+
 def literal(term: str) -> str:
     """Regular expression that matches ``term`` itself."""
     return re.escape(term)
 
 
 def any_of(preds: Iterable[Column]) -> Column:
-    return reduce(or_, preds)
+    """Some predicate holds; none does in an empty list."""
+    preds = list(preds)
+    return reduce(or_, preds) if preds else F.lit(False)
 
 
 def all_of(preds: Iterable[Column]) -> Column:
@@ -84,7 +90,7 @@ def code_text_matches(
     dx: Column | str, text: str, field: str = "diagnosis_code_text"
 ) -> Column:
     """Some diagnosis text contains ``text``, ignoring case."""
-    return F.exists(dx, lambda d: d[field].rlike("(?is)" + literal(text.strip())))
+    return F.exists(dx, lambda d: d[field].rlike(FLAGS + literal(text.strip())))
 
 
 def term_pattern(term: str) -> str:
@@ -99,12 +105,12 @@ def split_terms(terms: str | Sequence[str], sep: str = "\n") -> list[str]:
 
 def text_terms(c: Column, terms: str | Sequence[str]) -> Column:
     """Some term (one per line) occurs in the text."""
-    return any_of([c.rlike("(?is)" + term_pattern(t)) for t in split_terms(terms)])
+    return any_of([c.rlike(FLAGS + term_pattern(t)) for t in split_terms(terms)])
 
 
 def name_any(c: Column, terms: str | Sequence[str]) -> Column:
     """Some comma-separated term occurs in the name."""
-    return c.rlike("(?is)" + "|".join(literal(t) for t in split_terms(terms, ",")))
+    return any_of([c.rlike(FLAGS + literal(t)) for t in split_terms(terms, ",")])
 
 
 def in_ci(c: Column, values: Sequence[str]) -> Column:
@@ -151,7 +157,7 @@ def near(a: str, b: str, gap: int) -> str:
 
 def matches(c: Column, pattern: str) -> Column:
     """Case-insensitive search across lines; NULL text does not match."""
-    return F.coalesce(c, F.lit("")).rlike("(?is)" + pattern)
+    return F.coalesce(c, F.lit("")).rlike(FLAGS + pattern)
 
 
 def section_match(

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .predicates import any_of, literal
+from .predicates import FLAGS, any_of, literal
 
 # Phrases that negate a mention following within the window.
 NEGATION_PHRASES = (
@@ -67,9 +64,9 @@ SCORE_PRIORITY = {
 
 # Broad test for a report that may carry a score.
 SCORE_MENTIONS = {
-    "LIRADS": r"(?is)(LI-?RADS|LR-[1-5M])",
-    "BIRADS": r"(?is)(BI-?RADS|BIRADS)",
-    "PIRADS": r"(?is)(PI-?RADS)",
+    "LIRADS": r"(?isU)(LI-?RADS|LR-[1-5M])",
+    "BIRADS": r"(?isU)(BI-?RADS|BIRADS)",
+    "PIRADS": r"(?isU)(PI-?RADS)",
 }
 
 # Phrases of the keyword follow-up rule.
@@ -78,24 +75,24 @@ FOLLOWUP_PHRASES = ("recommend follow", "follow-up", "follow up", "repeat imagin
 _WHITESPACE = " \t\n\r\f\x0b"
 
 
-def _valid(patterns: Sequence[str]) -> list[str]:
-    kept = []
+def checked(patterns: Sequence[str]) -> list[str]:
+    """The patterns, each one that the engine can run; any other is an error here, not in a task."""
+    java = SparkSession.active()._jvm.java.util.regex.Pattern
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
-            continue
-        kept.append(p)
-    return kept
+            java.compile(FLAGS + p)
+        except IllegalArgumentException as error:
+            raise ValueError(f"not a usable pattern: {p!r}") from error
+    return list(patterns)
 
 
 def _negation(phrases: Sequence[str]) -> str:
-    return "(?i)" + "|".join(phrases)
+    return FLAGS + "|".join(phrases)
 
 
 def _gaps_and_hits(lowered: Column, pattern: str) -> Column:
     """Text before each hit, and the hit; the last element has no hit."""
-    flagged = "(?is)" + pattern
+    flagged = FLAGS + pattern
     return F.arrays_zip(
         F.split(lowered, flagged).alias("gap"),
         F.regexp_extract_all(lowered, F.lit(flagged), F.lit(0)).alias("hit"),
@@ -135,7 +132,7 @@ def positive_mention(
             lambda state: state["found"],
         )
 
-    usable = _valid(patterns)
+    usable = checked(patterns)
     if not usable:
         return F.lit(False)
     return F.coalesce(any_of([one(p) for p in usable]), F.lit(False))
@@ -187,7 +184,7 @@ def match_spans(
             lambda state: state["spans"],
         )
 
-    usable = _valid(patterns)
+    usable = checked(patterns)
     if not usable:
         return F.array().cast(span_type)
     found = F.concat(*[one(p) for p in usable]) if len(usable) > 1 else one(usable[0])
@@ -228,7 +225,7 @@ def extract_scores(c: Column, kind: str) -> Column:
         if kind == "LIRADS":
             return F.when(score.startswith("LR-"), score).otherwise(F.concat(F.lit("LR-"), score))
         if kind == "BIRADS":
-            bare = F.regexp_replace(score, r"CATEGORY\s*", "")
+            bare = F.regexp_replace(score, r"(?U)CATEGORY\s*", "")
             return F.when(bare.startswith("BI-RADS-"), bare).otherwise(
                 F.concat(F.lit("BI-RADS-"), bare)
             )
@@ -236,7 +233,7 @@ def extract_scores(c: Column, kind: str) -> Column:
 
     found = F.concat(
         *[
-            F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(1))
+            F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(1))
             for p in SCORE_PATTERNS[kind]
         ]
     )
@@ -322,55 +319,68 @@ def matched_diagnoses(
     )
 
 
-SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+def _folded(c: Column) -> Column:
+    """Lower case of the same length: the one letter that grows is replaced first."""
+    return F.translate(F.lower(F.translate(c, "İ", "i")), "ς", "σ")
 
 
-def _lowered(text: str) -> str:
-    """Lower case without ever changing the length."""
-    low = text.lower()
-    if len(low) == len(text):
-        return low
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+def _spaced(words: Column) -> Column:
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
-def _locate(text: str | None, snippet: str | None) -> tuple[int | None, int | None]:
-    if text is None or snippet is None or len(snippet.strip()) < 5:
-        return None, None
-    words = [m.span() for m in re.finditer(r"\S+", text)]
-    starts, at = [], 0
-    for low, high in words:
-        starts.append(at)
-        at += high - low + 1
-    flat = _lowered(" ".join(text[low:high] for low, high in words))
-    wanted = _lowered(" ".join(snippet.split()))
-    found = flat.find(wanted)
-    if found < 0:
-        return None, None
+def locate_snippet(c: Column, snippet: Column) -> Column:
+    """Where a snippet lies in the text, whatever the case and the white space between words.
 
-    def original(position: int) -> int:
-        word = bisect_right(starts, position) - 1
-        return words[word][0] + position - starts[word]
+    ``struct<start, end>`` with 0-based offsets, end exclusive; NULL when the
+    snippet is shorter than five characters or absent.  Both are joined by single
+    spaces and compared; a fold over the words then finds those that hold the
+    first and the last character and their places in the text.  Linear.
+    """
+    gap = r"(?U)\s+"
 
-    return original(found), original(found + len(wanted) - 1) + 1
+    def mapped(text: Column, wanted: Column, first: Column) -> Column:
+        last = first + F.length(wanted) - 1
+        parts = F.arrays_zip(
+            F.split(text, gap, -1).alias("word"),
+            F.regexp_extract_all(text, F.lit(gap), F.lit(0)).alias("gap"),
+        )
+        none = F.lit(None).cast("int")
 
+        def step(state: Column, part: Column) -> Column:
+            size = F.length(part["word"])
 
-@F.pandas_udf(SPAN)
-def _locate_all(text: pd.Series, snippet: pd.Series) -> pd.DataFrame:
-    spans = [_locate(a, b) for a, b in zip(text, snippet)]
-    return pd.DataFrame(spans, columns=["start", "end"]).astype("Int32")
+            def at(place: Column, before: Column) -> Column:
+                inside = (place >= state["flat"]) & (place < state["flat"] + size)
+                return F.when(inside, state["own"] + place - state["flat"]).otherwise(before)
 
+            return F.struct(
+                (state["own"] + size + F.coalesce(F.length(part["gap"]), F.lit(0))).alias("own"),
+                (state["flat"] + F.when(size > 0, size + 1).otherwise(0)).alias("flat"),
+                at(first, state["start"]).alias("start"),
+                at(last, state["last"]).alias("last"),
+            )
 
-def locate_snippet(c: Column, snippet: Column) -> Column:
-    """Where a snippet lies in the text, whatever the case and the white space between words.
+        zero = F.lit(0)
+        begin = F.struct(zero.alias("own"), zero.alias("flat"), none.alias("start"), none.alias("last"))
+        return F.aggregate(
+            parts,
+            begin,
+            step,
+            lambda s: F.struct(s["start"].alias("start"), (s["last"] + 1).alias("end")),
+        )
 
-    ``struct<start, end>`` with 0-based offsets, end exclusive; NULL when the
-    snippet is shorter than five characters or absent.  Mapping offsets back
-    through collapsed white space has no built-in form, and a pattern as long as
-    the snippet would exhaust the regular expression engine, so this is an Arrow
-    batch function, linear in the text.
-    """
-    found = _locate_all(c, snippet)
-    return F.when(found["start"].isNotNull(), found)
+    def found(both: Column) -> Column:
+        first = F.position(both["wanted"], both["flat"]) - 1
+        usable = (F.length(F.regexp_replace(both["raw"], r"(?U)^\s+|\s+$", "")) >= 5) & (first >= 0)
+        return F.when(usable, mapped(c, both["wanted"], first))
+
+    # Bound once: the joined forms are looked at more than once below.
+    both = F.struct(
+        _folded(_spaced(F.split(c, gap, -1))).alias("flat"),
+        _folded(_spaced(F.split(snippet, gap, -1))).alias("wanted"),
+        snippet.alias("raw"),
+    )
+    return F.get(F.transform(F.array(both), found), F.lit(0))
 
 
 def finding_category(c: Column) -> Column:

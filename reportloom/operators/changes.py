@@ -17,8 +17,6 @@ from .windows import newest_per
 CONTENT_HASH = "content_hash"
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 UPSERTS = ("insert", "update_postimage")
-# Most partition values that become literals of a pruning filter.
-MAX_PRUNED = 1000
 
 # Serialisation the content hash is defined over.
 _HASH_JSON = {
@@ -48,21 +46,19 @@ def drop_unchanged(
 ) -> DataFrame:
     """Rows whose key, partition and hash are not all present already.
 
-    The stored side is limited to the partitions the batch touches.  These are
-    years, so a short list of literals, which prunes the scan; a batch that
-    touches more than ``MAX_PRUNED`` of them reads the whole table.  A NULL
-    partition value or a NULL stored hash never counts as unchanged.
+    The stored side is limited to the partitions the batch touches by a semi-join on
+    the partition column, which prunes the scan of a partitioned table.  NULL
+    partition values are equal; a NULL stored hash never counts as unchanged.
     """
     columns = [key, CONTENT_HASH] + ([partition] if partition else [])
     known = existing.select(*columns)
     if partition:
-        touched = [r[0] for r in df.select(partition).distinct().limit(MAX_PRUNED + 1).collect()]
-        if len(touched) <= MAX_PRUNED:
-            known = known.filter(F.col(partition).isin([v for v in touched if v is not None]))
+        dated = known.join(df.select(partition).distinct(), partition, "left_semi")
+        known = dated.unionByName(known.filter(F.col(partition).isNull()))
     known = known.select(*[F.col(c).alias(f"_old_{c}") for c in columns])
     same = F.col(key) == F.col(f"_old_{key}")
     if partition:
-        same = same & (F.col(partition) == F.col(f"_old_{partition}"))
+        same = same & F.col(partition).eqNullSafe(F.col(f"_old_{partition}"))
     same = same & F.col(CONTENT_HASH).eqNullSafe(F.col(f"_old_{CONTENT_HASH}"))
     return df.join(known, same, "left_anti")
 
@@ -71,10 +67,6 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _pick(df: DataFrame, name: str, side: str) -> Column:
-    return F.col(f"{side}.{name}")
-
-
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -87,7 +79,7 @@ def upsert(
     ``update_when`` is a SQL condition over ``t`` (target) and ``s`` (source); a
     matched row that fails it keeps the stored values.  With ``evolve`` columns
     seen on one side only are kept, as NULL on the other.  ``source`` must hold
-    at most one row per key.
+    at most one row per key; NULL key parts are equal.
     """
     keys = _keys(key)
     columns = list(target.columns)
@@ -95,7 +87,7 @@ def upsert(
         columns += [c for c in source.columns if c not in target.columns]
     t = target.withColumn("_in_t", F.lit(True)).alias("t")
     s = source.withColumn("_in_s", F.lit(True)).alias("s")
-    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
+    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     joined = t.join(s, on, "full_outer")
     matched = F.col("t._in_t").isNotNull() & F.col("s._in_s").isNotNull()
     takes = F.col("s._in_s").isNotNull()
@@ -129,7 +121,7 @@ def change_rows(
 
     before = with_content_hash(widened(old, new), exclude).alias("o")
     after = with_content_hash(widened(new, old), exclude).alias("n")
-    joined = before.join(after, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
+    joined = before.join(after, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
     kind = (
         F.when(F.col(f"o.{CONTENT_HASH}").isNull(), "insert")
         .when(F.col(f"n.{CONTENT_HASH}").isNull(), "delete")
@@ -283,12 +275,11 @@ def write_back(
     )
 
 
-def compact(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+def compact(df: DataFrame, key: str | Sequence[str], partitions: int | None = None) -> DataFrame:
     """Range-partition and sort on the key, so files carry narrow key ranges."""
-    ranged = (
-        df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
-    )
-    return ranged.sortWithinPartitions(key)
+    keys = _keys(key)
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 # Columns of the follow-up working copy and its typed outputs.

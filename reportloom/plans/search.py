@@ -171,7 +171,7 @@ def _(t):
        WHERE s_suppkey * 40 NOT IN (SELECT o_custkey FROM orders)""",
 )
 def _(t):
-    # Twice the list: ids no customer has are certain to be among them.
+    # Some suppliers' numbers are certain to be no customer's.
     ids = buyer_ids(t)
     return K.unmatched(ids, t.orders, "o_custkey", strict=True).select("id")
 
@@ -195,7 +195,7 @@ MENTION = r"licen[sc]e|\bdata\b|ich thon|ion onth"
        FROM pieces""",
 )
 def _(t):
-    return t.texts.select("doc_id", T.positive_mention(F.col("text"), [MENTION, "("]).alias("positive"))
+    return t.texts.select("doc_id", T.positive_mention(F.col("text"), [MENTION]).alias("positive"))
 
 
 @query(
@@ -474,7 +474,7 @@ def _(t):
     "G3_mentions_score",
     f"""WITH {SCORED} SELECT doc_id, regexp_matches(text, '(?is)(LI-?RADS|LR-[1-5M])') AS lirads,
        regexp_matches(text, '(?is)(BI-?RADS|BIRADS)') AS birads,
-       regexp_matches(substr(text, 1, length(text) - 9), '(?is)(PI-?RADS)') AS pirads FROM scored""",
+       regexp_matches(text, '(?is)(PI-?RADS)') AS pirads FROM scored""",
 )
 def _(t):
     text = F.col("text")
@@ -482,7 +482,7 @@ def _(t):
         "doc_id",
         T.mentions_score(text, "LIRADS").alias("lirads"),
         T.mentions_score(text, "BIRADS").alias("birads"),
-        T.mentions_score(F.substr(text, F.lit(1), F.length(text) - 9), "PIRADS").alias("pirads"),
+        T.mentions_score(text, "PIRADS").alias("pirads"),
     )
 
 

@@ -23,18 +23,15 @@ def frame(spark, texts):
     return spark.createDataFrame(texts, "i int, t string").cache()
 
 
-PATTERNS = ["mass", r"lung.{0,10}mass", "(", "nodul(?:e|ar)"]
+PATTERNS = ["mass", r"lung.{0,10}mass", "nodul(?:e|ar)"]
 NEGATION = re.compile("|".join(T.NEGATION_PHRASES), re.IGNORECASE)
 
 
 def hits(text):
     low = (text or "").lower()
     for p in PATTERNS:
-        try:
-            for m in re.finditer(p, low, re.IGNORECASE | re.DOTALL):
-                yield m.start(), m.end(), bool(NEGATION.search(low[max(0, m.start() - 50) : m.start()]))
-        except re.error:
-            continue
+        for m in re.finditer(p, low, re.IGNORECASE | re.DOTALL):
+            yield m.start(), m.end(), bool(NEGATION.search(low[max(0, m.start() - 50) : m.start()]))
 
 
 def test_positive_mention(frame, texts):
@@ -120,3 +117,24 @@ def test_literals_and_negation(spark):
     ).collect()
     assert [r["a"] for r in rows] == [True, False, False, False, None]
     assert [r["b"] for r in rows] == [False, True, False, True, False]
+
+
+def one(spark, text, column):
+    return spark.createDataFrame([(text,)], "t string").select(column(F.col("t"))).first()[0]
+
+
+def test_rules_beyond_ascii(spark):
+    """Reports are ISO-8859-1: no-break spaces and accented capitals are common."""
+    assert not one(spark, "No\u00a0evidence of nodule", lambda c: T.positive_mention(c, ["nodule"]))
+    assert one(spark, "LI-RADS\u00a05", lambda c: T.extract_scores(c, "LIRADS")) == ["LR-5"]
+    for test in (lambda c: P.text_terms(c, "écho"), lambda c: P.name_any(c, "écho"), lambda c: P.matches(c, "écho")):
+        assert one(spark, "Écho cardiaque", test)
+    assert one(spark, "nodule", lambda c: T.positive_mention(c, [r"\p{L}+dule"]))
+
+
+def test_unusable_patterns_and_empty_lists(spark):
+    for pattern in ("(", "(?P<a>x)"):
+        with pytest.raises(ValueError):
+            T.positive_mention(F.col("t"), [pattern])
+    for test in (lambda c: P.name_any(c, ""), lambda c: P.text_terms(c, "\n"), lambda c: T.positive_mention(c, [])):
+        assert one(spark, "anything", test) is False
