@@ -38,26 +38,33 @@ FILE = (
     "places binary, rules binary, sizes binary, symbols binary"
 )
 READ = "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
-_SLOTS = 1 << 20
-
-
-def _frequent(left: np.ndarray, right: np.ndarray, open_: np.ndarray, most: int, least: int):
-    """Rank of the pair at each place (a larger number where it has none), and the pairs."""
-    slot = ((left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)
-    slot = slot.astype(np.int32)
-    often = np.bincount(slot[open_], minlength=_SLOTS)
+_BITS = 19
+
+
+def _frequent(symbols: np.ndarray, marks: np.ndarray, most: int, least: int):
+    """Rank of the pair that begins at each place (a larger number where none does), and the pairs."""
+    left, right = symbols[:-1], symbols[1:]
+    slot = left * np.uint32(0x9E3779B1)
+    slot += right * np.uint32(0x85EBCA77)
+    slot >>= np.uint32(32 - _BITS)
+    slot = slot.view(np.int32)
+    slot[np.flatnonzero(marks[:-1])] = 1 << _BITS  # no pair goes on behind a document's end
+    often = np.bincount(slot, minlength=(1 << _BITS) + 1)
+    often[-1] = 0
     # A slot counts at least as often as each of its pairs.
     high = often[often >= least]
     if not len(high):
         return None
     bar = max(least, int(np.partition(high, -most)[-most])) if len(high) > most else least
     hot = np.flatnonzero(often >= bar)
-    index = np.full(_SLOTS, -1, dtype=np.int32)
+    index = np.full(len(often), -1, dtype=np.int32)
     index[hot] = np.arange(len(hot), dtype=np.int32)
     which = index[slot]
-    at = np.flatnonzero((which >= 0) & open_)
+    at = np.flatnonzero(which >= 0)
     which = which[at]
-    pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
+    pair = left[at].astype(np.uint64)
+    pair <<= np.uint64(32)
+    pair |= right[at]
     # Of pairs that share a slot one goes ahead; another has its turn in a later round.
     chosen = np.zeros(len(hot), dtype=np.uint64)
     chosen[which] = pair
@@ -71,7 +78,7 @@ def _frequent(left: np.ndarray, right: np.ndarray, open_: np.ndarray, most: int,
     none = np.int32(len(hot))
     rank_of = np.full(len(hot), none, dtype=np.int32)
     rank_of[order] = np.arange(len(order), dtype=np.int32)
-    rank = np.full(len(left) + 2, none, dtype=np.int32)
+    rank = np.full(len(symbols) + 1, none, dtype=np.int32)
     rank[1 + at] = rank_of[which]
     return rank, chosen[order]
 
@@ -87,7 +94,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = 3, m
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        found = _frequent(symbols[:-1], symbols[1:], ~marks[:-1], most, least)
+        found = _frequent(symbols, marks, most, least)
         if found is None:
             break
         rank, pairs = found
@@ -98,9 +105,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = 3, m
         halves = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         rules = np.vstack([rules, halves])
         sizes = np.concatenate([sizes, sum(_size(halves[:, k], base, sizes) for k in (0, 1))])
-        symbols = symbols.copy()
         symbols[taken] = (first + own[taken]).astype(np.uint32)
-        marks = marks.copy()
         marks[taken] = marks[taken + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[taken + 1] = False
@@ -116,8 +121,8 @@ def _size(symbols: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+def _unfold(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for, a level of the rules at a time."""
     while len(made := np.flatnonzero(symbols >= base)):
         halves = rules[symbols[made].astype(np.int64) - base]
         times = np.ones(len(symbols), dtype=np.int64)
@@ -128,6 +133,21 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return symbols
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; with ``sizes``, by unfolding each rule once."""
+    if sizes is None or len(symbols) < len(rules):
+        return _unfold(symbols, rules, base)
+    every = np.arange(base, base + len(rules), dtype=np.uint32)
+    pool = np.concatenate([np.arange(base, dtype=np.uint32), _unfold(every, rules, base)])
+    long = np.concatenate([np.ones(base, dtype=np.int32), sizes.astype(np.int32)])
+    begin = np.cumsum(long, dtype=np.int32) - long
+    times = long[symbols]
+    reach = np.cumsum(times, dtype=np.int64)
+    kind = np.int32 if len(reach) and reach[-1] < 1 << 31 else np.int64
+    shift = begin[symbols] - (reach - times).astype(kind)
+    return pool[np.repeat(shift, times) + np.arange(reach[-1] if len(reach) else 0, dtype=kind)]
+
+
 def _array(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind)
 
@@ -182,7 +202,7 @@ _ARROW = pa.schema(
 def _write(path: str, end: int, shard_ids: int, options: dict, batches: Iterator[pa.RecordBatch]):
     code = encoder(path)
     base, part, shard, docs, lengths, ids, held = code.size, 0, 0, [], [], [], 0
-    for rows, texts in text_slices(batches, chars=2 * shard_ids):
+    for rows, texts in text_slices(batches, chars=4 * shard_ids):
         part = rows.column(2)[0].as_py()
         flat, begins = code.encode(texts)
         ids.append(np.insert(flat, begins[1:], np.uint32(end)))  # after each document's last id
@@ -225,9 +245,9 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts, places = _array(shard["starts"], "<i8"), _array(shard["places"], "<i8")
             rules, base = _array(shard["rules"], "<u4").reshape(-1, 2), int(shard["base"])
             symbols = _array(shard["symbols"], "<u4")
-            ids = expand(symbols, rules, base).astype("<u4")
-            sizes = _size(symbols, base, _array(shard["sizes"], "<i8"))
-            reach = np.concatenate([[0], np.cumsum(sizes)])[places]
+            rule_sizes = _array(shard["sizes"], "<i8")
+            ids = expand(symbols, rules, base, rule_sizes).astype("<u4", copy=False)
+            reach = np.concatenate([[0], np.cumsum(_size(symbols, base, rule_sizes))])[places]
             if not np.array_equal(reach, starts):
                 raise ValueError("a shard's sizes do not fit its documents")
             raw = ids.tobytes()

@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import re
-import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -120,20 +120,24 @@ class PieceEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's model."""
-        found = self._tokenize(part.encode("utf-8").decode("latin-1").translate(self._symbols))
-        return np.array([t.id for t in found], dtype="<u4").tobytes()
+        if not part.isascii() or not part.isalpha():
+            part = part.encode("utf-8").decode("latin-1").translate(self._symbols)
+        return array("I", [t.id for t in self._tokenize(part)]).tobytes()
 
     def _new(self, pieces: list[str], known: dict[str, bytes]) -> dict[str, bytes]:
         """Ids of pieces that are not remembered; short ones are from now on."""
         lower, split, part, others = self._lower, self._split, self._part, []
+        tokenize, space = self._tokenize, self._symbols[ord(" ")]
         for piece in pieces:
             if len(piece) > LONGEST or not (piece.isascii() or max(piece) < LATIN_END):
                 others.append(piece)
                 continue
             text = piece.lower() if lower else piece
             # Letters, with at most a space before them, need no pattern.
-            if (text[1:] if text[:1] == " " else text).isalpha():
+            if text.isalpha():
                 known[piece] = part(text)
+            elif text[:1] == " " and text[1:].isalpha():
+                known[piece] = array("I", [t.id for t in tokenize(space + text[1:])]).tobytes() if text.isascii() else part(text)
             else:
                 known[piece] = b"".join(map(part, split(text)))
         found = dict(zip(others, self._whole(others)))
@@ -159,7 +163,7 @@ class PieceEncoder:
         fits = self._fits(texts).to_numpy(zero_copy_only=False) if self._cut else np.zeros(len(texts), dtype=bool)
         lists = self._cut(texts.filter(pa.array(fits))) if fits.any() else pa.array([], pa.list_(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        ids = self._ids_of(coded.dictionary.to_pylist())
+        ids = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
