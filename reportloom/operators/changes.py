@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.rules import has_text
@@ -165,9 +165,18 @@ def latest_changes(feed: DataFrame, key: str = "primary_report_identifier") -> D
     return newest.drop(*CHANGE_COLUMNS, CONTENT_HASH)
 
 
-def require_key(df: DataFrame, key: str = "accession_number") -> DataFrame:
-    """Rows with a key that is neither NULL nor blank."""
-    return df.filter(has_text(F.col(key)))
+def require_key(
+    df: DataFrame, key: str = "accession_number", observed: Observation | None = None
+) -> DataFrame:
+    """Rows with a key that is neither NULL nor blank.
+
+    ``observed`` gets the number of rows that are ``kept`` and ``dropped`` as the rows
+    pass by, without another read.
+    """
+    usable = has_text(F.col(key))
+    if observed is not None:
+        df = df.observe(observed, F.count_if(usable).alias("kept"), F.count_if(~usable).alias("dropped"))
+    return df.filter(usable)
 
 
 def dedupe_newest(

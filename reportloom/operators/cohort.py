@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -30,8 +30,8 @@ COHORT_COLUMNS = (
     "sending_facility",
     "message_dt",
 )
-# Columns a saved search must carry, text columns a listing leaves
-# out, and the row cap of a listing.
+# Columns a saved search must carry, and text columns a listing
+# leaves out.
 REQUIRED_COLUMNS = ("primary_report_identifier", "accession_number")
 HEAVY_COLUMNS = (
     "report_text",
@@ -39,7 +39,6 @@ HEAVY_COLUMNS = (
     "report_section_impression",
     "report_section_addendum",
 )
-ROW_CAP = 50_000
 COHORT_SLOT = "{{cohort}}"
 # Columns and tables reports may be read by.
 READ_COLUMNS = (
@@ -211,6 +210,35 @@ def flag_inclusion(
     )
 
 
+def build_cohort(
+    df: DataFrame, config: CohortConfig, apply_negation: bool = True, **negation
+) -> DataFrame:
+    """Matching rows with ``has_strong_indicator, has_positive_mention, included_in_cohort``.
+
+    With text terms every row is tested for a mention that is not negated, unless
+    ``apply_negation`` is off.  Without the test all rows belong and none is strong.
+    """
+    found = df.filter(cohort_condition(config))
+    terms = [P.term_pattern(t) for t in P.split_terms(config.text_terms)]
+    if not terms or not apply_negation:
+        return found.withColumns(
+            {
+                "has_strong_indicator": F.lit(False),
+                "has_positive_mention": F.lit(True),
+                "included_in_cohort": F.lit(True),
+            }
+        )
+    name = config.columns.get
+    return flag_inclusion(
+        found,
+        config.diagnosis_codes,
+        terms,
+        name("report_text", "report_text"),
+        name("diagnoses", "diagnoses"),
+        **negation,
+    )
+
+
 def grid_filter(
     df: DataFrame,
     contains: dict[str, str] | None = None,
@@ -314,11 +342,11 @@ def review_filter(
 
 
 def cohort_review_filter(
-    df: DataFrame, annotations: DataFrame, state: str, key: str = "accession_number"
+    df: DataFrame, annotations: DataFrame, state: str | Sequence[str], key: str = "accession_number"
 ) -> DataFrame:
-    """Cohort rows by inclusion, evidence, review progress or decision.
+    """Cohort rows by inclusion, evidence, review progress and decision.
 
-    ``annotations`` holds ``key, reviewed, included``.
+    Several states must all hold.  ``annotations`` holds ``key, reviewed, included``.
     """
     joined = df.join(annotations.select(key, "reviewed", "included"), key, "left")
     reviewed = F.coalesce(F.col("reviewed"), F.lit(False))
@@ -335,7 +363,8 @@ def cohort_review_filter(
         "decided_out": reviewed & ~F.col("included"),
         "uncertain": reviewed & F.col("included").isNull(),
     }
-    return joined.filter(states[state]).select(*df.columns)
+    wanted = [state] if isinstance(state, str) else list(state)
+    return joined.filter(P.all_of([states[s] for s in wanted])).select(*df.columns)
 
 
 def read_by_ids(
@@ -361,17 +390,33 @@ def read_by_ids(
 
 def rows(
     df: DataFrame,
-    cap: int = ROW_CAP,
+    page: int | None = None,
+    after: str | None = None,
+    order: str = "primary_report_identifier",
     required: Sequence[str] = REQUIRED_COLUMNS,
     heavy: Sequence[str] = HEAVY_COLUMNS,
-) -> tuple[DataFrame, bool]:
-    """Lean rows up to the listing cap, and whether more exist."""
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"result must carry {list(required)}; missing {missing}")
+) -> DataFrame:
+    """Rows without the heavy text columns: all of them, or one page in order.
+
+    A page holds the first ``page`` rows that follow ``after`` in ``order``, a unique
+    column, and says in ``more`` whether others come behind them.  The last row's
+    value is the next page's ``after``.
+    """
+    absent = sorted(set(required) - set(df.columns))
+    if absent:
+        raise ValueError(f"a listing needs {', '.join(absent)}")
     lean = df.drop(*heavy)
-    truncated = lean.select(required[0]).limit(cap + 1).count() > cap
-    return lean.limit(cap), truncated
+    if after is not None:
+        lean = lean.filter(F.col(order) > after)
+    if page is None:
+        return lean
+    # One row beyond the page tells whether more follow; the windows see no others.
+    top = lean.orderBy(order).limit(page + 1)
+    whole = Window.partitionBy()
+    counted = top.withColumns(
+        {"more": F.count(F.lit(1)).over(whole) > page, "_nth": F.row_number().over(whole.orderBy(order))}
+    )
+    return counted.filter(F.col("_nth") <= page).drop("_nth")
 
 
 def accessions(df: DataFrame, col: str = "accession_number") -> DataFrame:
@@ -391,11 +436,12 @@ class Search:
     def count(self) -> DataFrame:
         return self.source().agg(F.count(F.lit(1)).alias("n"))
 
-    def sample(self, n: int = 10) -> DataFrame:
-        return self.source().drop(*HEAVY_COLUMNS).limit(n)
+    def sample(self, n: int) -> DataFrame:
+        """The first ``n`` rows by key."""
+        return self.source().drop(*HEAVY_COLUMNS).orderBy(self.key).limit(n)
 
-    def rows(self, cap: int = ROW_CAP) -> tuple[DataFrame, bool]:
-        return rows(self.source(), cap)
+    def rows(self, page: int | None = None, after: str | None = None) -> DataFrame:
+        return rows(self.source(), page, after, self.key)
 
     def accessions(self) -> DataFrame:
         return accessions(self.source())

@@ -10,85 +10,81 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Output columns of a classifier, error length and attempts.
-RESULT_FIELDS = (
-    "followup_detected boolean, followup_confidence string, followup_finding string, "
-    "followup_snippet string, error string"
-)
-MAX_ERROR = 500
+# Attempts at a report, and what a model answers.
 MAX_ATTEMPTS = 3
+ANSWER = "follow_up boolean, confidence string, finding string, snippet string"
 
-Answer = dict
 
+def classify(
+    df: DataFrame, key: str = "primary_report_identifier", text: str = "report_text"
+) -> DataFrame:
+    """The keyword rule: the first phrase of the list that occurs, and where it stands.
+
+    Inside the JVM; a NULL text detects nothing.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(body)
+    phrase = F.lit(None).cast("string")
+    for p in reversed(T.FOLLOWUP_PHRASES):
+        phrase = F.when(F.contains(low, F.lit(p)), p).otherwise(phrase)
+    found = F.col("_phrase")
+    shown = F.substr(body, F.position(found, low), F.length(found))
+    return df.select(key, text, phrase.alias("_phrase")).select(
+        key,
+        found.isNotNull().alias("followup_detected"),
+        F.lit("high").alias("followup_confidence"),
+        F.coalesce(found, F.lit("")).alias("followup_finding"),
+        F.coalesce(shown, F.lit("")).alias("followup_snippet"),
+        F.lit(None).cast("string").alias("error"),
+    )
 
-def keyword_classifier(text: str) -> Answer:
-    """Default classifier: the keyword rule, no model needed."""
-    low = (text or "").lower()
-    for phrase in T.FOLLOWUP_PHRASES:
-        at = low.find(phrase)
-        if at >= 0:
-            return {
-                "follow_up": True,
-                "confidence": "high",
-                "finding": phrase,
-                "snippet": text[at : at + len(phrase)],
-            }
-    return {"follow_up": False, "confidence": "high", "finding": "", "snippet": ""}
 
+def read_answers(answers: DataFrame, key: str, answer: str = "answer", error: str = "error") -> DataFrame:
+    """Classifier results from a model's raw JSON answers.
 
-def _tidy(answer: Answer) -> tuple:
-    confidence = str(answer.get("confidence", "low")).lower()
-    return (
-        bool(answer.get("follow_up", False)),
-        confidence if confidence in ("high", "low") else "low",
-        str(answer.get("finding", "")),
-        str(answer.get("snippet", "")),
-        None,
+    A confidence other than high is low.  An answer that is no JSON object becomes an
+    error row, as does a model's own error.
+    """
+    parsed = answers.withColumn("_a", F.from_json(answer, ANSWER, {"mode": "PERMISSIVE"}))
+    readable = F.get_json_object(answer, "$").startswith("{")
+    failed = F.coalesce(
+        F.col(error), F.when(~F.coalesce(readable, F.lit(False)), F.concat(F.lit("unreadable answer: "), F.coalesce(answer, F.lit("none"))))
+    )
+    fine = F.col("_error").isNull()
+    word = lambda name: F.when(fine, F.coalesce(F.col(f"_a.{name}"), F.lit("")))
+    high = F.lower(F.coalesce(F.col("_a.confidence"), F.lit(""))) == "high"
+    return parsed.withColumn("_error", failed).select(
+        key,
+        F.when(fine, F.coalesce(F.col("_a.follow_up"), F.lit(False))).alias("followup_detected"),
+        F.when(fine, F.when(high, "high").otherwise("low")).alias("followup_confidence"),
+        word("finding").alias("followup_finding"),
+        word("snippet").alias("followup_snippet"),
+        F.col("_error").alias("error"),
     )
 
 
-def classify(
+def classify_with(
     df: DataFrame,
-    fn: Callable[[str], Answer] = keyword_classifier,
+    model: Callable[[pd.Series], pd.Series],
     key: str = "primary_report_identifier",
     text: str = "report_text",
 ) -> DataFrame:
-    """Run a classifier over the reports, in Arrow batches inside the tasks.
+    """Run a model over the reports, a batch of texts at a time.
 
-    ``fn`` takes the text and returns ``follow_up``, ``confidence``, ``finding``
-    and ``snippet``.  A confidence other than high is low.  An exception becomes
-    an error row and does not fail the job.
+    ``model`` answers each text with a JSON object of ``ANSWER``.  An exception makes
+    the batch's rows error rows, with its whole message, and does not fail the job.
     """
 
-    def one(value: str) -> tuple:
-        try:
-            return _tidy(fn(value))
-        except Exception as error:  # noqa: BLE001 - any failure belongs in the log
-            return (None, None, None, None, str(error)[:MAX_ERROR])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [
-            "followup_detected",
-            "followup_confidence",
-            "followup_finding",
-            "followup_snippet",
-            "error",
-        ]
         for batch in batches:
-            out = pd.DataFrame([one(v) for v in batch[text]], columns=names, index=batch.index)
-            out["followup_detected"] = out["followup_detected"].astype("object")
-            out.insert(0, key, batch[key])
-            yield out
+            try:
+                answer, error = list(model(batch[text])), None
+            except Exception as failure:  # noqa: BLE001 - any failure belongs in the log
+                answer, error = None, str(failure)
+            yield pd.DataFrame({key: batch[key], "answer": answer, "error": error}, index=batch.index)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, {RESULT_FIELDS}")
-
-
-def classify_by_keyword(
-    df: DataFrame, key: str = "primary_report_identifier", text: str = "report_text"
-) -> DataFrame:
-    """The keyword rule without leaving the JVM."""
-    return df.select(key, T.keyword_followup(F.col(text)).alias("followup_detected"))
+    return read_answers(df.select(key, text).mapInPandas(run, f"{key} {kind}, answer string, error string"), key)
 
 
 def next_batch(

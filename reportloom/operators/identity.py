@@ -379,6 +379,12 @@ def patient_view(
     )
 
 
+def report_views(curated: DataFrame, latest: DataFrame, mapping: DataFrame, name: str = "reports") -> dict[str, DataFrame]:
+    """The tables and patient views that reports may be read from, by name."""
+    tables = {f"{name}_curated": curated, f"{name}_latest": latest}
+    return tables | {f"{t}_epic_view": patient_view(df, mapping) for t, df in tables.items()}
+
+
 def expand_patients(
     df: DataFrame, ids: Sequence[str], columns: Sequence[str] = ("epic_mrn", "mpi"),
     patient: str = "patient_id",

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .windows import HOT_ROWS, bursts
+from .windows import bursts
 
 
 def spine(spark: SparkSession, start, end, step: str = "1 day", name: str = "day") -> DataFrame:
@@ -86,10 +86,10 @@ def surveillance(
     k: int = 3,
     months: int = 18,
     tiebreak: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    runs: int | None = None,
 ) -> DataFrame:
     """Patients with a burst of exams and at least one exam that mentions a finding."""
-    found = bursts(df, patient, ts, k, months, tiebreak, hot_rows)
+    found = bursts(df, patient, ts, k, months, tiebreak, runs)
     totals = df.groupBy(patient).agg(
         F.count(F.lit(1)).alias("total_exams"),
         F.count_if(F.coalesce(mention, F.lit(False))).alias("mentions"),

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import FOLLOWUP_KEYWORDS  # noqa: F401  (public re-export)
 from ..functions.rules import has_text
 from ..functions.text import finding_category
 from .longitudinal import pad_grid
@@ -19,7 +18,6 @@ MAX_TURNAROUND_HOURS = 720
 SECTION_MIN_LENGTH = 10
 MIN_GROUP = 10
 MIN_READER = 50
-TOP_READERS = 20
 MAX_DAILY_SPAN = 60
 
 
@@ -78,7 +76,7 @@ def top_series(
     biggest = top_n(df, series, n, distinct).select(series)
     metric = F.count(F.lit(1)) if distinct is None else F.count_distinct(distinct)
     x = F.col(x) if isinstance(x, str) else x
-    kept = df.join(F.broadcast(biggest), series, "left_semi")
+    kept = df.join(biggest, series, "left_semi")
     return kept.groupBy(x.alias(x_name), series).agg(metric.alias("n"))
 
 
@@ -261,23 +259,40 @@ def _hours(df: DataFrame, probs: dict[str, float], by=None, count=None, mean=Non
     return out.withColumns({name: F.col(name) / 3600.0 for name in scaled})
 
 
+def _hour_quantile(p: float, freq: str = "_n") -> Column:
+    """Exact percentile in hours over counted seconds."""
+    return F.percentile(F.col("exam_to_report_seconds"), F.lit(p), F.col(freq)) / 3600.0
+
+
+def _mean_hours(freq: str = "_n") -> Column:
+    seconds = F.col("exam_to_report_seconds")
+    known = F.sum(F.when(seconds.isNotNull(), F.col(freq)))
+    return F.sum(seconds * F.col(freq)) / F.nullif(known, F.lit(0)) / 3600.0
+
+
 def quality_summary(
     df: DataFrame, reader: str = "radiologist", facility: str = "sending_facility"
 ) -> DataFrame:
-    """One row of headline numbers over ``load_quality`` rows."""
-    spread = _hours(df, {"median_hours": 0.5, "p90_hours": 0.9}, mean="mean_hours")
-    total = F.count(F.lit(1))
-    rest = df.agg(
-        total.alias("total"),
+    """One row of headline numbers over ``load_quality`` rows, read once.
+
+    Equal (reader, facility, seconds) are counted first; all else comes from there.
+    """
+    flags = ("has_addendum", "has_findings", "has_impression")
+    counted = df.groupBy(reader, facility, "exam_to_report_seconds").agg(
+        F.count(F.lit(1)).alias("_n"), *[count_true(F.col(f)).alias(f"_{f}") for f in flags]
+    )
+    total = F.sum("_n")
+    return counted.agg(
+        F.coalesce(total, F.lit(0)).alias("total"),
         F.count_distinct(reader).alias("radiologists"),
         F.count_distinct(facility).alias("facilities"),
-        pct(count_true(F.col("has_addendum")), total).alias("addendum_pct"),
-        pct(count_true(F.col("has_findings")), total).alias("findings_pct"),
-        pct(count_true(F.col("has_impression")), total).alias("impression_pct"),
+        pct(F.sum("_has_addendum"), total).alias("addendum_pct"),
+        pct(F.sum("_has_findings"), total).alias("findings_pct"),
+        pct(F.sum("_has_impression"), total).alias("impression_pct"),
+        _mean_hours().alias("mean_hours"),
+        _hour_quantile(0.5).alias("median_hours"),
+        _hour_quantile(0.9).alias("p90_hours"),
     )
-    # One row, read as a scalar subquery.
-    times = spread.select(F.struct("mean_hours", "median_hours", "p90_hours")).scalar()
-    return rest.withColumn("_t", times).select("*", "_t.*").drop("_t")
 
 
 def _timed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -295,37 +310,56 @@ def tat_by(df: DataFrame, by: str, min_count: int = MIN_GROUP) -> DataFrame:
 
 
 def tat_trend(df: DataFrame, max_daily_span: int = MAX_DAILY_SPAN) -> DataFrame:
-    """Turnaround per day, or per week when the data spans more days than given."""
-    timed = _timed(df, [])
-    daily = timed.agg(
+    """Turnaround per day, or per week when the data spans more days than given.
+
+    Equal (day, week, seconds) are counted first.  Days and weeks are few, so both
+    the span and the groups are taken from that one table.
+    """
+    counted = _timed(df, []).groupBy("report_date", "report_week", "exam_to_report_seconds").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    daily = counted.agg(
         F.date_diff(F.max("report_date"), F.min("report_date")) <= max_daily_span
     ).scalar()
-    dated = timed.withColumn(
-        "x", F.when(daily, F.col("report_date")).otherwise(F.col("report_week"))
+    x = F.when(daily, F.col("report_date")).otherwise(F.col("report_week"))
+    return (
+        counted.groupBy(x.alias("x"))
+        .agg(
+            F.sum("_n").alias("n"),
+            _hour_quantile(0.5).alias("median_hours"),
+            _hour_quantile(0.9).alias("p90_hours"),
+        )
+        .orderBy("x")
     )
-    return _hours(dated, {"median_hours": 0.5, "p90_hours": 0.9}, "x", count="n").orderBy("x")
 
 
 def reader_metrics(
-    df: DataFrame, reader: str = "radiologist", min_count: int = MIN_READER, n: int = TOP_READERS
+    df: DataFrame, reader: str = "radiologist", min_count: int = MIN_READER, n: int | None = None
 ) -> DataFrame:
-    """The busiest readers with enough timed reports."""
-    timed = _timed(df, [reader])
-    busiest = (
-        timed.groupBy(reader)
+    """Readers with enough timed reports, the busiest first; the first ``n`` if given.
+
+    Equal (reader, seconds) are counted first, in one read of the reports.
+    """
+    counted = _timed(df, [reader]).groupBy(reader, "exam_to_report_seconds").agg(
+        F.count(F.lit(1)).alias("_n"),
+        count_true(F.col("has_addendum")).alias("_addenda"),
+        F.sum("report_length").alias("_length"),
+        F.count("report_length").alias("_lengths"),
+    )
+    total = F.sum("_n")
+    readers = (
+        counted.groupBy(reader)
         .agg(
-            F.count(F.lit(1)).alias("total_reports"),
-            F.avg("exam_to_report_hours").alias("mean_tat"),
-            pct(count_true(F.col("has_addendum")), F.count(F.lit(1))).alias("addendum_rate"),
-            F.avg("report_length").alias("avg_length"),
+            total.alias("total_reports"),
+            _mean_hours().alias("mean_tat"),
+            pct(F.sum("_addenda"), total).alias("addendum_rate"),
+            (F.sum("_length") / F.nullif(F.sum("_lengths"), F.lit(0))).alias("avg_length"),
+            _hour_quantile(0.5).alias("median_tat"),
         )
         .filter(F.col("total_reports") >= min_count)
         .orderBy(F.desc("total_reports"), reader)
-        .limit(n)
     )
-    kept = timed.join(F.broadcast(busiest.select(reader)), reader, "left_semi")
-    spread = _hours(kept, {"median_tat": 0.5}, reader)
-    return busiest.join(spread, reader)
+    return readers if n is None else readers.limit(n)
 
 
 def section_completeness(
@@ -490,7 +524,7 @@ def detection_trend(
 
 def followup_examples(
     df: DataFrame,
-    n: int = 10_000,
+    n: int | None = None,
     ts: str = "message_dt",
     modality: str = "modality",
     pred: str = "followup_detected",
@@ -498,12 +532,10 @@ def followup_examples(
     snippet: str = "followup_snippet",
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """The newest detected follow-ups that carry a snippet."""
-    shown = df.filter(F.col(pred) & F.col(snippet).isNotNull())
-    return (
-        shown.orderBy(F.desc(ts), *tiebreak)
-        .limit(n)
-        .select(ts, modality, finding_category(F.col(finding)).alias("finding_category"), snippet)
+    """Detected follow-ups that carry a snippet, the newest first; the first ``n`` if given."""
+    shown = df.filter(F.col(pred) & F.col(snippet).isNotNull()).orderBy(F.desc(ts), *tiebreak)
+    return (shown if n is None else shown.limit(n)).select(
+        ts, modality, finding_category(F.col(finding)).alias("finding_category"), snippet
     )
 
 

@@ -95,7 +95,7 @@ def row_filter(df: DataFrame, table: str, user: User, policy: Policy) -> DataFra
         values = list(user.attributes.get(name, ()))
         if not listed(table, scope) or WILDCARD in values:
             continue
-        valid = [v for v in values if VALUE_PATTERN.match(v)]
+        valid = [v for v in values if VALUE_PATTERN.fullmatch(v)]
         df = df.filter(F.col(rule.column).isin(*valid) if valid else F.lit(False))
     return df
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cohort import CohortConfig, cohort_condition
 from .metrics import pct, period
-from .windows import HOT_ROWS, newest_per, with_neighbours
+from .windows import newest_per, with_neighbours
 
 # Order of the scores for change over time; others count as 0.
 PROGRESSION_RANK = {
@@ -38,6 +40,43 @@ def score_reports(df: DataFrame, kind: str, text: str = "report_text") -> DataFr
     return found.withColumn("primary_score", T.primary_score(F.col("scores"), kind))
 
 
+@dataclass
+class ScoreSearch:
+    """Search for scored reports.  Empty parts do not restrict.
+
+    ``service`` lists alternatives, separated by ``|`` or commas.
+    """
+
+    kind: str = "LIRADS"
+    modalities: Sequence[str] = ()
+    service: str = ""
+    facilities: Sequence[str] = ()
+    min_age: int | None = None
+    max_age: int | None = None
+    date_start: str | None = None
+    date_end: str | None = None
+    columns: dict[str, str] = field(default_factory=dict)
+
+    def condition(self) -> Column:
+        config = CohortConfig(
+            modalities=self.modalities,
+            service_names=self.service.replace("|", ","),
+            facilities=self.facilities,
+            min_age=self.min_age,
+            max_age=self.max_age,
+            date_start=self.date_start,
+            date_end=self.date_end,
+            columns=self.columns,
+        )
+        return cohort_condition(config)
+
+
+def score_search(df: DataFrame, search: ScoreSearch) -> DataFrame:
+    """Reports the search asks for that carry a score, with ``scores`` and ``primary_score``."""
+    text = search.columns.get("report_text", "report_text")
+    return score_reports(df.filter(search.condition()), search.kind, text)
+
+
 def severity(score: Column, kind: str) -> Column:
     """Place in the risk order; scores outside it come last."""
     order = F.lit(999)
@@ -46,6 +85,34 @@ def severity(score: Column, kind: str) -> Column:
     return order
 
 
+def _score_counts(df: DataFrame, scores: str, patient: str | None = None) -> DataFrame:
+    """Per score the mentions and patients, and those of all, from one read.
+
+    Every row also counts for a NULL score, which gives the totals.  Scores are few,
+    so the window over them is.
+    """
+    every = F.array_append(F.coalesce(F.col(scores), F.array().cast("array<string>")), F.lit(None).cast("string"))
+    kept = [] if patient is None else [F.col(patient)]
+    people = F.lit(0).cast("bigint") if patient is None else F.count_distinct(patient)
+    counted = (
+        df.select(F.explode(every).alias("score"), *kept)
+        .groupBy("score")
+        .agg(F.count(F.lit(1)).alias("mentions"), people.alias("patients"))
+    )
+    whole = Window.partitionBy()
+    named = F.col("score").isNotNull()
+    return counted.withColumns(
+        {
+            "all_mentions": F.sum(F.when(named, F.col("mentions"))).over(whole),
+            "all_patients": F.max(F.when(~named, F.col("patients"))).over(whole),
+        }
+    ).filter(named)
+
+
+def _share(part: str, whole: str) -> Column:
+    return F.round(pct(F.col(part), F.col(whole)), 1)
+
+
 def score_distribution(
     df: DataFrame,
     kind: str = "LIRADS",
@@ -58,18 +125,12 @@ def score_distribution(
     Counts mentions against all mentions, or distinct patients against all
     patients.  The percentage has one decimal.
     """
-    if by_patients:
-        known = df.filter(F.col(patient).isNotNull())
-        exploded = known.select(F.explode(scores).alias("score"), patient)
-        counted = exploded.groupBy("score").agg(F.count_distinct(patient).alias("n"))
-        total = known.agg(F.count_distinct(patient))
-    else:
-        exploded = df.select(F.explode(scores).alias("score"))
-        counted = exploded.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-        total = counted.agg(F.sum("n"))
-    share = F.round(pct(F.col("n"), total.scalar()), 1)
-    return counted.select("score", "n", share.alias("percentage")).orderBy(
-        severity(F.col("score"), kind), "score"
+    n, total = ("patients", "all_patients") if by_patients else ("mentions", "all_mentions")
+    counted = _score_counts(df, scores, patient if by_patients else None)
+    return (
+        counted.filter(F.col(n) > 0)
+        .select("score", F.col(n).alias("n"), _share(n, total).alias("percentage"))
+        .orderBy(severity(F.col("score"), kind), "score")
     )
 
 
@@ -77,13 +138,18 @@ def score_overview(
     df: DataFrame, kind: str = "LIRADS", scores: str = "scores", patient: str = "patient_id"
 ) -> DataFrame:
     """Mentions and patients per score side by side, 0 where one has none."""
-    mentions = score_distribution(df, kind, False, scores).select(
-        "score", F.col("n").alias("mentions"), F.col("percentage").alias("mention_pct")
-    )
-    patients = score_distribution(df, kind, True, scores, patient).select(
-        "score", F.col("n").alias("patients"), F.col("percentage").alias("patient_pct")
+    counted = _score_counts(df, scores, patient)
+    return (
+        counted.select(
+            "score",
+            "mentions",
+            _share("mentions", "all_mentions").alias("mention_pct"),
+            "patients",
+            _share("patients", "all_patients").alias("patient_pct"),
+        )
+        .fillna(0)
+        .orderBy(severity(F.col("score"), kind), "score")
     )
-    return mentions.join(patients, "score", "full_outer").fillna(0)
 
 
 def crosstab(
@@ -122,15 +188,19 @@ def patient_stats(
 ) -> DataFrame:
     """Number of patients and their age at the newest report."""
     newest = newest_per_patient(df, patient, ts, tiebreak)
-    ages = newest.groupBy(age).agg(F.count(F.lit(1)).alias("_freq"))
-    # Ages are few; the median is taken over counts.
-    middle = ages.agg(F.percentile(F.col(age), F.lit(0.5), F.col("_freq")))
-    base = newest.agg(
-        F.count(patient).alias("patients"),
-        F.avg(age).alias("mean_age"),
-        F.stddev_samp(age).alias("std_age"),
+    # Ages are few: all numbers are taken over their counts.
+    ages = newest.groupBy(F.col(age).cast("double").alias("_age")).agg(
+        F.count(F.lit(1)).alias("_freq"), F.count(patient).alias("_patients")
+    )
+    known = F.sum(F.when(F.col("_age").isNotNull(), F.col("_freq")))
+    total, squares = F.sum(F.col("_age") * F.col("_freq")), F.sum(F.col("_age") * F.col("_age") * F.col("_freq"))
+    spread = F.greatest(squares - total * total / known, F.lit(0.0))
+    return ages.agg(
+        F.coalesce(F.sum("_patients"), F.lit(0)).alias("patients"),
+        (total / F.nullif(known, F.lit(0))).alias("mean_age"),
+        F.sqrt(F.when(known > 1, spread / (known - 1))).alias("std_age"),
+        F.percentile(F.col("_age"), F.lit(0.5), F.col("_freq")).alias("median_age"),
     )
-    return base.withColumn("median_age", middle.scalar())
 
 
 def share_of(df: DataFrame, c: str) -> DataFrame:
@@ -149,26 +219,25 @@ def score_trend(
     return exploded.groupBy("period", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-def period_bounds(which: str, anchor: dt.date) -> tuple[dt.date, dt.date]:
-    """First and last day of a named period, measured from the anchor."""
-    month_start = anchor.replace(day=1)
-    quarter_start = dt.date(anchor.year, 3 * ((anchor.month - 1) // 3) + 1, 1)
-    one = dt.timedelta(days=1)
-    if which == "current_month":
-        return month_start, anchor
-    if which == "last_month":
-        end = month_start - one
-        return end.replace(day=1), end
-    if which == "current_quarter":
-        return quarter_start, anchor
-    if which == "last_quarter":
-        end = quarter_start - one
-        return dt.date(end.year, end.month - 2, 1), end
-    if which == "current_year":
-        return dt.date(anchor.year, 1, 1), anchor
-    if which == "5_years_ago":
-        return dt.date(anchor.year - 5, 1, 1), dt.date(anchor.year - 5, 12, 31)
-    raise ValueError(f"unknown period {which!r}")
+def period_bounds(which: str, anchor: Column) -> tuple[Column, Column]:
+    """First day of a named period and the day after its last, measured from the anchor."""
+
+    def start(unit: str, months: int = 0) -> Column:
+        first = F.trunc(anchor, unit)
+        return F.add_months(first, months) if months else first
+
+    tomorrow = F.date_add(anchor, 1)
+    bounds = {
+        "current_month": (start("month"), tomorrow),
+        "last_month": (start("month", -1), start("month")),
+        "current_quarter": (start("quarter"), tomorrow),
+        "last_quarter": (start("quarter", -3), start("quarter")),
+        "current_year": (start("year"), tomorrow),
+        "5_years_ago": (start("year", -60), start("year", -48)),
+    }
+    if which not in bounds:
+        raise ValueError(f"unknown period {which!r}")
+    return bounds[which]
 
 
 # Periods that are compared.
@@ -188,21 +257,13 @@ def period_compare(
 ) -> DataFrame:
     """Mentions per score in a period and in the one it is compared with.
 
-    The anchor defaults to the newest date of the data, which is one value.
+    The anchor defaults to the newest date of the data, a scalar subquery.
     """
-    if anchor is None:
-        newest = df.agg(F.max(ts).cast("date").alias("d")).first()["d"]
-        if newest is None:
-            raise ValueError("no dated rows to anchor the periods on")
-        anchor = newest
+    last = df.agg(F.max(ts).cast("date")).scalar() if anchor is None else F.lit(str(anchor)).cast("date")
     inside = []
     for which in COMPARISONS[span]:
-        start, end = period_bounds(which, anchor)
-        day_after = str(end + dt.timedelta(days=1))
-        inside.append(
-            (F.col(ts) >= F.lit(str(start)).cast("date"))
-            & (F.col(ts) < F.lit(day_after).cast("date"))
-        )
+        start, after = period_bounds(which, last)
+        inside.append((F.col(ts) >= start) & (F.col(ts) < after))
     chosen = df.filter(inside[0] | inside[1]).select(
         inside[0].alias("_now"), inside[1].alias("_then"), F.explode(scores).alias("score")
     )
@@ -226,7 +287,7 @@ def progression(
     score: str,
     tiebreak: Sequence[str] = (),
     rank=score_rank,
-    hot_rows: int = HOT_ROWS,
+    runs: int | None = None,
 ) -> DataFrame:
     """Sequence, previous score and change of patients with several reports."""
     ordered = with_neighbours(
@@ -236,7 +297,7 @@ def progression(
         lags={"previous_score": (score, 1)},
         number="report_sequence",
         size="_reports",
-        hot_rows=hot_rows,
+        runs=runs,
     )
     return (
         ordered.filter("_reports > 1")

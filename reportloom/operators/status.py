@@ -12,7 +12,6 @@ from .longitudinal import spine, spine_of
 from .windows import latest_status
 
 # States of a file.
-STATUSES = ("parsed", "staged", "success", "failed")
 STATUS_COLUMNS = ("file_path", "type", "status", "error_message", "processed_at")
 
 
@@ -165,20 +164,22 @@ def rates(
 
 
 def feed_gaps(
-    events: DataFrame, ts: str, gap: str = "24 hours", start=None, end=None
+    events: DataFrame, ts: str, gap: str = "24 hours", start=None, end: Column | str | None = None
 ) -> DataFrame:
-    """Tumbling windows without any event, between the given or observed bounds.
+    """Tumbling windows without any event that are over by ``end``, now if not given.
 
-    Counts per window come first, so the calendar joins a handful of rows per
-    window and not the events.
+    So a feed that has stopped is reported.  The first window is that of ``start`` or
+    of the first event.  Counts per window come first, so the calendar joins a handful
+    of rows per window and not the events.
     """
     seen = windowed_counts(events, ts, gap).select("window_start")
-    bounds = seen.agg(F.min("window_start").alias("_a"), F.max("window_start").alias("_b"))
+    last = F.current_timestamp() if end is None else end if isinstance(end, Column) else F.lit(str(end))
+    step = F.expr(f"INTERVAL {gap}")
+    bounds = seen.agg(F.min("window_start").alias("_a"))
     if start is not None:
         bounds = bounds.withColumn("_a", F.lit(str(start)).cast("timestamp"))
-    if end is not None:
-        bounds = bounds.withColumn("_b", F.lit(str(end)).cast("timestamp"))
-    calendar = bounds.filter("_a IS NOT NULL").select(
+    bounds = bounds.withColumn("_b", last.cast("timestamp") - step)
+    calendar = bounds.filter("_a <= _b").select(
         F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {gap}"))).alias("window_start")
     )
     return calendar.join(seen, "window_start", "left_anti")

@@ -2,9 +2,9 @@
 
 Keeping the first ``n`` rows per key needs no care: Spark limits each group
 before the shuffle, so a hot key arrives as at most ``n`` rows per task.  Lags,
-leads and row numbers need the whole group in order.  For those, keys are counted
-first; hot ones are cut into runs along the order, windows work inside a run, and
-a small table with a few edge rows per run carries values across the cuts.
+leads and row numbers need the whole group in order.  For those, all rows are cut
+into runs of equal size along key and order, windows work inside a run, and a small
+table with a few edge rows per run carries values across the cuts.
 """
 
 from __future__ import annotations
@@ -70,59 +70,16 @@ def duplicate_rank(
     )
 
 
-# A key with more rows than this is cut into runs.
-HOT_ROWS = 5_000_000
-# Runs per HOT_ROWS rows; above one to absorb an uneven spread along the order.
-CELLS_PER_HOT = 4
+def in_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int | None = None) -> DataFrame:
+    """Add ``_run``: the range of key and order a row falls in, all of about equal size.
 
-
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    c = F.col(name)
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
-
-
-def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], along: str, hot_rows: int = HOT_ROWS
-) -> DataFrame | None:
-    """Add ``_run``: 0 for ordinary keys, an equal-width cell of ``along`` for hot ones.
-
-    NULL values of ``along`` fall into run -1, ahead of the others.  Returns None
-    when no key is hot.  At most ``rows / hot_rows`` keys can be hot, so the
-    table of their ranges is small; it is checked before it is broadcast.
+    Ranges are cut by rank, so neither a key with very many rows nor many equal
+    dates make a large one, as long as the order is total.  The rows are written
+    once, since two evaluations might draw different ranges.
     """
-    ranges = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(_as_number(df, along)).alias("_lo"),
-            F.max(_as_number(df, along)).alias("_hi"),
-        )
-        .filter(F.col("_n") > hot_rows)
-    )
-    hot = cut(ranges.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_n", "_lo", "_hi"))
-    found = hot.count()
-    if found == 0:
-        return None
-    if found <= 100_000:
-        hot = F.broadcast(hot)
-    cells = F.ceil(F.col("_n") * F.lit(CELLS_PER_HOT) / F.lit(hot_rows))
-    share = (_as_number(df, along) - F.col("_lo")) / F.nullif(
-        F.col("_hi") - F.col("_lo"), F.lit(0.0)
-    )
-    run = (
-        F.when(F.col("_n").isNull(), F.lit(0))
-        .when(F.col(along).isNull(), F.lit(-1))
-        .otherwise(F.coalesce(F.least(F.floor(share * cells), cells - 1), F.lit(0)))
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    return (
-        df.join(hot, same, "left")
-        .withColumn("_run", run.cast("bigint"))
-        .select(*df.columns, "_run")
-    )
+    runs = runs or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(runs, *keys, *order)
+    return cut(ranged.withColumn("_run", F.spark_partition_id().cast("bigint")))
 
 
 def with_neighbours(
@@ -133,31 +90,25 @@ def with_neighbours(
     leads: dict[str, tuple[str, int]] | None = None,
     number: str | None = None,
     size: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    runs: int | None = None,
 ) -> DataFrame:
     """Add lags, leads, the row number and the group size per key.
 
     ``lags`` and ``leads`` map a new column to ``(source column, offset)``.
-    ``order`` columns are ascending and should be total; the first is a number,
-    date or timestamp.  Equal to the window functions of the same names.
+    ``order`` columns are ascending and should be total.  Equal to the window
+    functions of the same names.  ``runs`` is the number of runs, that of shuffle
+    partitions if not given.  A cut falls into at most one key, so at most
+    ``runs - 1`` keys have rows in several runs; only those need edges, two rows of
+    them for each run at most, which bounds the broadcast sides.
     """
     keys, order = _list(keys), list(order)
     lags, leads = lags or {}, leads or {}
-    runs = split_hot_keys(df, keys, order[0], hot_rows)
-    if runs is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        added = {n: F.lag(c, k).over(w) for n, (c, k) in lags.items()}
-        added |= {n: F.lead(c, k).over(w) for n, (c, k) in leads.items()}
-        if number:
-            added[number] = F.row_number().over(w).cast("bigint")
-        if size:
-            added[size] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        return df.withColumns(added)
-
+    runs = in_runs(df, keys, order, runs)
     in_run = Window.partitionBy(*keys, "_run").orderBy(*order)
     rows = runs.withColumns(
         {
             "_pos": F.row_number().over(in_run),
+            "_rows": F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run")),
             **{n: F.lag(c, k).over(in_run) for n, (c, k) in lags.items()},
             **{n: F.lead(c, k).over(in_run) for n, (c, k) in leads.items()},
         }
@@ -167,41 +118,45 @@ def with_neighbours(
     depth = max([k for _, k in [*lags.values(), *leads.values()]], default=0)
     carried = sorted({c for c, _ in [*lags.values(), *leads.values()]})
     edge = F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in carried])
-    edges = runs.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_rows"))
     cell = [*keys, "_run"]
 
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
         named = right.select(
-            *[F.col(k).alias(f"_j_{k}") for k in cell],
-            *[c for c in right.columns if c not in cell],
+            *[F.col(k).alias(f"_j_{k}") for k in on],
+            *[c for c in right.columns if c not in on],
         )
-        same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in cell]
-        return left.join(named, same).drop(*[f"_j_{k}" for k in cell])
+        same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in on]
+        found = left.join(F.broadcast(named), same, how)
+        return found if how == "left_semi" else found.drop(*[f"_j_{k}" for k in on])
+
+    spread = runs.groupBy(*keys).agg(F.min("_run").alias("_a"), F.max("_run").alias("_b"))
+    inner = joined(runs, spread.filter("_a < _b").select(*keys), keys, "left_semi")
+    edges = inner.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size"))
 
     if leads:
-        heads = first_n_per(runs, cell, order, depth)
+        heads = first_n_per(inner, cell, order, depth)
         heads = heads.groupBy(*cell).agg(F.array_sort(F.collect_list(edge)).alias("_head"))
-        edges = joined(edges, heads)
+        edges = joined(edges, heads, cell)
     if lags:
-        tails = first_n_per(runs, cell, [F.desc(c) for c in order], depth)
+        tails = first_n_per(inner, cell, [F.desc(c) for c in order], depth)
         tails = tails.groupBy(*cell).agg(
             F.reverse(F.array_sort(F.collect_list(edge))).alias("_tail")
         )
-        edges = joined(edges, tails)
+        edges = joined(edges, tails, cell)
 
     ahead = Window.partitionBy(*keys).orderBy("_run")
     behind = Window.partitionBy(*keys).orderBy(F.desc("_run"))
     carry = {
         "_before": F.coalesce(
-            F.sum("_rows").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.sum("_size").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ),
-        "_total": F.sum("_rows").over(Window.partitionBy(*keys)),
+        "_total": F.sum("_size").over(Window.partitionBy(*keys)),
     }
     if leads:
         carry["_next"] = F.flatten(F.collect_list("_head").over(ahead.rowsBetween(1, depth)))
     if lags:
         carry["_prev"] = F.flatten(F.collect_list("_tail").over(behind.rowsBetween(1, depth)))
-    whole = joined(rows, edges.withColumns(carry))
+    whole = joined(rows, edges.withColumns(carry), cell, "left")
 
     out = {}
     for name, (c, k) in lags.items():
@@ -216,9 +171,9 @@ def with_neighbours(
             F.get("_next", at.cast("int"))[f"_v_{c}"]
         )
     if number:
-        out[number] = (F.col("_before") + F.col("_pos")).cast("bigint")
+        out[number] = (F.coalesce("_before", F.lit(0)) + F.col("_pos")).cast("bigint")
     if size:
-        out[size] = F.col("_total").cast("bigint")
+        out[size] = F.coalesce("_total", "_rows").cast("bigint")
     return whole.withColumns(out).select(*df.columns, *out)
 
 
@@ -247,7 +202,7 @@ def bursts(
     k: int = 3,
     months: int = 18,
     tiebreak: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    runs: int | None = None,
 ) -> DataFrame:
     """Patients with ``k`` rows within ``months`` full months.
 
@@ -256,7 +211,7 @@ def bursts(
     """
     dated = df.select(patient, ts, *tiebreak)
     ahead = with_neighbours(
-        dated, patient, [ts, *tiebreak], leads={"_kth": (ts, k - 1)}, hot_rows=hot_rows
+        dated, patient, [ts, *tiebreak], leads={"_kth": (ts, k - 1)}, runs=runs
     )
     span = F.timestamp_diff("MONTH", F.col(ts).cast("timestamp"), F.col("_kth").cast("timestamp"))
     return (

@@ -1,11 +1,4 @@
 """Registered queries: every operator over the driver tables, with equal SQL."""
 
-import importlib
-
+from . import identity, ingest, journeys, maintenance, metrics, monitoring, search  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
-
-for _name in ("ingest", "maintenance", "identity", "search", "metrics", "journeys", "monitoring"):
-    try:
-        importlib.import_module(f".{_name}", __name__)
-    except ModuleNotFoundError:
-        pass

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import identity as I
 from ..operators.curate import curate
+from ..operators.windows import newest_per
 from .maintenance import BASE, base_reports
 from .registry import query
 from .shapes import EXAMS, exams
@@ -259,3 +260,27 @@ def _(t):
     marked = view.withColumn("epic_mrn", F.when(F.col("o_orderstatus") == "F", F.col("n_name")))
     found = I.expand_patients(marked, ["NATION_1", "NATION_2"], ["epic_mrn"], "o_custkey")
     return found.select("o_orderkey", "o_custkey")
+
+
+@query(
+    "E11_named_views",
+    f"""WITH {EXAMS}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id
+         ORDER BY requested_dt DESC, o_orderkey DESC) AS rn FROM exams) WHERE rn = 1)
+       SELECT 'reports_curated' AS name, count(*) AS n, CAST(NULL AS VARCHAR) AS last_mpi FROM exams
+       UNION ALL SELECT 'reports_latest', count(*), NULL FROM newest
+       UNION ALL SELECT 'reports_curated_epic_view', count(*), max(mpi) FROM exams WHERE patient_id % 3 <> 0
+       UNION ALL SELECT 'reports_latest_epic_view', count(*), max(mpi) FROM newest WHERE patient_id % 3 <> 0""",
+)
+def _(t):
+    curated = exams(t)
+    latest = newest_per(curated, "patient_id", [F.desc("requested_dt"), F.desc("o_orderkey")])
+    mapping = curated.select(
+        F.col("patient_id").cast("string").alias("patient_id"), "primary_report_identifier", "mpi", "epic_mrn",
+        (F.col("patient_id") % 3 != 0).alias("consistent"),
+    )
+    out = None
+    for name, view in I.report_views(curated.drop("patient_id"), latest.drop("patient_id"), mapping).items():
+        last = F.max("resolved_mpi") if name.endswith("_view") else F.lit(None).cast("string")
+        row = view.agg(F.count("*").alias("n"), last.alias("last_mpi")).select(F.lit(name).alias("name"), "n", "last_mpi")
+        out = row if out is None else out.unionByName(row)
+    return out

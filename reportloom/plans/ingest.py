@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hl7
 from ..operators import curate
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources import lists, logs, messages, sinks
 from .registry import query
 from .shapes import DOCS, EXAMS, SOURCE, doc_reports, exams, hl7_messages
@@ -115,7 +115,7 @@ def _(t):
     framed.write.option("extension", "log").option("sep", "\x01").option("quote", "").option(
         "ignoreLeadingWhiteSpace", False
     ).csv(path)
-    split = logs.read_discovered_logs(t.spark, path, logs.discover_logs(t.spark, path))
+    split = logs.read_discovered_logs(t.spark, path, logs.discover_logs(t.spark, path, "part"), "part")
     facility = hl7.component(hl7.header(F.get("lines", F.lit(0))), 4)
     return split.groupBy(facility.alias("sending_facility")).agg(F.count("*").alias("n"))
 
@@ -148,7 +148,11 @@ def _(t):
     )
 
 
-@query("A8_zipped_messages", f"WITH {SOURCE} SELECT k AS message_control_id, n_name AS facility FROM src")
+@query(
+    "A8_zipped_messages",
+    f"""WITH {SOURCE} SELECT k AS message_control_id, n_name AS facility FROM src WHERE o_orderkey IN (
+       SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""",
+)
 def _(t):
     def pack(batches):
         for batch in batches:
@@ -158,8 +162,12 @@ def _(t):
                     z.writestr(name, content)
             yield pd.DataFrame({"path": [batch["source_file"].iloc[0] + ".zip"], "content": [data.getvalue()]})
 
-    archives = hl7_messages(t).mapInPandas(pack, "path string, content binary")
-    found = messages.parse_messages(messages.unzip_messages(archives), keep=["source_file"])
+    archives = cut(hl7_messages(t).mapInPandas(pack, "path string, content binary"))
+    # Members carry their archive's path; those of some orders are wanted.
+    members = messages.unzip_messages(archives).select("source_file")
+    orders = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("k"))
+    wanted = members.join(orders, F.regexp_extract("source_file", r"(\d+)\.hl7$", 1) == F.col("k"), "left_semi")
+    found = messages.zipped_messages(archives, wanted)
     return found.select(
         hl7.component(hl7.header(), 10).alias("message_control_id"),
         hl7.component(hl7.header(), 4).alias("facility"),
@@ -196,7 +204,7 @@ def _(t):
     ids, column = lists.read_id_list(t.spark, path)
     people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     assert column == "epic_mrn"
-    return people.join(F.broadcast(ids), F.col("n_name") == F.col("id")).groupBy("id").agg(
+    return people.join(ids, F.col("n_name") == F.col("id")).groupBy("id").agg(
         F.count("*").alias("n")
     )
 
@@ -254,16 +262,8 @@ def _(t):
        AS BIGINT) AS followups, count(*) AS n FROM docs GROUP BY 1""",
 )
 def _(t):
-    def tally(batch: pd.DataFrame) -> pd.DataFrame:
-        hit = batch["followup_finding"].str.lower().str.contains("follow-up", regex=False)
-        return batch.assign(hit=hit).groupby("modality", as_index=False).agg(
-            followups=("hit", "sum"), n=("hit", "size")
-        )
-
-    parts = sinks.fold_batches(
-        doc_reports(t).select("modality", "followup_finding"), tally, "modality string, followups long, n long"
-    )
-    return parts.groupBy("modality").agg(F.sum("followups").alias("followups"), F.sum("n").alias("n"))
+    hit = F.contains(F.lower("followup_finding"), F.lit("follow-up"))
+    return sinks.fold_batches(doc_reports(t), "modality", followups=F.count_if(hit), n=F.count("*"))
 
 
 @query(
@@ -393,7 +393,8 @@ def _(t):
     ids = parsed(t).select(
         "source_file", hl7.patient_ids(hl7.field(hl7.segment("PID"), 3)).alias("patient_ids")
     )
-    return curate.pivot_patient_ids(ids).drop("patient_ids")
+    keys = ["epic_mrn", "legacy_patient_id_fh", "legacy_patient_id_oh", "legacy_patient_id_ph"]
+    return curate.pivot_patient_ids(ids, keys=keys).drop("patient_ids")
 
 
 @query(
@@ -499,8 +500,7 @@ def _(t):
         F.concat(F.lit("X"), (F.col("r_regionkey") + 2).cast("string")).alias("service_identifier"),
         F.col("r_name").alias("modality"),
     )
-    # The identifier columns are known, so no job is needed to discover them.
-    r = curate.build_reports(parsed(t), codes, id_keys=["epic_mrn"])
+    r = curate.build_reports(parsed(t), codes)
     return r.select(
         "source_file", "message_control_id", "sending_facility", "mpi", "sex", "race", "patient_class",
         "orc_2_placer_order_number", "orc_3_filler_order_number", "obr_3_filler_order_number",

@@ -34,9 +34,8 @@ def _(t):
     "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
 )
 def _(t):
-    # Twenty-five rows at any scale.
     return t.customer.join(
-        F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"
     ).select("c_custkey", "n_name")
 
 

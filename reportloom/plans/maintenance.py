@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import changes as C
-from ..operators import curate
-from ..session import scratch_path
+from ..operators import curate, status
+from ..session import cut, scratch_path
 from ..sources.messages import parse_messages
 from ..streaming.cascade import Derivative, ReportTables, run_cascade
 from ..streaming.tables import MergeTable
@@ -512,10 +513,10 @@ def _(t):
        FROM lineitem""",
 )
 def _(t):
-    lines = keyed_lines(t)
-    kept = C.require_key(lines, "accession").agg(F.count("*").alias("kept"))
-    total = lines.agg(F.count("*")).scalar()
-    return kept.withColumn("dropped", total - F.col("kept"))
+    seen = Observation()
+    kept = C.require_key(keyed_lines(t), "accession", seen).agg(F.count("*").alias("kept"))
+    found = cut(kept)  # the observation is filled as the rows are counted
+    return found.withColumn("dropped", F.lit(seen.get["dropped"]).cast("bigint"))
 
 
 @query(
@@ -529,3 +530,21 @@ def _(t):
     return curate.curate(reports).select("accession_number", "primary_patient_identifier", "patient_age")
 
 
+
+
+@query(
+    "B_to_C_ingest_status",
+    f"""WITH {SOURCE}, f AS (SELECT source_file, regexp_matches(source_file, '7\\.hl7$') AS broken FROM src)
+       SELECT source_file AS file_path, CASE WHEN broken THEN 'failed' ELSE 'success' END AS status,
+       CASE WHEN broken THEN 'File is not parsable as HL7' END AS error_message, NOT broken AS stored FROM f""",
+)
+def _(t):
+    broken = F.col("source_file").rlike(r"7\.hl7$")
+    content = hl7_messages(t).withColumn("content", F.when(broken, F.lit("no message")).otherwise(F.col("content")))
+    tables = ReportTables(t.spark, scratch_path(t.spark, "ingested"), buckets=4)
+    tables.ingest_messages(0, parse_messages(content, keep=["source_file"]))
+    now = status.current_status(t.spark.read.parquet(tables.status_path))
+    stored = tables.base.read().select(F.col("source_file").alias("file_path"), F.lit(True).alias("stored"))
+    return now.join(stored, "file_path", "left").select(
+        "file_path", "status", "error_message", F.coalesce("stored", F.lit(False)).alias("stored")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import policy, status
+from ..operators.windows import newest_per
 from ..session import scratch_path
 from ..streaming import archive
 from ..streaming.cascade import fan_out, stream_changes
@@ -36,8 +37,11 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
 
 
-def run(stream, t, mode, name):
-    """Run a streaming aggregate over what is there and read its result."""
+def run(stream, t, mode, name, key=None):
+    """Run a stream over what is there and read its result.
+
+    A row of a ``key`` that a later batch writes again replaces the earlier one.
+    """
     path = scratch_path(t.spark, name)
 
     def keep(batch, batch_id):
@@ -51,7 +55,8 @@ def run(stream, t, mode, name):
         .start()
     )
     query.awaitTermination()
-    return t.spark.read.parquet(path).drop("batch")
+    rows = t.spark.read.parquet(path)
+    return (newest_per(rows, key, [F.desc("batch")]) if key else rows).drop("batch")
 
 
 @query(
@@ -134,8 +139,8 @@ def _(t):
 
 @query("K4_keyed_stream", f"WITH {SOURCE} SELECT k AS key, count(*) AS n FROM src GROUP BY 1")
 def _(t):
-    stream = archive.keyed(message_folder(t)).filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
-    return run(stream, t, "complete", "keyed")
+    stream = archive.keyed(message_folder(t)).filter("key IS NOT NULL").select("key")
+    return run(stream, t, "append", "keyed").groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -234,11 +239,14 @@ def _(t):
 @query(
     "K11_feed_gaps",
     """WITH w AS (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events),
-       s AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 5 MINUTE)) AS b FROM w)
+       e AS (SELECT max(ts) + INTERVAL 1 HOUR AS e FROM events),
+       s AS (SELECT unnest(generate_series(min(b), (SELECT e FROM e) - INTERVAL 5 MINUTE, INTERVAL 5 MINUTE)) AS b FROM w)
        SELECT s.b AS window_start FROM s WHERE s.b NOT IN (SELECT b FROM w)""",
 )
 def _(t):
-    gaps = status.feed_gaps(t.events, "ts", "5 minutes")
+    # As seen an hour after the feed stopped.
+    later = t.events.agg(F.max("ts") + F.expr("INTERVAL 1 HOUR")).scalar()
+    gaps = status.feed_gaps(t.events, "ts", "5 minutes", end=later)
     return gaps.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"))
 
 
@@ -272,7 +280,7 @@ def _(t):
 )
 def _(t):
     counted = status.windowed_counts(event_stream(t), "ts", "1 hour", watermark="1 hour", keys=["event_type"])
-    done = run(counted, t, "complete", "windows")
+    done = run(counted, t, "update", "windows", ["window_start", "event_type"])
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 

@@ -23,18 +23,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Rows over all cores, for heavy work on fewer input files than cores.
-
-        A table of many files is read in parallel already and is left alone.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-    @property
-    def texts(self) -> DataFrame:
-        return self.spread(self.documents)
-
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name`` with the SQL it must agree with."""

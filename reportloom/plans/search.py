@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import cohort as K
-from ..operators import evidence
+from ..operators import evidence, scores
 from ..sources.lists import clean_ids
 from .registry import query
 from .shapes import DOCS, EXAMS, diagnosis_array, doc_reports, exams, part_reports
@@ -53,7 +53,7 @@ def _(t):
        OR contains(lower(text), 'c++') OR contains(lower(text), 'data')""",
 )
 def _(t):
-    return t.texts.filter(P.text_terms(F.col("text"), "the.{0,20}license\n c++ \n\nData")).select("doc_id")
+    return t.documents.filter(P.text_terms(F.col("text"), "the.{0,20}license\n c++ \n\nData")).select("doc_id")
 
 
 COHORT_SQL = f"""WITH {EXAMS} SELECT DISTINCT patient_id, modality, sending_facility, sex FROM exams
@@ -143,7 +143,7 @@ def _(t):
 def buyer_ids(t):
     """Suppliers' numbers as an uploaded list of customer ids, some unknown."""
     raw = t.supplier.select((F.col("s_suppkey") * 40).cast("string").alias("c0"))
-    return clean_ids(raw, "c0", cap=10**9)
+    return clean_ids(raw, "c0")
 
 
 @query(
@@ -195,7 +195,7 @@ MENTION = r"licen[sc]e|\bdata\b|ich thon|ion onth"
        FROM pieces""",
 )
 def _(t):
-    return t.texts.select("doc_id", T.positive_mention(F.col("text"), [MENTION]).alias("positive"))
+    return t.documents.select("doc_id", T.positive_mention(F.col("text"), [MENTION]).alias("positive"))
 
 
 @query(
@@ -205,7 +205,7 @@ def _(t):
 )
 def _(t):
     # A word that occurs thousands of times in a long text, negated by the word before it.
-    return t.texts.select(
+    return t.documents.select(
         "doc_id",
         T.positive_mention(F.col("text"), [r"\bthe\b"], [r"\bof\s+$"]).alias("positive"),
     )
@@ -219,7 +219,7 @@ def _(t):
          has_strong_indicator OR positive AS included_in_cohort FROM f""",
 )
 def _(t):
-    docs = t.texts.withColumn("diagnoses", diagnosis_array((F.col("lang"), F.col("source"))))
+    docs = t.documents.withColumn("diagnoses", diagnosis_array((F.col("lang"), F.col("source"))))
     return K.flag_inclusion(docs, ["de"], [MENTION], "text").select(
         "doc_id", "has_strong_indicator", "has_positive_mention", "included_in_cohort"
     )
@@ -233,7 +233,7 @@ def _(t):
 )
 def _(t):
     text = F.col("text")
-    return t.texts.filter(P.matches(text, "license") & P.unnegated(text, "license")).select("doc_id")
+    return t.documents.filter(P.matches(text, "license") & P.unnegated(text, "license")).select("doc_id")
 
 
 @query(
@@ -249,7 +249,7 @@ def _(t):
         findings=F.when(de, F.col("source")),
         text=F.col("text"),
     )
-    return t.texts.filter(found).select("doc_id")
+    return t.documents.filter(found).select("doc_id")
 
 
 @query(
@@ -259,7 +259,7 @@ def _(t):
        OR regexp_matches(text, '(?is)the.{0,15}data')""",
 )
 def _(t):
-    return t.texts.filter(P.matches(F.col("text"), P.near("the", "thousand|data", 15))).select("doc_id")
+    return t.documents.filter(P.matches(F.col("text"), P.near("the", "thousand|data", 15))).select("doc_id")
 
 
 @query(
@@ -304,11 +304,20 @@ def _(t):
     return found.select("primary_report_identifier", "accession_number", "modality")
 
 
-@query("F21_rows", f"WITH {EXAMS} SELECT primary_report_identifier, accession_number, false AS truncated FROM exams")
+@query(
+    "F21_rows",
+    f"""WITH {EXAMS}, all_rows AS (SELECT primary_report_identifier, accession_number, NULL AS more FROM exams),
+       page AS (SELECT primary_report_identifier, accession_number, (SELECT count(*) > 500 FROM exams
+         WHERE primary_report_identifier > '1') AS more FROM exams WHERE primary_report_identifier > '1'
+         ORDER BY primary_report_identifier LIMIT 500)
+       SELECT 'all' AS part, primary_report_identifier, accession_number, CAST(more AS BOOLEAN) AS more FROM all_rows
+       UNION ALL SELECT 'page', primary_report_identifier, accession_number, more FROM page""",
+)
 def _(t):
     df = exams(t).select("primary_report_identifier", "accession_number").withColumn("report_text", F.lit("x"))
-    found, truncated = K.rows(df, cap=10**9)
-    return found.withColumn("truncated", F.lit(truncated))
+    whole = K.rows(df).select(F.lit("all").alias("part"), "*", F.lit(None).cast("boolean").alias("more"))
+    page = K.rows(df, page=500, after="1")
+    return whole.unionByName(page.select(F.lit("page").alias("part"), "*"))
 
 
 @query(
@@ -416,7 +425,7 @@ def scored(t):
         F.lit("A, pirads "),
         (n % 5 + 1).cast("string"),
     )
-    return t.texts.select("doc_id", "source", F.concat("text", tail).alias("text"))
+    return t.documents.select("doc_id", "source", F.concat("text", tail).alias("text"))
 
 
 SCORED = """scored AS (
@@ -506,7 +515,7 @@ EXCERPT = r"(?is)\b(?:with\ the|that\ of)\b"
 )
 def _(t):
     terms = ["with the", " that of", ""]
-    return t.texts.select("doc_id", T.excerpt([F.col("source"), F.col("text")], terms).alias("excerpt"))
+    return t.documents.select("doc_id", T.excerpt([F.col("source"), F.col("text")], terms).alias("excerpt"))
 
 
 @query(
@@ -537,7 +546,7 @@ def _(t):
              AS negated FROM spans)""",
 )
 def _(t):
-    found = t.texts.select("doc_id", F.explode(T.match_spans(F.col("text"), [MENTION, r"\bdata\b"])).alias("m"))
+    found = t.documents.select("doc_id", F.explode(T.match_spans(F.col("text"), [MENTION, r"\bdata\b"])).alias("m"))
     return found.select(
         "doc_id", F.col("m.start").alias("start"), F.col("m.end").cast("bigint").alias("stop"), F.col("m.negated").alias("negated")
     )
@@ -553,7 +562,7 @@ def _(t):
     # The whole text with its white space changed is found at its own place.
     snippet = F.concat(F.lit("  "), F.regexp_replace("text", r"\s+", " \n "))
     return (
-        t.texts.select("doc_id", T.locate_snippet(F.col("text"), snippet).alias("m"))
+        t.documents.select("doc_id", T.locate_snippet(F.col("text"), snippet).alias("m"))
         .filter("m IS NOT NULL")
         .select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("stop"))
     )
@@ -616,3 +625,70 @@ def _(t):
         docs, errors, 50, F.col("modality").isin("MR", "US"), processed="followup_detected",
         columns=["primary_report_identifier", "message_dt"],
     )
+
+
+SEARCH = """SELECT d.doc_id, {scores} AS sc FROM docs d JOIN scored USING (doc_id)
+  WHERE lower(modality) IN ('ct', 'us') AND regexp_matches(sending_facility, '(?is)src1|src7') AND patient_age >= 10
+  AND patient_age <= 100 AND message_dt >= DATE '2024-01-01' AND regexp_matches(text, '(?is)(LI-?RADS|LR-[1-5M])')"""
+
+
+@query(
+    "H22_score_search",
+    f"""WITH {DOCS}, {SCORED}, s AS ({SEARCH.format(scores=duck_scores("LIRADS"))})
+       SELECT doc_id, array_to_string(sc, ',') AS scores, {duck_primary("LIRADS")} AS primary_score FROM s WHERE len(sc) > 0""",
+)
+def _(t):
+    texts = scored(t).select("doc_id", F.col("text").alias("report_text"))
+    reports = doc_reports(t).drop("report_text").join(texts, "doc_id")
+    search = scores.ScoreSearch(
+        modalities=["ct", "US"], service="src1|src7", min_age=10, max_age=100, date_start="2024-01-01",
+        columns={"service_name": "sending_facility", "requested_dt": "message_dt"},
+    )
+    found = scores.score_search(reports, search)
+    return found.select("doc_id", F.array_join("scores", ",").alias("scores"), "primary_score")
+
+
+@query(
+    "F14_cohort_pipeline",
+    f"""WITH {PIECES.format(p="license")}, {DOCS}, f AS (
+         SELECT d.doc_id, modality = 'US' AS strong, coalesce({duck_mentions("license", NEG)}, false) AS positive
+         FROM docs d JOIN pieces USING (doc_id) WHERE modality IN ('US', 'CT', 'MR') AND patient_age <= 100
+         AND (modality = 'US' OR regexp_matches(report_text, '(?is)license')))
+       SELECT 'tested' AS part, doc_id, strong AS has_strong_indicator, strong OR positive AS has_positive_mention,
+         strong OR positive AS included_in_cohort FROM f
+       UNION ALL SELECT 'all', doc_id, false, true, true FROM f""",
+)
+def _(t):
+    docs = doc_reports(t).withColumn("diagnoses", diagnosis_array((F.col("modality"), F.col("sending_facility"))))
+    config = K.CohortConfig(
+        diagnosis_codes=["US"], text_terms="license", modalities=["us", "ct", "mr"], max_age=100
+    )
+    out = None
+    for part, tested in (("tested", True), ("all", False)):
+        rows = K.build_cohort(docs, config, tested).select(
+            F.lit(part).alias("part"), "doc_id", "has_strong_indicator", "has_positive_mention", "included_in_cohort"
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "F25_search_evidence",
+    f"""WITH {DOCS} SELECT primary_report_identifier, {duck_excerpt("report_text", EXCERPT)} AS excerpt,
+       CASE WHEN modality = 'US' THEN 'US' ELSE '' END AS codes FROM docs""",
+)
+def _(t):
+    docs = doc_reports(t).withColumn("diagnoses", diagnosis_array((F.col("modality"), F.col("sending_facility"))))
+    search = K.Search(lambda: docs, terms=["with the", "that of"], prefixes=["us"])
+    codes = F.array_join(F.transform("matched_diagnoses", lambda d: d["code"]), ",")
+    return search.evidence().select("primary_report_identifier", "excerpt", codes.alias("codes"))
+
+
+@query(
+    "F26_combined_filters",
+    f"""WITH {REVIEWED} SELECT accession_number FROM f
+       WHERE included_in_cohort AND NOT strong AND reviewed AND decision""",
+)
+def _(t):
+    wanted = ["included", "text_only", "reviewed", "decided_in"]
+    return K.cohort_review_filter(cohort_rows(t), decisions(t), wanted).select("accession_number")

@@ -102,7 +102,7 @@ quality AS (
 
 def doc_reports(t: Tables) -> DataFrame:
     lang = F.col("lang")
-    return t.texts.join(t.labels, "doc_id", "left").select(
+    return t.documents.join(t.labels, "doc_id", "left").select(
         "doc_id",
         F.col("doc_id").cast("string").alias("primary_report_identifier"),
         F.when(lang == "en", "CT")
@@ -266,7 +266,7 @@ def hl7_messages(t: Tables) -> DataFrame:
         F.concat(F.lit("ZDS|1.2."), key),
     ]
     return (
-        t.spread(t.orders)
+        t.orders
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(

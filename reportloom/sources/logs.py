@@ -96,20 +96,21 @@ def discover_logs(
     return found
 
 
-def yesterday() -> dt.date:
-    """Default date of a scheduled run, in local time."""
-    return dt.date.today() - dt.timedelta(days=1)
-
-
-def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_log_lines(
+    spark: SparkSession, paths: str | Sequence[str], date: str | dt.date | None = None
+) -> DataFrame:
     """Lines as ``log_path, block, pos, line``; ``(block, pos)`` is file order.
 
+    With a date only files whose name carries it are opened.
+
     ``block`` is the byte offset of the input block and ``pos`` grows within it.
     The text source hands over raw bytes, which are then decoded as ISO-8859-1.
     """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if date is not None:
+        reader = reader.option("pathGlobFilter", f"*{str(date).replace('-', '')}*")
     return (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(paths)
+        reader.text(paths)
         .select(
             F.col("_metadata.file_path").alias("log_path"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -237,11 +238,14 @@ def same_path(path: Column | str) -> Column:
 
 
 def read_discovered_logs(
-    spark: SparkSession, root: str | Sequence[str], found: DataFrame
+    spark: SparkSession, root: str | Sequence[str], found: DataFrame, date: str | dt.date | None = None
 ) -> DataFrame:
-    """Messages of the ``found`` logs below ``root``; the list stays on the executors."""
+    """Messages of the ``found`` logs below ``root``; the list stays on the executors.
+
+    Logs found for a date should be read with it, so that no other day is opened.
+    """
     listed = found.select(same_path("log_path").alias("_path")).distinct()
-    lines = read_log_lines(spark, root).join(
+    lines = read_log_lines(spark, root, date).join(
         listed, same_path("log_path") == F.col("_path"), "left_semi"
     )
     return split_frames(lines).withColumn("log_date", log_date("log_path"))

@@ -63,16 +63,35 @@ def unzip_messages(
     ).mapInPandas(unpack, "source_file string, content string")
 
 
+def zipped_messages(archives: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Parsed messages of archives ``path, content``, optionally only the ``wanted`` paths.
+
+    Archives without a wanted member are left out before anything is unpacked.
+    """
+    if wanted is not None:
+        listed = wanted.select(F.col(wanted.columns[0]).alias("source_file")).distinct()
+        archive = F.regexp_extract("source_file", r"(?i)^(.*?\.zip)/", 1)
+        archives = archives.join(listed.select(archive.alias("path")).distinct(), "path", "left_semi")
+    messages = unzip_messages(archives)
+    if wanted is not None:
+        messages = messages.join(listed, "source_file", "left_semi")
+    return parse_messages(messages, "content", keep=["source_file"])
+
+
 def read_zipped_messages(
     spark: SparkSession, archives: str | Sequence[str], wanted: DataFrame | None = None
 ) -> DataFrame:
-    """Parsed messages of zip archives, optionally only the ``wanted`` paths."""
-    files = spark.read.format("binaryFile").load(archives)
-    messages = unzip_messages(files)
+    """Parsed messages of zip archives, optionally only the ``wanted`` paths.
+
+    Only archives with a wanted member are opened: their paths, one for each archive,
+    are all that reaches the driver, as paths of a source must.  An archive is one
+    value, so it has to stay below 2 GB.
+    """
+    source = spark.read.format("binaryFile")
     if wanted is not None:
-        messages = messages.join(
-            wanted.select(F.col(wanted.columns[0]).alias("source_file")).distinct(),
-            "source_file",
-            "left_semi",
-        )
-    return parse_messages(messages, "content", keep=["source_file"])
+        archive = F.regexp_extract(F.col(wanted.columns[0]), r"(?i)^(.*?\.zip)/", 1).alias("path")
+        listed = source.load(archives).select("path").join(wanted.select(archive).distinct(), "path", "left_semi")
+        archives = [r["path"] for r in listed.collect()]
+        if not archives:
+            return zipped_messages(spark.createDataFrame([], "path string, content binary"))
+    return zipped_messages(source.load(archives).select("path", "content"), wanted)

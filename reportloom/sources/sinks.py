@@ -93,15 +93,10 @@ def export_cohort(
     )
 
 
-def fold_batches(
-    df: DataFrame,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-) -> DataFrame:
-    """Process a large result in bounded Arrow batches, inside the tasks."""
+def fold_batches(df: DataFrame, by: str | Sequence[str], **sums: Column) -> DataFrame:
+    """Running totals of a large result per group.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield fn(batch)
-
-    return df.mapInPandas(run, schema)
+    Every task folds the batches it reads into partial sums; only those are shuffled.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    return df.groupBy(*keys).agg(*[c.alias(name) for name, c in sums.items()])

@@ -8,8 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import hl7
 
-# Records per archive batch and seconds without data that close one.
-BATCH_RECORDS = 1000
+# Fixed value: seconds without data that close an archive batch.
 BATCH_SECONDS = 30
 
 

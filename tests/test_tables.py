@@ -81,8 +81,8 @@ def test_cascade_in_batches(spark, tmp_path):
     ).count()
 
 
-@pytest.mark.parametrize("hot", [1, 4, 10**9])
-def test_neighbours_equal_windows(spark, hot):
+@pytest.mark.parametrize("runs", [1, 3, 40])
+def test_neighbours_equal_windows(spark, runs):
     rng = random.Random(2)
     rows = []
     for i in range(400):
@@ -104,7 +104,7 @@ def test_neighbours_equal_windows(spark, hot):
     )
     got = windows.with_neighbours(
         df, "k", ["at", "i"], lags={"p1": ("v", 1), "p3": ("i", 3)}, leads={"n2": ("v", 2)},
-        number="rn", size="size", hot_rows=hot,
+        number="rn", size="size", runs=runs,
     ).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
@@ -155,3 +155,9 @@ def test_compaction_expiry_and_readers(spark, tmp_path):
     assert {r[0] for r in table.changes().select("_commit_version").collect()} == {3}
     assert sorted((tuple(r) for r in table.read().select("id", "y", "v").collect()), key=key) == want
     assert len(list((tmp_path / "t").glob("base-*"))) == 1
+
+
+def test_equal_dates_are_cut_into_even_runs(spark):
+    rows = spark.range(100_000).select(F.lit("k").alias("k"), F.lit(5).alias("at"), "id")
+    sizes = [r["count"] for r in windows.in_runs(rows, ["k"], ["at", "id"], 16).groupBy("_run").count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 2 * 100_000 / 16

@@ -59,17 +59,24 @@ def test_mask_and_access(seed):
 
 
 @pytest.mark.parametrize("span, target, step", [(10, 10, 1), (95, 10, 10), (19, 10, 2), (0.37, 10, 0.05), (41, 10, 5)])
-def test_nice_step(span, target, step):
-    assert profile.nice_step(span, target) == pytest.approx(step)
+def test_round_width(spark, span, target, step):
+    found = spark.range(1).select(profile.round_width(F.lit(float(span)) / target)).first()[0]
+    assert found == pytest.approx(step)
 
 
-def test_intervals():
+def test_calendar_widths(spark):
     day = dt.datetime(2024, 3, 1)
-    assert profile.pick_interval(day, day + dt.timedelta(hours=5), 10) == ("second", 1800)
-    assert profile.pick_interval(day, day + dt.timedelta(days=8), 10) == ("second", 86400)
-    assert profile.pick_interval(day, day + dt.timedelta(days=300), 10) == ("month", 1)
-    assert profile.pick_interval(day, day + dt.timedelta(days=365 * 300), 10) == ("year", 10)
-    assert [profile.bucket_target(n, True, 20) for n in (1, 2, 4, 5, 10**6)] == [1, 2, 2, 3, 20]
+
+    def width(length):
+        chosen = profile.calendar_width(F.lit(day), F.lit(day + length), F.lit(10))
+        return tuple(spark.range(1).select(chosen.alias("w")).first()["w"])[:2]
+
+    assert width(dt.timedelta(hours=5)) == (1800, 0)
+    assert width(dt.timedelta(days=8)) == (86400, 0)
+    assert width(dt.timedelta(days=300)) == (0, 1)
+    assert width(dt.timedelta(days=365 * 300)) == (0, 120)
+    counts = [spark.range(1).select(profile.buckets(F.lit(n), F.lit(True), 20)).first()[0] for n in (1, 2, 4, 5, 10**6)]
+    assert counts == [1, 2, 2, 3, 20]
 
 
 def test_profiles_of_few_values(spark):
@@ -77,7 +84,11 @@ def test_profiles_of_few_values(spark):
     assert [tuple(r) for r in profile.profile_numeric(one, "n").collect()] == [(3.0, 4.0, 1, 3.0, 3.0)]
     assert profile.profile_categorical(one, "e").count() == 0
     assert [r["label"] for r in profile.profile_categorical(one, "s").collect()] == ["a"]
-    assert profile.column_kinds(one) == {"n": "numeric", "s": "categorical", "e": "none"}
+    kinds = {r["column_name"]: r["kind"] for r in profile.column_kinds(one).collect()}
+    assert kinds == {"n": "numeric", "s": "categorical", "e": "none"}
+    profiles = profile.profile_columns(one)
+    assert [k for k, _ in profiles.values()] == ["numeric", "categorical", "none"] and profiles["e"][1] is None
+    assert profile.profile_numeric(one.filter("n > 9"), "n").count() == 0
 
 
 def test_confusion_matrix_always_has_four_cells(spark):
@@ -85,12 +96,13 @@ def test_confusion_matrix_always_has_four_cells(spark):
     assert [r["cell_count"] for r in metrics.confusion_matrix(none).collect()] == [0] * 4
 
 
-def test_periods():
-    anchor = dt.date(2024, 2, 29)
-    assert scores.period_bounds("last_month", anchor) == (dt.date(2024, 1, 1), dt.date(2024, 1, 31))
-    assert scores.period_bounds("last_quarter", anchor) == (dt.date(2023, 10, 1), dt.date(2023, 12, 31))
-    assert scores.period_bounds("current_quarter", anchor) == (dt.date(2024, 1, 1), anchor)
-    assert scores.period_bounds("5_years_ago", anchor) == (dt.date(2019, 1, 1), dt.date(2019, 12, 31))
+def test_periods(spark):
+    anchor = F.lit("2024-02-29").cast("date")
+    bounds = lambda which: tuple(spark.range(1).select(*scores.period_bounds(which, anchor)).first())
+    assert bounds("last_month") == (dt.date(2024, 1, 1), dt.date(2024, 2, 1))
+    assert bounds("last_quarter") == (dt.date(2023, 10, 1), dt.date(2024, 1, 1))
+    assert bounds("current_quarter") == (dt.date(2024, 1, 1), dt.date(2024, 3, 1))
+    assert bounds("5_years_ago") == (dt.date(2019, 1, 1), dt.date(2020, 1, 1))
 
 
 def test_id_lists(spark):
@@ -102,10 +114,17 @@ def test_id_lists(spark):
             lists.resolve_id_column(header, column)
     ids = spark.createDataFrame([(" b ",), ("a",), ("b",), ("",), (None,)], "c string")
     assert [r["id"] for r in lists.clean_ids(ids, "c").orderBy("ord").collect()] == ["b", "a"]
+    assert lists.clean_ids(ids.filter("c = ''"), "c").count() == 0
+
+
+def test_uploads_with_line_breaks_and_latin_letters(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    path.write_bytes('Note,"Acc Num","accession"\n"two\nlines",x,É1\nplain,y,b2\n'.encode("latin-1"))
+    ids, column = lists.read_id_list(spark, str(path))
+    assert column == "accession_number" and {r["id"] for r in ids.collect()} == {"É1", "b2"}
+    path.write_text("mrn\n \n")
     with pytest.raises(ValueError):
-        lists.clean_ids(ids, "c", cap=1)
-    with pytest.raises(ValueError):
-        lists.clean_ids(ids.filter("c = ''"), "c")
+        lists.read_id_list(spark, str(path))
 
 
 def test_cohort_guards(spark, seed):
@@ -123,8 +142,16 @@ def test_cohort_guards(spark, seed):
     with pytest.raises(ValueError):
         cohort.unmatched(ids, seed, "modality", strict=True)
     lean = seed.select(F.lit("r").alias("primary_report_identifier"), F.lit("a").alias("accession_number"))
-    shown, truncated = cohort.rows(lean, cap=3)
-    assert (shown.count(), truncated) == (3, True)
+    assert cohort.rows(lean).count() == lean.count()
+    numbered = lean.withColumn("primary_report_identifier", F.monotonically_increasing_id().cast("string"))
+    seen, after = [], None
+    while True:
+        page = cohort.rows(numbered, page=3, after=after).collect()
+        seen += [r["primary_report_identifier"] for r in page]
+        if not page[-1]["more"]:
+            break
+        after = seen[-1]
+    assert sorted(seen) == sorted(r[0] for r in numbered.select("primary_report_identifier").collect())
 
 
 def test_formula_guard(spark):
