@@ -96,6 +96,26 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(_table(spark, folder, "documents"))
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLES["op1_ngram_jaccard"] = rf"""WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b
+    ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b, i = x.n AND i = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * i >= 75 * (x.n + y.n - i)),
+  e AS (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
+  r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+  c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1),
+  k AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS twin FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(twin, d.doc_id)) AS class_id, component_id,
+  coalesce(n_links, 0) AS n_links
+FROM d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.a = d.doc_id"""
+
+
 @_query
 def op9_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probabilities of every document, the word counts learned from nine folds of ten."""

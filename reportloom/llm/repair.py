@@ -62,9 +62,10 @@ def _frequent(symbols: np.ndarray, marks: np.ndarray, most: int, least: int):
     which = index[slot]
     at = np.flatnonzero(which >= 0)
     which = which[at]
-    pair = left[at].astype(np.uint64)
+    pair = left.astype(np.uint64)
     pair <<= np.uint64(32)
-    pair |= right[at]
+    pair |= right
+    pair = pair[at]
     # Of pairs that share a slot one goes ahead; another has its turn in a later round.
     chosen = np.zeros(len(hot), dtype=np.uint64)
     chosen[which] = pair
@@ -109,7 +110,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = 3, m
         marks[taken] = marks[taken + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[taken + 1] = False
-        symbols, marks = symbols[keep], marks[keep]
+        kept = np.flatnonzero(keep)
+        symbols, marks = symbols[kept], marks[kept]
     return symbols, marks, rules, sizes
 
 

@@ -3,7 +3,9 @@
 import pytest
 
 import corpus_pipeline
-from reportloom.llm.queries import QUERIES
+from reportloom.llm.queries import ORACLES, QUERIES
+
+from ..compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,6 +24,11 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in seen[5].collect()} == {r.doc_id for r in seen[4].collect()}
 
 
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_agrees_with_its_sql(spark, name):
+    assert compare(spark, connect(FOLDER), FOLDER, QUERIES[name], ORACLES[name]) is None
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_keeps_every_row(spark, name):
     found = QUERIES[name](spark, FOLDER)
