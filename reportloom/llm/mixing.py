@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .stage import n_words
 
+SALTS = 32
 UNIT_SCHEMA = "skey string, block int, shards array<int>, tail_shard int, tail_words double"
 
 
@@ -174,7 +175,10 @@ def draws(
         [(n, totals[n], goal[n], cuts[n]) for n in names],
         "skey string, source_size long, target double, cuts int",
     )
-    placed = units.join(facts, "skey").withColumn(
+    # One row a source on one side; salted, since a source may hold most documents.
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(SALTS)).cast("int")
+    placed = units.withColumn("salt", salt).join(salted, ["skey", "salt"]).drop("salt").withColumn(
         "block", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("cuts")).cast("int")
     )
     sums = {n: np.zeros(cuts[n], dtype=np.int64) for n in names}
