@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .stage import staged, whole_text
+from .stage import release, staged, whole_text
 from .vocab import text_groups
 
 SENT = "key long, block long, bucket long, " + ", ".join(f"b{i} binary" for i in range(8))
@@ -311,6 +311,15 @@ def _verify(threshold: int, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"class_id": ids, "root": ids[roots], "n_linked": linked})
 
 
+def _set_classes(rows: DataFrame, words: int, threshold: int, bucket_bytes: int, block_chars: int) -> DataFrame:
+    """Classes of equal sets in each block, with the shingles that occur in other documents too."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-int(size) // bucket_bytes))
+    sent = rows.mapInArrow(functools.partial(_send, words, buckets, block_chars), SENT)
+    answered = sent.groupBy("key").applyInPandas(_answer, SENT)
+    return staged(answered.groupBy("block").applyInPandas(functools.partial(_classes, threshold), CLASSES), "classes")
+
+
 def join(
     docs: DataFrame,
     *,
@@ -330,13 +339,8 @@ def join(
     remaining parameters bound what one task holds.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(size) // bucket_bytes))
-    sent = rows.mapInArrow(functools.partial(_send, words, buckets, block_chars), SENT)
-    answered = sent.groupBy("key").applyInPandas(_answer, SENT)
-    classes = staged(
-        answered.groupBy("block").applyInPandas(functools.partial(_classes, threshold), CLASSES), "classes"
-    )
+    classes = _set_classes(rows, words, threshold, bucket_bytes, block_chars)
+    release(docs.sparkSession)  # all shingles went through its shuffles
     linkable = (
         classes.filter(F.col("shared").isNotNull())
         .groupBy("digest")
@@ -355,7 +359,7 @@ def join(
     key_of = F.xxhash64("n_shingles", "prefix")
     groups = staged(prefixed.withColumn("group_id", key_of), "groups")
     first = groups.groupBy("group_id").agg(F.first("prefix").alias("prefix"))
-    postings = staged(first.mapInPandas(_postings, "token long, group_id long"), "postings")
+    postings = first.mapInPandas(_postings, "token long, group_id long")
     stars = postings.groupBy("token").agg(F.min("group_id").alias("v"), F.count("*").alias("n")).filter("n > 1")
     edges = postings.join(stars, "token").select(F.col("group_id").alias("u"), "v")
     near = components(edges)
@@ -409,8 +413,10 @@ def join(
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """One row of each component stays, that of the smallest id; rows without id stay."""
-    found = join(docs, key=key, **options)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    found = join(docs, key=key, **options).filter(F.col("doc_id") == F.col("component_id"))
+    kept = staged(found.select(F.col("doc_id").alias(key)).distinct(), "kept")
+    del found
+    release(docs.sparkSession)  # before the texts are shuffled
     named = docs.filter(F.col(key).isNotNull())
     return named.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns).unionByName(
         docs.filter(F.col(key).isNull())
