@@ -35,12 +35,15 @@ from pyspark.sql import functions as F
 from .stage import staged
 from .vocab import encoder, text_slices
 
+#: Pieces a worker remembers; less than the encoder's default, since packing often
+#: follows other stages in the same worker.
+REMEMBERED = 350_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def _cut(path: str, capacity: int, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path).encode
+    encode = encoder(path, REMEMBERED).encode
     for part, texts in text_slices(batches):
         flat, begins = encode(texts)
         flat = np.insert(flat, begins[1:], np.uint32(end))  # after each document's last id

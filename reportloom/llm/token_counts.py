@@ -22,13 +22,14 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stage import whole_text
-from .vocab import LATIN_END, BYTE_LEVEL, LONGEST, REMEMBERED, byte_level_pieces, byte_symbols, text_groups
+from .vocab import BYTE_LEVEL, LATIN_END, LONGEST, REMEMBERED, byte_level_fits, byte_symbols, cut_byte_level, numbered, text_slices
 
 @functools.cache
 def _newer_letters() -> regex.Pattern:
@@ -56,7 +57,8 @@ class MergeCounter:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self._ranks[vocab[left] * base + vocab[right]] = rank
             self._made.append(vocab[left + right])
-        self._special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self._special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self._split = regex.compile(BYTE_LEVEL).findall
         self._known: dict[str, int] = {}
 
@@ -110,30 +112,46 @@ class MergeCounter:
     def count(self, text: str) -> int:
         """Tokens of a text, special strings as one each."""
         parts = self._special.split(text) if self._special.search(text) else [text]
-        total, known = len(parts) - 1, self._known
+        total = len(parts) - 1
         for part in parts:
             if self._prefix and part and not part[0].isspace():
                 part = " " + part
-            pieces = byte_level_pieces(part)
-            if pieces is None:
-                total += self.piece(part)
-                continue
-            try:
-                total += sum(map(known.__getitem__, pieces))
-                continue
-            except KeyError:
-                pass
-            if len(known) > REMEMBERED:
-                known.clear()
-            for p in pieces:
-                n = known.get(p)
-                if n is None:
-                    n = self.piece(p)
-                    if len(p) <= LONGEST:
-                        known[p] = n
-                total += n
+            total += self.piece(part)
         return total
 
+    def _new(self, pieces: list[str]) -> dict[str, int]:
+        """Counts of pieces that are not remembered; short ones are from now on."""
+        known, aside = self._known, {}
+        for p in pieces:
+            # Letters, with at most a space before them, are one pre-token.
+            body = p[1:] if p[:1] == " " else p
+            if body.isalpha() and (p.isascii() or max(p) < LATIN_END):
+                n = self.merged(p.encode("utf-8"))
+            else:
+                n = self.piece(p)
+            (known if len(p) <= LONGEST else aside)[p] = n
+        return aside
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of every text; a piece that occurs often in the group is looked up once."""
+        known = self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+        fits = byte_level_fits(texts, self.special).to_numpy(zero_copy_only=False)
+        if self._prefix:
+            fits = np.zeros(len(texts), dtype=bool)
+        pieces, codes, offsets = numbered(texts, fits, cut_byte_level)
+        found = list(map(known.get, pieces))
+        if None in found:
+            aside = self._new([p for p, n in zip(pieces, found) if n is None])
+            found = [(known[p] if p in known else aside[p]) if n is None else n for p, n in zip(pieces, found)]
+        reach = np.concatenate([[0], np.cumsum(np.array(found, dtype=np.int64)[codes])])
+        out = np.zeros(len(texts), dtype=np.int64)
+        out[fits] = np.diff(reach[offsets])
+        for i in np.flatnonzero(~fits):
+            out[i] = self.count(texts[int(i)].as_py())
+        return out
+
 
 @functools.cache
 def counter(path: str) -> MergeCounter:
@@ -141,10 +159,10 @@ def counter(path: str) -> MergeCounter:
 
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = counter(path).count
-    for part, texts in text_groups(batches):
+    counts = counter(path).counts
+    for part, texts in text_slices(batches):
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array([count(t) for t in texts], pa.int64())],
+            [part.column(0), part.column(1), pa.array(counts(texts), pa.int64())],
             names=["doc_id", "n_bytes", "n_tokens"],
         )
 

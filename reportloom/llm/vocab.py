@@ -5,7 +5,7 @@ The cuts are safe for the pre-tokenizers named below, so joining the pieces' ids
 exactly the ids of the whole text; texts that do not fit the rule are encoded whole by
 the library.  A new piece of Latin letters is split into pre-tokens, which the
 library's model encodes; any other goes through the whole library.  The memory of a
-worker holds at most ``REMEMBERED`` pieces of at most ``LONGEST`` characters and is
+worker holds at most ``remembered`` pieces of at most ``LONGEST`` characters and is
 emptied when full, so it is bounded for any corpus.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +28,6 @@ LONGEST = 100
 # Two blanks that meet, one of them a space or a line break: no cut is safe in there.
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _MEETING = rf"{_BLANK}[ \n]|\n{_BLANK}"
-_MEETING_IN_TEXT = re.compile(r"\s[ \n]|\n\s")
 # Marks the cuts; a text that holds it is encoded whole.
 _MARK = "\x01"
 # Arrow takes the first for blanks, the tokenizers do not; the last becomes two in lower case.
@@ -51,23 +49,32 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + others.index(b)) for b in range(256)]
 
 
-def byte_level_pieces(text: str) -> list[str] | None:
-    """Pieces of a text between cuts no byte-level token crosses, or None.
+def byte_level_fits(texts: pa.Array, special: Iterable[str]) -> pa.Array:
+    """Texts that may be cut for a byte-level vocabulary."""
+    odd = pc.or_(pc.match_substring_regex(texts, _MEETING), pc.match_substring(texts, _MARK))
+    for s in special:  # a special string ends the text before it, which changes how blanks are taken
+        odd = pc.or_(odd, pc.match_substring(texts, s))
+    return pc.invert(odd)
 
-    A cut falls before every space and around every line break.  It is safe where
-    blanks never meet, because the pre-tokenizer then takes a space with the word
-    after it and a line break alone.
-    """
-    if _MARK in text or _MEETING_IN_TEXT.search(text):
-        return None
-    return text.replace(" ", _MARK + " ").replace("\n", f"{_MARK}\n{_MARK}").split(_MARK)
+
+def numbered(texts: pa.Array, fits: np.ndarray, cut) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces of the texts that fit, the number of each piece in order, and where each text begins."""
+    lists = cut(texts.filter(pa.array(fits))) if fits.any() else pa.array([], pa.list_(pa.string()))
+    coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), offsets - offsets[0]
 
 
 # Letters and what is not a letter never share a pre-token, but for an apostrophe.
 _STOP = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"
 
 
-def _cut_byte_level(texts: pa.Array) -> pa.Array:
+def cut_byte_level(texts: pa.Array) -> pa.Array:
+    """Pieces of texts between cuts no byte-level token crosses.
+
+    A cut falls before every space, around every line break and between a letter and
+    a stop.  It is safe where blanks never meet, because the pre-tokenizer then takes
+    a space with the word after it and a line break alone.
+    """
     marked = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}")
     return pc.split_pattern(pc.replace_substring_regex(marked, _STOP, rf"\1{_MARK}\2"), _MARK)
 
@@ -80,7 +87,8 @@ def _cut_words(texts: pa.Array) -> pa.Array:
 class PieceEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self._remembered = remembered
         spec = json.load(open(path, encoding="utf-8"))
         self._library = Tokenizer.from_file(path)
         self._tokenize = self._library.model.tokenize
@@ -92,7 +100,7 @@ class PieceEncoder:
         byte_level = spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"]["use_regex"]
         self._cut, self._lower, self._split = None, False, None
         if byte_level and not odd and not spec["normalizer"] and not spec["pre_tokenizer"]["add_prefix_space"]:
-            self._cut, self._split = _cut_byte_level, regex.compile(BYTE_LEVEL).findall
+            self._cut, self._split = cut_byte_level, regex.compile(BYTE_LEVEL).findall
         elif (
             not odd
             and '"Removed"' in kinds
@@ -105,11 +113,9 @@ class PieceEncoder:
 
     def _fits(self, texts: pa.Array) -> pa.Array:
         """Texts that may be cut."""
-        if self._lower:
-            odd = pc.match_substring_regex(texts, _CONTROL)
-        else:
-            odd = pc.or_(pc.match_substring_regex(texts, _MEETING), pc.match_substring(texts, _MARK))
-        # A special string ends the text before it, which changes how blanks are taken.
+        if not self._lower:
+            return byte_level_fits(texts, self.special)
+        odd = pc.match_substring_regex(texts, _CONTROL)
         for special in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, special))
         return pc.invert(odd)
@@ -146,7 +152,7 @@ class PieceEncoder:
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         known = self._known
-        if len(known) > REMEMBERED:
+        if len(known) > self._remembered:
             known.clear()
         found = list(map(known.get, pieces))
         if None in found:
@@ -161,18 +167,15 @@ class PieceEncoder:
         piece that occurs often in the group is looked up once.
         """
         fits = self._fits(texts).to_numpy(zero_copy_only=False) if self._cut else np.zeros(len(texts), dtype=bool)
-        lists = self._cut(texts.filter(pa.array(fits))) if fits.any() else pa.array([], pa.list_(pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        ids = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pieces, codes, offsets = numbered(texts, fits, self._cut)
+        ids = self._ids_of(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
         each = sizes[codes]
         reach = np.concatenate([[0], np.cumsum(each)])
         kind = np.int32 if max(reach[-1], len(pool)) < 1 << 31 else np.int64
         flat = pool[np.arange(reach[-1], dtype=kind) + np.repeat((starts[codes] - reach[:-1]).astype(kind), each)]
-        offsets = lists.offsets.to_numpy()
-        begins = reach[offsets - offsets[0]]
+        begins = reach[offsets]
         if fits.all():
             return flat, begins
         others = iter(self._whole(texts.filter(pa.array(~fits)).to_pylist()))
@@ -199,9 +202,9 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """One encoder for each worker process and file."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, remembered)
 
 
 def text_slices(

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -36,8 +37,10 @@ def test_pieces_give_the_ids_of_whole_texts(path):
 
 
 def test_merging_counts_as_the_library():
-    given, count = odd_texts() + [t or "" for t in texts()], MergeCounter(BYTES).count
-    assert [count(t) for t in given] == [len(x) for x in library(BYTES, given)]
+    given, counter = odd_texts() + [t or "" for t in texts()], MergeCounter(BYTES)
+    want = [len(x) for x in library(BYTES, given)]
+    assert [counter.count(t) for t in given] == want
+    assert counter.counts(pa.array(given)).tolist() == want == counter.counts(pa.array(given)).tolist()
 
 
 def test_token_counts_of_odd_rows(spark):
@@ -104,6 +107,11 @@ def test_grammar_round_trip_and_random_access():
     lengths = [np.array([len(d) for d in docs])]
     shard = repair._shard(0, 0, list(range(len(docs))), lengths, docs, 100, {"least": 3})
     assert len(shard["symbols"]) < 4 * sum(map(len, docs)) and len(shard["rules"])
+    rules, symbols = (np.frombuffer(shard[c], "<u4") for c in ("rules", "symbols"))
+    whole = np.concatenate(docs).astype("<u4")
+    sizes = np.frombuffer(shard["sizes"], "<i8")
+    assert (repair.expand(symbols, rules.reshape(-1, 2), 100, sizes) == whole).all()
+    assert (repair.expand(symbols, rules.reshape(-1, 2), 100) == whole).all()
     for k, doc in enumerate(docs):
         assert (repair.read_ids(shard, k) == doc).all()
         a, b = sorted(rng.integers(0, len(doc) + 1, 2))
