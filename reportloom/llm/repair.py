@@ -1,10 +1,10 @@
 """Token-id output compressed by a Re-Pair grammar per shard.
 
 The ids of a shard's documents form one sequence.  Its most frequent adjacent pairs are
-replaced by new symbols, again and again, until no pair is frequent; a pair never
+replaced by new symbols, again and again, until no pair occurs ``least`` times (six); a pair never
 crosses the end of a document.  A round replaces many pairs at once: an occurrence is
 taken when its pair is more frequent than the pairs it overlaps, so the occurrences
-taken in a round never overlap.
+taken in a round never overlap.  There is no cap on rounds, rules or their nesting.
 
 File format: Parquet, one row per shard, written through Spark's committer to a shared
 folder.  Columns: ``part, shard`` (their order is the order of the shards), ``n_ids``,
@@ -38,81 +38,139 @@ FILE = (
     "places binary, rules binary, sizes binary, symbols binary"
 )
 READ = "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
-_BITS = 19
-
-
-def _frequent(symbols: np.ndarray, marks: np.ndarray, most: int, least: int):
-    """Rank of the pair that begins at each place (a larger number where none does), and the pairs."""
-    left, right = symbols[:-1], symbols[1:]
-    slot = left * np.uint32(0x9E3779B1)
-    slot += right * np.uint32(0x85EBCA77)
-    slot >>= np.uint32(32 - _BITS)
-    slot = slot.view(np.int32)
-    slot[np.flatnonzero(marks[:-1])] = 1 << _BITS  # no pair goes on behind a document's end
-    often = np.bincount(slot, minlength=(1 << _BITS) + 1)
-    often[-1] = 0
-    # A slot counts at least as often as each of its pairs.
-    high = often[often >= least]
-    if not len(high):
-        return None
-    bar = max(least, int(np.partition(high, -most)[-most])) if len(high) > most else least
-    hot = np.flatnonzero(often >= bar)
-    index = np.full(len(often), -1, dtype=np.int32)
-    index[hot] = np.arange(len(hot), dtype=np.int32)
-    which = index[slot]
-    at = np.flatnonzero(which >= 0)
-    which = which[at]
+
+
+def _alive(symbols: np.ndarray, after: np.ndarray, at: np.ndarray, least: int):
+    """Places whose pair occurs ``least`` times without overlap, the rank of each, and the pairs by rank.
+
+    ``at`` holds every place that may count, ascending.  In a run of one symbol every
+    second place counts; the others get a rank above all pairs.
+    """
+    left, right = symbols[at], symbols[after[at]]
+    equal = np.flatnonzero(left == right)
     pair = left.astype(np.uint64)
     pair <<= np.uint64(32)
     pair |= right
-    pair = pair[at]
-    # Of pairs that share a slot one goes ahead; another has its turn in a later round.
-    chosen = np.zeros(len(hot), dtype=np.uint64)
-    chosen[which] = pair
-    same = chosen[which] == pair
-    at, which = at[same], which[same]
-    times = np.bincount(which, minlength=len(hot))
-    order = np.argsort(-times, kind="stable")
-    order = order[times[order] >= least][:most]
-    if not len(order):
+    other, own, where = equal[:0], pair, None
+    if len(equal):  # places of a run follow each other
+        goes_on = np.zeros(len(equal), dtype=bool)
+        goes_on[1:] = (np.diff(equal) == 1) & (after[at[equal[:-1]]] == at[equal[1:]])
+        nth = np.arange(len(equal))
+        nth -= np.maximum.accumulate(np.where(goes_on, 0, nth))
+        other = equal[nth % 2 == 1]
+    if len(other):
+        counted = np.ones(len(at), dtype=bool)
+        counted[other] = False
+        where = np.flatnonzero(counted)
+        own = pair[where]
+    # The pair's symbols and its place in one number, where they fit: sorted without an index.
+    wide, far = int(max(left.max(), right.max())).bit_length(), len(own).bit_length()
+    if 2 * wide + far <= 64:
+        code = own >> np.uint64(32)
+        code <<= np.uint64(wide)
+        code |= own & np.uint64((1 << wide) - 1)
+        code <<= np.uint64(far)
+        code |= np.arange(len(own), dtype=np.uint64)
+        code.sort()
+        by = (code & np.uint64((1 << far) - 1)).view(np.int64)
+        code >>= np.uint64(far)
+    else:
+        by = np.argsort(own, kind="stable")
+        code = own[by]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    times = np.diff(np.append(first, len(code)))
+    often = np.flatnonzero(times >= least)
+    if not len(often):
         return None
-    none = np.int32(len(hot))
-    rank_of = np.full(len(hot), none, dtype=np.int32)
+    order = often[np.argsort(-times[often], kind="stable")]
+    none = np.int32(len(order))
+    rank_of = np.full(len(first), none, dtype=np.int32)
     rank_of[order] = np.arange(len(order), dtype=np.int32)
-    rank = np.full(len(symbols) + 1, none, dtype=np.int32)
-    rank[1 + at] = rank_of[which]
-    return rank, chosen[order]
+    rank = np.full(len(at), none, dtype=np.int32)
+    rank[by if where is None else where[by]] = np.repeat(rank_of, times)
+    pairs = own[by[first[order]]]
+    stays = rank < none
+    if len(other):  # the others of a run live as long as those that count
+        stays[other] = np.isin(pair[other], pairs)
+    return at[stays], rank[stays], pairs
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = 3, most: int = 8192, least: int = 6):
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = 6):
     """Symbols, the last-of-document marks that go with them, rules and their sizes.
 
-    ``ends`` marks the last id of each document; ``base`` is above every id.
+    ``ends`` marks the last id of each document; ``base`` is above every id.  Ends when
+    no pair occurs ``least`` times without overlap; with six, a rule (16 bytes with its
+    size) is smaller than what it saves.
+
+    The sequence is a linked list over its first places.  A place of a rare pair is left
+    alone until one of its symbols is replaced, so a round costs as much as there are
+    places left.  A pair can become frequent again where a rule is used in several rounds:
+    when no place is left, all are looked at once more, until that finds none.
     """
+    n = len(ids)
     symbols, marks = ids.astype(np.uint32), ends.copy()
-    rules = np.zeros((0, 2), dtype=np.uint32)
-    sizes = np.zeros(0, dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        found = _frequent(symbols, marks, most, least)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    live = np.ones(n, dtype=bool)
+    rank_at = np.full(n + 2, np.iinfo(np.int32).max, dtype=np.int32)  # by place + 1
+    halves: list[np.ndarray] = []
+    sizes = [np.zeros(0, dtype=np.int64)]
+    known, known_as = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)  # rules that may come again
+    made = 0
+
+    def places(of: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(of)
+        return at[~marks[at] & (after[at] < n)]  # no pair goes on behind a document's end
+
+    at, every = places(live), True
+    while True:
+        found = _alive(symbols, after, at, least) if len(at) else None
         if found is None:
-            break
-        rank, pairs = found
-        own = rank[1:-1]
-        # More frequent than the pair before and after; of equal ones the leftmost.
-        taken = np.flatnonzero((own < len(pairs)) & (own < rank[:-2]) & (own <= rank[2:]))
-        first = base + len(rules)
-        halves = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        rules = np.vstack([rules, halves])
-        sizes = np.concatenate([sizes, sum(_size(halves[:, k], base, sizes) for k in (0, 1))])
-        symbols[taken] = (first + own[taken]).astype(np.uint32)
-        marks[taken] = marks[taken + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[taken + 1] = False
-        kept = np.flatnonzero(keep)
-        symbols, marks = symbols[kept], marks[kept]
-    return symbols, marks, rules, sizes
+            if every:
+                break
+            at, every = places(live), True
+            continue
+        every = False
+        at, rank, pairs = found
+        rank_at[at + 1] = rank
+        # More frequent than the pairs it overlaps.
+        free = (rank < len(pairs)) & (rank < rank_at[before[at] + 1]) & (rank < rank_at[after[at] + 1])
+        taken, which = at[free], rank[free]
+        rank_at[at + 1] = np.iinfo(np.int32).max
+        # A pair that its neighbours leave too few places waits; the most frequent never does.
+        spot = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+        is_known = known[spot] == pairs if len(known) else np.zeros(len(pairs), dtype=bool)
+        ready = is_known | (np.bincount(which, minlength=len(pairs)) >= least)
+        go = ready[which]
+        taken, which = taken[go], which[go]
+        fresh = np.flatnonzero(ready & ~is_known)
+        symbol = np.zeros(len(pairs), dtype=np.uint32)
+        symbol[is_known] = known_as[spot[is_known]]
+        symbol[fresh] = np.arange(base + made, base + made + len(fresh), dtype=np.uint32)
+        made += len(fresh)
+        new = np.stack([pairs[fresh] >> np.uint64(32), pairs[fresh] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        so_far = np.concatenate(sizes)
+        halves.append(new)
+        sizes = [so_far, sum(_size(new[:, k], base, so_far) for k in (0, 1))]
+        known, known_as = np.concatenate([known, pairs[fresh]]), np.concatenate([known_as, symbol[fresh]])
+        by = np.argsort(known)
+        known, known_as = known[by], known_as[by]
+        gone = after[taken].astype(np.int64)
+        symbols[taken] = symbol[which]
+        marks[taken] = marks[gone]
+        live[gone] = False
+        follow = after[gone]
+        after[taken] = follow
+        inside = follow < n
+        before[follow[inside]] = taken[inside]
+        watch = np.zeros(n, dtype=bool)
+        watch[at] = watch[taken] = True
+        ahead = before[taken]
+        watch[ahead[ahead >= 0]] = True
+        watch[gone] = False
+        at = places(watch)
+    kept = np.flatnonzero(live)
+    rules = np.concatenate(halves) if halves else np.zeros((0, 2), dtype=np.uint32)
+    return symbols[kept], marks[kept], rules, np.concatenate(sizes)
 
 
 def _size(symbols: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
@@ -123,31 +181,48 @@ def _size(symbols: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unfold(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for, a level of the rules at a time."""
-    while len(made := np.flatnonzero(symbols >= base)):
-        halves = rules[symbols[made].astype(np.int64) - base]
-        times = np.ones(len(symbols), dtype=np.int64)
-        times[made] = 2
-        at = (np.cumsum(times) - times)[made]
-        symbols = np.repeat(symbols, times)
-        symbols[at], symbols[at + 1] = halves[:, 0], halves[:, 1]
-    return symbols
+def _unfold(symbols: np.ndarray, rules: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for; a round splits what is still folded."""
+    long = _size(symbols, base, sizes)
+    at = np.cumsum(long) - long
+    out = np.zeros(int(long.sum()), dtype=np.uint32)
+    while len(symbols):
+        folded = symbols >= base
+        out[at[~folded]] = symbols[~folded]
+        at = at[folded]
+        left, right = rules[symbols[folded].astype(np.int64) - base].T
+        symbols = np.concatenate([left, right])
+        at = np.concatenate([at, at + _size(left, base, sizes)])
+    return out
+
+
+def _sizes(rules: np.ndarray, base: int) -> np.ndarray:
+    """Ids that each rule expands to."""
+    sizes, todo = np.zeros(len(rules), dtype=np.int64), np.arange(len(rules))
+    while len(todo):
+        halves = [_size(rules[todo, k], base, sizes) for k in (0, 1)]
+        done = (halves[0] > 0) & (halves[1] > 0)
+        sizes[todo[done]] = (halves[0] + halves[1])[done]
+        todo = todo[~done]
+    return sizes
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, sizes: np.ndarray | None = None) -> np.ndarray:
-    """The ids that symbols stand for; with ``sizes``, by unfolding each rule once."""
-    if sizes is None or len(symbols) < len(rules):
-        return _unfold(symbols, rules, base)
+    """The ids that symbols stand for; many of them by unfolding each rule once."""
+    sizes = _sizes(rules, base) if sizes is None else sizes
+    pooled = int(sizes.sum()) + base
+    if len(symbols) < len(rules) or pooled > _size(symbols, base, sizes).sum() + (1 << 16):
+        return _unfold(symbols, rules, base, sizes)
     every = np.arange(base, base + len(rules), dtype=np.uint32)
-    pool = np.concatenate([np.arange(base, dtype=np.uint32), _unfold(every, rules, base)])
+    pool = np.concatenate([np.arange(base, dtype=np.uint32), _unfold(every, rules, base, sizes)])
     long = np.concatenate([np.ones(base, dtype=np.int32), sizes.astype(np.int32)])
-    begin = np.cumsum(long, dtype=np.int32) - long
+    begin = np.cumsum(long, dtype=np.int64) - long
     times = long[symbols]
     reach = np.cumsum(times, dtype=np.int64)
-    kind = np.int32 if len(reach) and reach[-1] < 1 << 31 else np.int64
-    shift = begin[symbols] - (reach - times).astype(kind)
-    return pool[np.repeat(shift, times) + np.arange(reach[-1] if len(reach) else 0, dtype=kind)]
+    total = int(reach[-1]) if len(reach) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    shift = (begin[symbols] - (reach - times)).astype(kind)
+    return pool[np.repeat(shift, times) + np.arange(total, dtype=kind)]
 
 
 def _array(raw: bytes, kind: str) -> np.ndarray:
@@ -170,7 +245,7 @@ def read_ids(shard, doc: int, begin: int = 0, end: int | None = None) -> np.ndar
     a = int(np.searchsorted(reach, begin, side="right"))
     b = int(np.searchsorted(reach, end, side="left")) + 1
     skipped = int(reach[a - 1]) if a else 0
-    return expand(symbols[a:b], rules, base)[begin - skipped : end - skipped]
+    return expand(symbols[a:b], rules, base, _array(shard["sizes"], "<i8"))[begin - skipped : end - skipped]
 
 
 def _shard(part: int, shard: int, docs: list, lengths: list[np.ndarray], ids: list[np.ndarray], base: int, options: dict) -> dict:

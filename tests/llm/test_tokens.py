@@ -118,6 +118,30 @@ def test_grammar_round_trip_and_random_access():
         assert (repair.read_ids(shard, k, int(a), int(b)) == doc[a:b]).all()
 
 
+def test_grammar_ends_when_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 5000, 1000)
+    parts = [np.concatenate([rng.integers(0, 5000, 3), passage, rng.integers(0, 5000, 3), [5000]]) for _ in range(300)]
+    parts += [np.append(np.full(20_000, 7), 5000), rng.integers(0, 5000, 2000), rng.integers(0, 3, 5000)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    ends = np.zeros(len(ids), dtype=bool)
+    ends[np.cumsum([len(p) for p in parts]) - 1] = True
+    symbols, marks, rules, sizes = repair.compress(ids, ends, 5001, least=6)
+    assert (repair.expand(symbols, rules, 5001, sizes) == ids).all() and marks.sum() == len(parts)
+    assert sizes.max() >= 1000  # the passage is one symbol, and so is most of the run
+    copies = np.diff(np.concatenate([[0], np.flatnonzero(marks) + 1]))[:301]
+    assert copies[:300].max() <= 3 + 1 + 3 + 1 and copies[300] <= 50
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+    seen, last = {}, None
+    for k in np.flatnonzero(~marks[:-1]):
+        pair = (symbols[k], symbols[k + 1])
+        if last == (k - 1, pair):  # of three equal symbols two are a pair
+            last = None
+            continue
+        seen[pair], last = seen.get(pair, 0) + 1, (k, pair)
+    assert max(seen.values()) < 6
+
+
 def test_token_files_of_odd_rows(spark, tmp_path):
     docs, path = documents(spark), str(tmp_path / "ids")
     repair.write_ids(docs, BYTES, path, shard_ids=500)
