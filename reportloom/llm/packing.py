@@ -5,11 +5,15 @@ the sequence length.  How many pieces there are of each length is all the progra
 needs: at most ``capacity`` numbers, whatever the corpus.
 
 The configuration program asks for the fewest sequences, a variable for each way to
-fill one.  Multiplicative weights solve it: every length has a price, a knapsack over
-the capacity finds the configuration of the highest total price, some of it is taken,
-and the prices of the lengths it used fall.  The solution is scaled so that no length
-is used more often than it occurs and rounded down; what is left is solved again, and
-the last few sequences are filled best-fit, longest piece first.
+fill one.  Multiplicative weights solve it: every length has a price, and a knapsack
+over the capacity finds, for every length, the configuration of the highest total price
+that holds it.  Those near the best of all are taken until the scarcest of their lengths
+is used up, and the prices of the lengths they used fall; then the rest is priced again,
+so every length is priced until it is placed.  What no configuration takes whole any
+more, few pieces in a hundred, is filled best-fit, longest piece first.  Prices also
+bound the least number of sequences from below.  While the solution is more than ``GAP``
+above that bound, lengths that lie in sequences with room left become dearer, and the
+program is solved again, ``rounds`` times at most; the best solution is used.
 
 The plan is a list of (configuration, how many), bounded by the number of pricing
 steps.  Pieces get their place from their rank within their length, counted per
@@ -38,6 +42,8 @@ from .vocab import encoder, text_slices
 #: Pieces a worker remembers; less than the encoder's default, since packing often
 #: follows other stages in the same worker.
 REMEMBERED = 350_000
+#: A solution this near its lower bound is good enough.
+GAP = 0.005
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -81,44 +87,68 @@ def dearest(price: np.ndarray) -> list[int]:
     ``price[l]`` is the price of length l, ``price[0]`` is not used; ``len(price) - 1``
     is the capacity.  Lengths may repeat.
     """
+    _, used = _knapsack(price)
+    return sorted(_filled(used, len(price) - 1), reverse=True)
+
+
+def _knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The highest total price in every room, and a length that is in it (0: as in a place less)."""
     capacity = len(price) - 1
     best, used = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     lengths = np.flatnonzero(price[1:] > 0) + 1
+    costs, fitting = price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        fits = lengths[: np.searchsorted(lengths, room, side="right")]
-        if len(fits):
-            total = price[fits] + best[room - fits]
+        if n := fitting[room]:
+            total = costs[:n] + best[room - lengths[:n]]
             # of equal totals the longest length, which leaves more to the others
-            at = len(total) - 1 - int(np.argmax(total[::-1]))
-            best[room], used[room] = total[at], fits[at]
+            at = n - 1 - int(np.argmax(total[::-1]))
+            best[room], used[room] = total[at], lengths[at]
         if best[room] < best[room - 1] or not used[room]:
             best[room], used[room] = best[room - 1], 0
-    out, room = [], capacity
+    return best, used
+
+
+def _filled(used: np.ndarray, room: int) -> list[int]:
+    """The lengths that ``_knapsack`` puts into a room."""
+    out = []
     while room > 0:
         if used[room]:
             out.append(int(used[room]))
             room -= out[-1]
         else:
             room -= 1
-    return sorted(out, reverse=True)
+    return out
 
 
-def fractional(counts: np.ndarray, steps: int, rate: float = 0.5) -> dict[tuple[int, ...], float]:
-    """How often to use each configuration, by multiplicative weights; no length is overused."""
-    capacity = len(counts) - 1
-    price = np.where(counts > 0, np.arange(capacity + 1) / capacity, 0.0)
-    load = np.zeros(capacity + 1)
-    taken: dict[tuple[int, ...], float] = {}
-    for _ in range(steps):
-        config = tuple(dearest(price))
-        lengths, times = np.unique(config, return_counts=True)
-        share = times / counts[lengths]
-        amount = 1 / share.max()  # the scarcest of its lengths is used once over
-        taken[config] = taken.get(config, 0.0) + amount
-        load[lengths] += share * amount
-        price[lengths] *= np.exp(-rate * share * amount)
-    scale = 1 / load.max()
-    return {c: x * scale for c, x in taken.items()}
+def solve(counts: np.ndarray, price: np.ndarray, steps: int, rate: float = 0.5, slack: float = 0.05):
+    """Configurations and how many of each, the pieces they leave, and a lower bound of all sequences.
+
+    At most ``steps`` pricings; a configuration is taken if its price is within ``slack``
+    of the dearest.
+    """
+    capacity, left, out, bound = len(counts) - 1, counts.copy(), [], 0.0
+    for step in range(steps):
+        some = np.flatnonzero(left)
+        if not len(some):
+            break
+        now = np.zeros(capacity + 1)
+        now[some] = price[some] * np.exp(-rate * (1 - left[some] / counts[some]))
+        best, used = _knapsack(now)
+        if not step:  # no sequence is worth more than the dearest
+            bound = float(counts @ now / best[capacity])
+        near = some[now[some] + best[capacity - some] >= (1 - slack) * best[capacity]]
+        before = left.sum()
+        for length in near[::-1].tolist():
+            if left[length]:
+                config = tuple(sorted([length, *_filled(used, capacity - length)], reverse=True))
+                lengths, times = np.unique(config, return_counts=True)
+                many = int((left[lengths] // times).min())
+                if many:
+                    left[lengths] -= many * times
+                    out.append((config, many))
+        if left.sum() == before:
+            break
+    return out, left, bound
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -147,25 +177,29 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(config, many) for room in rooms for config, many in room.items()]
 
 
-def plan(counts: np.ndarray, steps: int = 150, rounds: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, steps: int = 300, rounds: int = 12) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how many sequences of each; uses every piece exactly once."""
-    left, out = counts.astype(np.int64).copy(), []
-    left[0] = 0
-    weight = np.arange(len(counts))
+    counts = counts.astype(np.int64).copy()
+    counts[0] = 0
+    capacity = len(counts) - 1
+    price = np.where(counts > 0, np.arange(capacity + 1) / capacity, 0.0)
+    chosen, made, bound, rate, dear = [], np.inf, 0.0, 1.0, None
     for _ in range(rounds):
-        # Rounding loses up to a sequence for each configuration: not worth it below.
-        if left @ weight < steps * (len(counts) - 1):
-            break
-        before = left.sum()
-        for config, x in sorted(fractional(left, steps).items(), key=lambda cx: -cx[1]):
-            lengths, times = np.unique(config, return_counts=True)
-            many = int(min(np.floor(x + 1e-9), (left[lengths] // times).min()))
-            if many > 0:
-                left[lengths] -= many * times
-                out.append((config, many))
-        if left.sum() == before:
+        configs, left, below = solve(counts, price, steps)
+        configs = configs + best_fit(left)
+        total = sum(many for _, many in configs)
+        if total < made:
+            chosen, made = configs, total
+        if below > bound:
+            bound, dear, room = below, price, np.zeros(capacity + 1)
+            for config, many in configs:
+                np.add.at(room, list(config), many * (1 - sum(config) / capacity))
+        else:  # a step too far
+            rate /= 2
+        if made <= max((1 + GAP) * bound, np.ceil(bound - 1e-6)):
             break
-    return out + best_fit(left)
+        price = dear * np.exp(rate * room / np.maximum(counts, 1))
+    return chosen
 
 
 class Places:
@@ -201,7 +235,7 @@ def _place(places: Places, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         yield frame.assign(sequence_id=sequence, offset=offset)
 
 
-def pack(cut: DataFrame, *, capacity: int = 2048, chunk_rows: int = 50_000, steps: int = 150) -> DataFrame:
+def pack(cut: DataFrame, *, capacity: int = 2048, chunk_rows: int = 50_000, steps: int = 300) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a written table of pieces."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
@@ -224,7 +258,7 @@ def pack(cut: DataFrame, *, capacity: int = 2048, chunk_rows: int = 50_000, step
     return ranked.mapInPandas(functools.partial(_place, places), PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, steps: int = 150, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, steps: int = 300, **options) -> DataFrame:
     """Pieces of all rows with their sequence and the place in it."""
     cut = staged(pieces(docs, tokenizer, capacity=capacity, **options), "pieces")
     return pack(cut, capacity=capacity, steps=steps)

@@ -66,6 +66,27 @@ def test_plan_uses_every_piece_once_and_comes_near_the_least():
         assert made <= max(least * 1.05, sum(m for _, m in packing.best_fit(counts)))
 
 
+def test_the_program_places_nearly_all_pieces_near_its_bound():
+    rng, size = np.random.default_rng(6), 512
+    for lengths in (rng.lognormal(5, 1, 200_000), rng.integers(1, size + 1, 200_000)):
+        counts = np.bincount(np.clip(lengths.astype(int), 1, size), minlength=size + 1)
+        placed_late, best_fit = [], packing.best_fit
+        try:
+            packing.best_fit = lambda left: placed_late.append(left.sum()) or best_fit(left)
+            configs = packing.plan(counts)
+        finally:
+            packing.best_fit = best_fit
+        assert placed_late[-1] <= 0.02 * counts.sum()
+        volume = counts @ np.arange(size + 1) / size
+        assert sum(many for _, many in configs) <= (1 + packing.GAP) * volume + 1
+    # The volume is no good bound here: two of the long ones never share a sequence.
+    counts = np.zeros(101, dtype=int)
+    counts[60], counts[45] = 5000, 1000
+    price = np.zeros(101)
+    price[60], price[45] = 1.0, 0.5
+    assert packing.solve(counts, price, 300)[2] == sum(many for _, many in packing.plan(counts)) == 5500
+
+
 def test_dearest_is_the_best_knapsack():
     rng = np.random.default_rng(2)
     for _ in range(20):
