@@ -7,8 +7,9 @@ the candidate; it carries how often each character occurs and the sum of c * log
 and a step changes only the counts of the character that enters and of the one that
 leaves.  The entropy of a window is log2(WINDOW) - sum / WINDOW.  Windows at or above
 the threshold of the class are merged into spans ``entropy_<class>``.  Candidates that
-the allow-list knows (words, numbers, identifiers, placeholders) are left out; it never
-suppresses a pattern's span.
+the allow-list knows (words, numbers, identifiers, placeholders) are left out, unless a
+token between separators looks like a key of its own; it never suppresses a pattern's
+span.  The class is that of the whole run: a hex key behind ``key_`` is judged as base64.
 
 Positions are code points, the end is exclusive.  They come from splitting the text at
 the matches and adding up lengths, so long texts cost linear time.
@@ -39,14 +40,19 @@ WINDOW = 20
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "alnum": (r"^[A-Za-z0-9]+$", 3.6), "base64": (r"", 3.9)}
 KINDS = ("assign", "access", "hex", *(f"entropy_{c}" for c in CLASSES))
 
+# A token of letters in mixed case like no words': three times from small to capital, and two capitals together.
+_MIXED = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[A-Z]{2})(?=[A-Z]*(?:[a-z]+[A-Z]+){3})[A-Za-z]{20,}(?![A-Za-z0-9])"
+_MARKERS = r"example|sample|placeholder|dummy|changeme|your[-_]|redacted|xxxx|0123456789|abcdefghij"
+
+# None of them hides a token, between separators, that is long enough for a key and does not fit the rule itself.
 ALLOWED = (
-    r"^[^0-9]*$",  # words and paths
+    rf"^(?!.*{_MIXED})[^0-9]*$",  # words and paths
     r"^[^A-Za-z]*$",  # numbers, rulers
     r"^[A-Za-z]+[0-9]{1,4}$",  # a word and a year or counter
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUID
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",  # dates
-    r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))+$",  # slugs: words and numbers, joined
-    r"(?i)example|sample|placeholder|dummy|changeme|your[-_]|redacted|xxxx|0123456789|abcdefghij",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?!.*[A-Za-z0-9]{20})",  # dates
+    rf"^(?!.*{_MIXED})([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))+$",  # slugs: words and numbers, joined
+    rf"(?i)^(?!(?:.*[-_/=+])?(?![A-Za-z0-9]*(?:{_MARKERS}))[A-Za-z0-9]{{20,}}).*(?:{_MARKERS})",
 )
 
 SPANS = "array<struct<start:int,kind_order:int,end:int,kind:string>>"

@@ -150,6 +150,20 @@ def test_secrets_as_by_hand(spark):
     assert "Python" not in secret_scan.scan(docs)._jdf.queryExecution().toString()
 
 
+def test_the_allow_list_hides_no_key_beside_it(spark):
+    key, letters = "q8Zk3LmP0xVb7Rt2Yw9N", "qGZkWLmPcxVbJRtdYwhN"
+    found = ["api/sample/" + key, "example-key=" + key, key + "_dummy", "2024-01-31/" + key, letters, "key_" + letters]
+    plain = ["internationalizationOfUserInterfaces", "path/to/some/example/file-name", "your-api-key-goes-right-here-1"]
+    plain += ["example_" + key[:10], "EXAMPLE" + key, "abcdefghijklmnopqrstuvwxyz0123456789", "2024-01-31_2024-02-28_00"]
+    docs = spark.createDataFrame(list(enumerate(found + plain)), "doc_id int, text string")
+    rows = secret_scan.scan(docs).select("doc_id", "text", "spans").collect()
+    for r in rows:
+        spans = [(s.start, s.end) for s in r.spans if s.kind.startswith("entropy")]
+        secret = next((k for k in (key, letters) if k in r.text), None) if r.doc_id < len(found) else None
+        at = r.text.find(secret) if secret else None
+        assert any(a <= at and at + len(secret) <= b for a, b in spans) if secret else not spans, r.text
+
+
 def test_language_of_odd_rows_and_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
