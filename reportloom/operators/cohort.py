@@ -145,6 +145,22 @@ def in_ids(df: DataFrame, ids: DataFrame | Sequence[str], col: str) -> DataFrame
     return df.join(listed, F.col(col).cast("string") == F.col("_id"), "left_semi")
 
 
+def any_listed(df: DataFrame, ids: DataFrame | Sequence, cols: Sequence[str | Column]) -> DataFrame:
+    """Rows of which some column is listed; a list DataFrame has its ids in ``id``.
+
+    A table of ids may have any size: each column is looked up by a join with the
+    distinct ids, and no row is repeated.  NULL is not listed.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    if not isinstance(ids, DataFrame):
+        return df.filter(P.any_of([F.coalesce(c.isin(*ids), F.lit(False)) for c in cols]))
+    out = df
+    for i, c in enumerate(cols):
+        listed = ids.select(F.col("id").cast("string").alias(f"_id{i}")).filter(f"_id{i} IS NOT NULL").distinct()
+        out = out.join(listed.withColumn(f"_listed{i}", F.lit(True)), c.cast("string") == F.col(f"_id{i}"), "left")
+    return out.filter(P.any_of([F.col(f"_listed{i}").isNotNull() for i in range(len(cols))])).select(*df.columns)
+
+
 def apply_cohort(
     spark: SparkSession, template: str, ids: DataFrame, col: str, view: str = "_cohort_ids"
 ) -> DataFrame:

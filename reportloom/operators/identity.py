@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..session import cut
+from .cohort import any_listed
 from .windows import newest_per
 
 MAPPING_COLUMNS = (
@@ -386,11 +387,8 @@ def report_views(curated: DataFrame, latest: DataFrame, mapping: DataFrame, name
 
 
 def expand_patients(
-    df: DataFrame, ids: Sequence[str], columns: Sequence[str] = ("epic_mrn", "mpi"),
+    df: DataFrame, ids: DataFrame | Sequence[str], columns: Sequence[str] = ("epic_mrn", "mpi"),
     patient: str = "patient_id",
 ) -> DataFrame:
-    """All rows of the patients behind the given identifiers."""
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.col(c).isin(*ids), F.lit(False))
-    return df.join(df.filter(hit).select(patient).distinct(), patient, "left_semi")
+    """All rows of the patients behind the identifiers, given as values or as a table with a column ``id``."""
+    return df.join(any_listed(df, ids, columns).select(patient).distinct(), patient, "left_semi")

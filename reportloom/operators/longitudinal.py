@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cohort import any_listed
 from .windows import bursts
 
 
@@ -116,10 +117,7 @@ def imaging_before(
 
 
 def patient_history(
-    df: DataFrame, ids: Sequence, ts: str, columns: Sequence[str] = ("resolved_epic_mrn",)
+    df: DataFrame, ids: DataFrame | Sequence, ts: str, columns: Sequence[str] = ("resolved_epic_mrn",)
 ) -> DataFrame:
-    """Rows of the named patients in time order."""
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.col(c).isin(*ids), F.lit(False))
-    return df.filter(hit).orderBy(ts)
+    """Rows of the listed patients in time order; ``ids`` are values or a table with a column ``id``."""
+    return any_listed(df, ids, columns).orderBy(ts)

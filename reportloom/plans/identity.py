@@ -262,6 +262,16 @@ def _(t):
     return found.select("o_orderkey", "o_custkey")
 
 
+@query(
+    "J18_expand_patient_table",
+    """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (
+         SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50))""",
+)
+def _(t):
+    ids = t.lineitem.filter("l_quantity = 50").select(F.col("l_orderkey").alias("id"))
+    return I.expand_patients(t.orders, ids, ["o_orderkey"], "o_custkey").select("o_orderkey", "o_custkey")
+
+
 @query(
     "E11_named_views",
     f"""WITH {EXAMS}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id

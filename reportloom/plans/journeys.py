@@ -223,3 +223,14 @@ def _(t):
 def _(t):
     found = L.patient_history(exams(t), ["E1", "E17", "E42", "M77"], "requested_dt", ["epic_mrn", "mpi"])
     return found.select("epic_mrn", "accession_number", "requested_dt")
+
+
+@query(
+    "J17_patient_history_table",
+    f"""WITH {EXAMS}, ids AS (SELECT 'E' || (s_suppkey * 7) AS id FROM supplier)
+       SELECT epic_mrn, accession_number, requested_dt FROM exams WHERE epic_mrn IN (SELECT id FROM ids)""",
+)
+def _(t):
+    ids = t.supplier.select(F.concat(F.lit("E"), (F.col("s_suppkey") * 7).cast("string")).alias("id"))
+    found = L.patient_history(exams(t), ids, "requested_dt", ["epic_mrn", "mpi"])
+    return found.select("epic_mrn", "accession_number", "requested_dt")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import cohort as K
-from ..operators import evidence, scores
+from ..operators import dictionary, evidence, scores
+from ..operators.textindex import TextIndex
+from ..session import scratch_path
 from ..sources.lists import clean_ids
 from .registry import query
 from .shapes import DOCS, EXAMS, diagnosis_array, doc_reports, exams, part_reports
@@ -56,6 +60,46 @@ def _(t):
     return t.documents.filter(P.text_terms(F.col("text"), "the.{0,20}license\n c++ \n\nData")).select("doc_id")
 
 
+def text_index(t):
+    return TextIndex.build(t.documents, scratch_path(t.spark, "text-index"), key="doc_id", text="text")
+
+
+# A literal, alternatives with a gap, and two terms of which one requires no trigram.
+INDEXED = {
+    "literal": ["Apache License"],
+    "gap": [P.near("released", "mit|apache", 40)],
+    "scan": [r"\d\d@", "data"],
+    "none": ["no text holds this"],
+}
+
+
+@query(
+    "F4_text_index",
+    """SELECT 'literal' AS search, doc_id FROM documents WHERE contains(lower(text), 'apache license')
+       UNION ALL SELECT 'gap', doc_id FROM documents WHERE regexp_matches(text, '(?is)released.{0,40}(mit|apache)')
+         OR regexp_matches(text, '(?is)(mit|apache).{0,40}released')
+       UNION ALL SELECT 'scan', doc_id FROM documents WHERE regexp_matches(text, '[0-9][0-9]@') OR contains(lower(text), 'data')""",
+)
+def _(t):
+    index = text_index(t)
+    found = [index.search(t.documents, p).select(F.lit(n).alias("search"), "doc_id") for n, p in INDEXED.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(
+    "F4_text_index_share",
+    """WITH d AS (SELECT lower(coalesce(text, '')) AS s FROM documents),
+       g AS (SELECT s, p, list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)) AS grams
+         FROM d, (VALUES ('apache license'), ('no text holds this')) v(p))
+       SELECT p AS pattern, count(*) AS n_texts,
+         count(*) FILTER (WHERE len(list_filter(grams, lambda x: contains(s, x))) = len(grams)) AS n_read FROM g GROUP BY p""",
+)
+def _(t):
+    index = text_index(t)
+    found = [index.share_read([p]).withColumn("pattern", F.lit(p.lower())) for p in ("Apache License", "no text holds this")]
+    return found[0].unionByName(found[1])
+
+
 COHORT_SQL = f"""WITH {EXAMS} SELECT DISTINCT patient_id, modality, sending_facility, sex FROM exams
   WHERE (starts_with(modality, '1') OR regexp_matches(service_name, '(?is)house'))
   AND lower(modality) IN ('1-urgent', '5-low', '3-medium') AND sending_facility <> 'NATION_3'
@@ -114,6 +158,20 @@ def _(t):
     return exams(t).filter(pred).select("primary_report_identifier")
 
 
+@query(
+    "F8_patient_table",
+    f"""WITH {EXAMS}, ids AS (SELECT CAST(s_suppkey * 3 AS VARCHAR) AS id FROM supplier
+         UNION ALL SELECT 'E' || s_suppkey FROM supplier UNION ALL SELECT 'E' || s_suppkey FROM supplier)
+       SELECT primary_report_identifier FROM exams
+       WHERE epic_mrn IN (SELECT id FROM ids) OR CAST(patient_id AS VARCHAR) IN (SELECT id FROM ids)""",
+)
+def _(t):
+    numbers = t.supplier.select((F.col("s_suppkey") * 3).cast("string").alias("id"))
+    named = t.supplier.select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("id"))
+    ids = numbers.union(named).union(named)
+    return K.any_listed(exams(t), ids, ["epic_mrn", "patient_id"]).select("primary_report_identifier")
+
+
 @query(
     "F9_cohort",
     f"""WITH {EXAMS} SELECT DISTINCT accession_number, modality, requested_dt FROM exams
@@ -211,6 +269,27 @@ def _(t):
     )
 
 
+# Terms that occur, also inside of words; the query adds two thousand that do not.
+TERMS = ["License", "data", "of the", "thion", "ion onth", "c++"]
+TERM_LITERALS = ["license", "data", "of the", "thion", "ion onth", r"c\\+\\+"]
+
+
+@query(
+    "F13_dictionary_positive",
+    " UNION ALL ".join(
+        f"""SELECT doc_id, '{term}' AS term FROM (WITH {PIECES.format(p=literal)}
+          SELECT doc_id, {duck_mentions(literal, NEG)} AS positive FROM pieces) WHERE positive"""
+        for term, literal in zip(TERMS, TERM_LITERALS)
+    ),
+)
+def _(t):
+    listed = [*TERMS, " DATA ", "", *(f"no such term {i}" for i in range(2000))]
+    found = dictionary.with_positive(t.documents.select("doc_id", "text"), listed, "text")
+    return found.select("doc_id", F.explode("positive").alias("i")).select(
+        "doc_id", F.get(F.array(*[F.lit(x) for x in TERMS]), F.col("i")).alias("term")
+    )
+
+
 @query(
     "F14_flag_inclusion",
     f"""WITH {PIECES.format(p=MENTION)}, f AS (SELECT doc_id, lang = 'de' AS has_strong_indicator,
@@ -552,6 +631,32 @@ def _(t):
     )
 
 
+G6_TERMS = "license|data|thion|ion onth"
+
+
+@query(
+    "G6_dictionary_spans",
+    f"""WITH {PIECES.format(p=G6_TERMS)}, spans AS (
+         SELECT doc_id, unnest(range(1, len(h) + 1)) AS k, s, h FROM pieces)
+       SELECT doc_id, hit AS term, start, start + length(hit) AS stop, negated FROM (
+         SELECT doc_id, h[k] AS hit,
+           CAST(coalesce(list_sum([length(x) for x in s[1:k]]), 0)
+             + coalesce(list_sum([length(x) for x in h[1:k - 1]]), 0) AS INTEGER) AS start,
+           regexp_matches(right(array_to_string([s[j] || h[j] for j in range(1, k)], '') || s[k], 50), '{NEG}')
+             AS negated FROM spans)""",
+)
+def _(t):
+    terms = G6_TERMS.split("|")
+    found = dictionary.with_spans(t.documents.select("doc_id", "text"), terms, "text")
+    return found.select("doc_id", F.explode("spans").alias("m")).select(
+        "doc_id",
+        F.get(F.array(*[F.lit(x) for x in terms]), F.col("m.term")).alias("term"),
+        F.col("m.start").alias("start"),
+        F.col("m.end").cast("bigint").alias("stop"),
+        F.col("m.negated").alias("negated"),
+    )
+
+
 @query(
     "G7_locate_snippet",
     """SELECT doc_id, CAST(length(text) - length(ltrim(text, ' ' || chr(10) || chr(9) || chr(13))) AS INTEGER) AS start,
