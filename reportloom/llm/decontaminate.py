@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 from .stage import staged, whole_text
 from .vocab import text_slices
 
+#: Words of a text in lower case, and of one that is not.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _SPAN = "array<struct<start:int,end:int>>"
 #: ``words`` are hit stretches by word number, ``spans`` the same by code point, ends exclusive.
 FOUND = f"struct<n_words:long,n_hit:long,words:{_SPAN},spans:{_SPAN},items:array<string>>"
@@ -156,7 +158,7 @@ def _stretches(marks: np.ndarray) -> np.ndarray:
 
 def _by_characters(text: str, stretches: np.ndarray) -> list[tuple[int, int]]:
     """Stretches of words as code points of the text."""
-    found = [m.span() for m in re.finditer(WORD, text)]
+    found = [m.span() for m in _ANY_CASE.finditer(text)]
     return [(found[a][0], found[b - 1][1]) for a, b in stretches]
 
 
