@@ -11,12 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.predicates import any_of
 from ..functions.rules import has_text
 from .windows import newest_per
 
 CONTENT_HASH = "content_hash"
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 UPSERTS = ("insert", "update_postimage")
+PREIMAGE = "update_preimage"
 
 # Serialisation the content hash is defined over.
 _HASH_JSON = {
@@ -105,12 +107,17 @@ def upsert(
 
 
 def change_rows(
-    old: DataFrame, new: DataFrame, key: str | Sequence[str], exclude: Sequence[str] = ("updated",)
+    old: DataFrame,
+    new: DataFrame,
+    key: str | Sequence[str],
+    exclude: Sequence[str] = ("updated",),
+    preimages: bool = False,
 ) -> DataFrame:
     """Difference of two versions of a table as change rows.
 
     Rows are ``new`` columns plus ``_change_type`` (``insert``,
     ``update_postimage`` or ``delete``); rows with equal content yield nothing.
+    With ``preimages`` an update also yields the row it replaces, as ``update_preimage``.
     """
     keys = _keys(key)
     columns = list(new.columns) + [c for c in old.columns if c not in new.columns]
@@ -127,12 +134,15 @@ def change_rows(
         .when(F.col(f"n.{CONTENT_HASH}").isNull(), "delete")
         .when(F.col(f"o.{CONTENT_HASH}") != F.col(f"n.{CONTENT_HASH}"), "update_postimage")
     )
+    changed = joined.withColumn("_change_type", kind).filter(F.col("_change_type").isNotNull())
+    if preimages:
+        both = F.array(F.lit(PREIMAGE), F.lit("update_postimage"))
+        kinds = F.when(F.col("_change_type") == "update_postimage", both).otherwise(F.array("_change_type"))
+        changed = changed.withColumn("_change_type", F.explode(kinds))
     return (
-        joined.withColumn("_change_type", kind)
-        .filter(F.col("_change_type").isNotNull())
-        .select(
+        changed.select(
             *[
-                F.when(F.col("_change_type") == "delete", F.col(f"o.{c}"))
+                F.when(F.col("_change_type").isin("delete", PREIMAGE), F.col(f"o.{c}"))
                 .otherwise(F.col(f"n.{c}"))
                 .alias(c)
                 for c in columns
@@ -142,6 +152,46 @@ def change_rows(
     )
 
 
+def upsert_changes(
+    target: DataFrame | None,
+    source: DataFrame,
+    key: str | Sequence[str],
+    update_when: str | None = None,
+    exclude: Sequence[str] = ("updated",),
+) -> DataFrame:
+    """The change rows that :func:`upsert` makes, by one join from the source's side.
+
+    Columns that the source lacks keep their values; ``exclude`` columns alone are no change.
+    """
+    keys = _keys(key)
+    if target is None:
+        return source.withColumn("_change_type", F.lit("insert"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*source.schema.fields, *target.schema.fields]}
+    t = target.withColumn("_in_t", F.lit(True)).alias("t")
+    joined = source.alias("s").join(t, [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], "left")
+
+    def old(name: str) -> Column:
+        return F.col(f"t.{name}") if name in target.columns else F.lit(None).cast(kinds[name])
+
+    def new(name: str) -> Column:
+        return F.col(f"s.{name}") if name in source.columns else old(name)
+
+    def differs(name: str) -> Column:
+        if "map<" in kinds[name]:  # maps are not comparable
+            return ~F.to_json(new(name)).eqNullSafe(F.to_json(old(name)))
+        return ~new(name).eqNullSafe(old(name))
+
+    compared = [differs(c) for c in kinds if c not in {*keys, *exclude, CONTENT_HASH}]
+    changed = any_of(compared)
+    if update_when is not None:
+        changed = changed & F.coalesce(F.expr(update_when), F.lit(False))
+    kind = F.when(F.col("t._in_t").isNull(), "insert").when(changed, "update_postimage")
+    columns = [*target.columns, *[c for c in source.columns if c not in target.columns]]
+    return joined.withColumn("_change_type", kind).filter(F.col("_change_type").isNotNull()).select(
+        *[new(c).alias(c) for c in columns], "_change_type"
+    )
+
+
 def merge_reports(
     target: DataFrame, batch: DataFrame, key: str = "source_file", partition: str | None = "year"
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import changes as C
 from ..operators import curate, status
+from ..operators import maintained as M
 from ..session import cut, scratch_path
 from ..sources.messages import parse_messages
 from ..streaming.cascade import Derivative, ReportTables, run_cascade
@@ -166,6 +167,41 @@ def keyed_lines(t):
 TIES = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
+MAINTAINED = """final AS (SELECT o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN '2-HIGH' ELSE o_orderpriority END AS p,
+         CAST(o_totalprice AS DECIMAL(18, 2)) AS price, o_orderstatus FROM orders WHERE o_orderstatus <> 'P')"""
+
+
+def maintained(t, keys, sums=(), distinct=None):
+    """Three commits of orders: all but the latest, updates and deletes, the latest; the second arrives twice."""
+    rows = t.orders.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderpriority").alias("p"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), "o_orderdate"
+    )
+    held = M.MaintainedAggregate(t.spark, scratch_path(t.spark, "counts"), keys, sums, distinct)
+    moved = rows.filter("o_orderstatus <> 'P'").withColumn("p", F.when(F.col("p") == "1-URGENT", "2-HIGH").otherwise(F.col("p")))
+    early = "o_orderdate < '1997-01-01'"
+    commits = [(rows.limit(0), rows.filter(early)), (rows.filter(early), moved.filter(early)), (moved.filter(early), moved)]
+    for version in (0, 1, 1, 2):
+        old, new = commits[version]
+        held.apply(version, C.change_rows(old, new, "o_orderkey", preimages=True))
+        if version == 1:
+            held.fold(0)
+    return held.read()
+
+
+@query(
+    "C5_maintained_sums",
+    f"""WITH {MAINTAINED} SELECT p, o_orderstatus, count(*) AS n, CAST(sum(price) AS DOUBLE) AS sum_price FROM final GROUP BY 1, 2""",
+)
+def _(t):
+    found = maintained(t, ["p", "o_orderstatus"], ["price"])
+    return found.select("p", "o_orderstatus", "n", F.col("sum_price").cast("double").alias("sum_price"))
+
+
+@query("H1_maintained_distinct", f"WITH {MAINTAINED} SELECT p, count(DISTINCT o_custkey) AS n FROM final GROUP BY 1")
+def _(t):
+    return maintained(t, ["p"], distinct="o_custkey")
+
+
 @query(
     "C6_dedupe_newest",
     """SELECT CAST(l_orderkey AS VARCHAR) AS accession, l_partkey, l_suppkey, l_shipdate FROM (
@@ -319,7 +355,7 @@ UNION ALL SELECT 'commits_of_a_repeat', 'n', '0'"""
 
 @query("C10_run_cascade", CASCADE_SQL)
 def _(t):
-    tables = ReportTables(t.spark, scratch_path(t.spark, "tables"), buckets=4)
+    tables = ReportTables(t.spark, scratch_path(t.spark, "tables"))
     reports = base_reports(t)
     # Some early reports come in an older form with one diagnosis more.
     older = F.col("version_id") == "2.7"
@@ -363,8 +399,8 @@ def _(t):
 def _(t):
     root = scratch_path(t.spark, "dag")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    base = MergeTable(t.spark, f"{root}/orders", "o_orderkey", buckets=4)
-    newest = MergeTable(t.spark, f"{root}/orders_newest", "o_custkey", buckets=4)
+    base = MergeTable(t.spark, f"{root}/orders", "o_orderkey")
+    newest = MergeTable(t.spark, f"{root}/orders_newest", "o_custkey")
 
     def keep_newest(batch, version):
         incoming = C.dedupe_newest(
@@ -541,7 +577,7 @@ def _(t):
 def _(t):
     broken = F.col("source_file").rlike(r"7\.hl7$")
     content = hl7_messages(t).withColumn("content", F.when(broken, F.lit("no message")).otherwise(F.col("content")))
-    tables = ReportTables(t.spark, scratch_path(t.spark, "ingested"), buckets=4)
+    tables = ReportTables(t.spark, scratch_path(t.spark, "ingested"))
     tables.ingest_messages(0, parse_messages(content, keep=["source_file"]))
     now = status.current_status(t.spark.read.parquet(tables.status_path))
     stored = tables.base.read().select(F.col("source_file").alias("file_path"), F.lit(True).alias("stored"))

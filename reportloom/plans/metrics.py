@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import curate
 from ..operators import metrics as M
 from ..operators import profile, scores, windows
+from ..operators import sketches as S
+from ..session import scratch_path
 from .registry import query
 from .search import SCORED, cohort_rows, decisions, duck_primary, duck_scores, scored
 from .shapes import DOCS, EXAMS, TIMED, diagnosis_array, doc_reports, exams, timed
@@ -100,6 +102,85 @@ def _(t):
     )
 
 
+def stored_sketches(t):
+    """Turnaround sketches by day, modality and facility, written and read again."""
+    by_day = timed(t).withColumn("day", F.col("message_dt").cast("date"))
+    path = scratch_path(t.spark, "tat-sketches")
+    minutes = S.minutes_between("requested_dt", "message_dt")
+    S.quantile_sketches(by_day, minutes, ["day", "modality", "sending_facility"]).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+def close_ranks(t, found, keys, probs):
+    """Whether the share of turnarounds below and up to each estimate encloses its probability, with the stated error."""
+    minutes = timed(t).select(
+        F.col("modality"), F.trunc("message_dt", "month").alias("month"), S.minutes_between("requested_dt", "message_dt").alias("m")
+    )
+    checked = found.join(minutes.filter("m IS NOT NULL AND month BETWEEN '1995-03-01' AND '1997-06-01'"), keys)
+    error = S.rank_error()
+    return checked.groupBy(*keys, "n").agg(
+        *[
+            (
+                (F.avg((F.col("m") < F.col(name)).cast("int")) <= p + error) & (F.avg((F.col("m") <= F.col(name)).cast("int")) >= p - error)
+            ).alias(f"{name}_close")
+            for name, p in probs.items()
+        ]
+    )
+
+
+STORED_SQL = """WITH {timed} SELECT {keys}, count(*) AS n, true AS median_close, true AS p95_close FROM (
+         SELECT modality, CAST(date_trunc('month', message_dt) AS DATE) AS month FROM timed WHERE message_dt > requested_dt
+         AND message_dt >= DATE '1995-03-01' AND message_dt < DATE '1997-07-01') GROUP BY {keys}"""
+
+
+@query("H5_stored_quantiles", STORED_SQL.format(timed=TIMED, keys="modality"))
+def _(t):
+    probs = {"median": 0.5, "p95": 0.95}
+    days = stored_sketches(t).filter("day >= '1995-03-01' AND day < '1997-07-01'")
+    return close_ranks(t, S.merged_quantiles(days, probs, "modality"), ["modality"], probs)
+
+
+@query("H10_stored_trend", STORED_SQL.format(timed=TIMED, keys="modality, month"))
+def _(t):
+    probs = {"median": 0.5, "p95": 0.95}
+    days = stored_sketches(t).filter("day >= '1995-03-01' AND day < '1997-07-01'")
+    monthly = S.merged_quantiles(days.withColumn("month", F.trunc("day", "month")), probs, ["modality", "month"])
+    return close_ranks(t, monthly, ["modality", "month"], probs)
+
+
+def patient_sketches(t):
+    """Patients by year, modality and facility, written and read again."""
+    path = scratch_path(t.spark, "patient-sketches")
+    by_year = exams(t).withColumn("year", F.year("requested_dt"))
+    S.set_sketches(by_year, "patient_id", ["year", "modality", "sending_facility"]).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "H1_stored_distinct",
+    f"""WITH {EXAMS} SELECT modality, count(DISTINCT patient_id) AS n FROM exams
+       WHERE year(requested_dt) BETWEEN 1995 AND 1997 GROUP BY modality""",
+)
+def _(t):
+    return S.set_sizes(patient_sketches(t).filter("year BETWEEN 1995 AND 1997"), "modality")
+
+
+@query(
+    "H24_returning_patients",
+    f"""WITH {EXAMS}, p AS (SELECT sending_facility, patient_id, bool_or(year(requested_dt) <= 1995) AS early,
+         bool_or(year(requested_dt) >= 1996) AS late FROM exams GROUP BY ALL)
+       SELECT sending_facility, count(*) FILTER (WHERE early) AS n_a, count(*) FILTER (WHERE late) AS n_b,
+         count(*) FILTER (WHERE early AND late) AS n_both, count(*) FILTER (WHERE early AND NOT late) AS n_only_a,
+         count(*) FILTER (WHERE late AND NOT early) AS n_only_b, count(*) AS n_either,
+         round(100.0 * count(*) FILTER (WHERE early AND late) / nullif(count(*) FILTER (WHERE early), 0), 6) AS pct_kept
+       FROM p GROUP BY 1""",
+)
+def _(t):
+    sets = patient_sketches(t)
+    found = S.compared_sets(sets.filter("year <= 1995"), sets.filter("year >= 1996"), "sending_facility")
+    return found.withColumn("pct_kept", F.round("pct_kept", 6))
+
+
 @query(
     "H6_tat_bubble",
     f"""WITH {TIMED} SELECT modality, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(m, 0.5) / 60.0, 6) AS median_hours,

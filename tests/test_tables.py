@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportloom.operators import changes as C
+from reportloom.operators import maintained as M
 from reportloom.operators import windows
 from reportloom.plans.maintenance import base_reports
 from reportloom.plans.registry import Tables
@@ -37,7 +38,7 @@ def rows_of(df):
 
 
 def test_merge_table(spark, tmp_path):
-    table = MergeTable(spark, str(tmp_path / "t"), "id", bucket_by="g", buckets=3)
+    table = MergeTable(spark, str(tmp_path / "t"), "id")
     make = lambda data: spark.createDataFrame(data, "id string, g string, v int")
     assert table.upsert(0, make([("a1", "a", 1), ("a2", "a", 2), ("b1", "b", 3)]))
     assert not table.upsert(1, make([("a1", "a", 1)]))
@@ -61,7 +62,7 @@ def test_merge_table(spark, tmp_path):
 def test_cascade_in_batches(spark, tmp_path):
     reports = base_reports(Tables(spark, "/root/testdata/sf0.001")).filter("year < 1997")
     early, late = reports.filter("year = 1995"), reports.filter("year <> 1995")
-    tables = ReportTables(spark, str(tmp_path / "split"), buckets=2)
+    tables = ReportTables(spark, str(tmp_path / "split"))
     assert tables.ingest(0, early)
     tables.refresh()
     assert tables.ingest(1, late.unionByName(early))
@@ -121,40 +122,86 @@ def files_under(folder):
 
 def test_a_commit_writes_only_its_batch(spark, tmp_path):
     make = lambda data: spark.createDataFrame(data, "id long, v int")
-    table = MergeTable(spark, str(tmp_path / "t"), "id", buckets=4)
+    table = MergeTable(spark, str(tmp_path / "t"), "id")
     assert table.upsert(0, make([(i, 0) for i in range(200)]))
-    table.compact()
     before = files_under(tmp_path / "t")
     assert table.upsert(1, make([(3, 9), (500, 1)]))
     after = files_under(tmp_path / "t")
     assert before.items() <= after.items() and len(after) > len(before)
     assert sum(spark.read.parquet(p).count() for p in after.keys() - before.keys()) == 2
-    # Another bucket count when it is opened again changes neither the layout nor the rows.
-    again = MergeTable(spark, str(tmp_path / "t"), "id", buckets=32)
-    assert again.upsert(2, make([(4, 7)])) and again.manifest()["buckets"] == 4
+    again = MergeTable(spark, str(tmp_path / "t"), "id")
+    assert again.upsert(2, make([(4, 7)]))
     assert again.read().count() == 201 and again.read().filter("v = 7").count() == 1
     assert rows_of(again.changes().filter("_commit_version = 2").select("id", "_change_type")) == [(4, "update_postimage")]
-    with pytest.raises(ValueError):
-        MergeTable(spark, str(tmp_path / "t"), "v").read()
 
 
-def test_compaction_expiry_and_readers(spark, tmp_path):
+def test_null_keys_readers_and_unchanged_rows(spark, tmp_path):
     make = lambda data: spark.createDataFrame(data, "id long, y int, v int")
-    table = MergeTable(spark, str(tmp_path / "t"), ["id", "y"], partition_by=["y"], compact_after=3)
+    table = MergeTable(spark, str(tmp_path / "t"), ["id", "y"])
     assert table.upsert(0, make([(1, 2020, 1), (2, None, 1)]))
     reader = table.read()
     assert table.upsert(1, make([(1, 2020, 2), (3, 2021, 1)]))
     assert not table.upsert(2, make([(2, None, 1)]))
     assert rows_of(reader) == [(1, 2020, 1), (2, None, 1)]
-    assert table.upsert(3, make([(2, None, 5)])) and table.manifest()["base"].startswith("base-3")
+    assert table.upsert(3, make([(2, None, 5)]))
     want = [(1, 2020, 2), (2, None, 5), (3, 2021, 1)]
     key = lambda r: r[0]
     assert sorted((tuple(r) for r in table.read().select("id", "y", "v").collect()), key=key) == want
-    assert not table.upsert(4, make([(2, None, 5)])) and table.logged(1)
-    table.expire(1)
-    assert {r[0] for r in table.changes().select("_commit_version").collect()} == {3}
-    assert sorted((tuple(r) for r in table.read().select("id", "y", "v").collect()), key=key) == want
-    assert len(list((tmp_path / "t").glob("base-*"))) == 1
+    assert not table.upsert(4, make([(2, None, 5)])) and table.logged(1) and table.logged(4)
+    # A commit that was not finished is written again.
+    (tmp_path / "t" / "changes" / "_commit_version=3" / "_SUCCESS").unlink()
+    assert table.upsert(3, make([(2, None, 6)]))
+    assert table.read().filter("v = 6").count() == 1
+
+
+@pytest.mark.parametrize("condition", [None, "s.v > t.v"])
+def test_changes_of_an_upsert(spark, condition):
+    rng = random.Random(4)
+    rows = lambda n: [(k, rng.randrange(3), {"a": rng.randrange(2)}, str(rng.random())) for k in rng.sample(range(30), n)]
+    old = spark.createDataFrame([*rows(20), (None, 1, None, "x")], "id int, v int, m map<string,int>, updated string")
+    new = spark.createDataFrame([*rows(20), (None, 2, None, "x")], old.schema).drop("m" if condition else "updated").withColumn("w", F.lit(1))
+    want = C.change_rows(old, C.upsert(old, new, "id", condition), "id")
+    got = C.upsert_changes(old, new, "id", condition)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_change_rows_with_preimages(spark):
+    make = lambda data: spark.createDataFrame(data, "id int, v int")
+    rows = C.change_rows(make([(1, 1), (2, 1), (3, 1)]), make([(1, 1), (2, 5), (4, 1)]), "id", preimages=True)
+    assert rows_of(rows) == [(2, 1, "update_preimage"), (2, 5, "update_postimage"), (3, 1, "delete"), (4, 1, "insert")]
+
+
+def test_aggregates_follow_the_log(spark, tmp_path):
+    rng, schema = random.Random(8), "id int, g string, v int, p string"
+    rows: dict[int, tuple] = {}
+    sums = M.MaintainedAggregate(spark, str(tmp_path / "sums"), ["g"], ["v"])
+    kinds = M.MaintainedAggregate(spark, str(tmp_path / "kinds"), ["g"], distinct="p")
+    with pytest.raises(FileNotFoundError):
+        sums.read()
+    for version in range(7):
+        old = spark.createDataFrame(list(rows.values()), schema)
+        if version == 5:
+            rows.clear()  # everything goes
+        for _ in range(25 if version != 5 else 0):
+            i = rng.randrange(40)
+            rows.pop(i, None)
+            if rng.random() < 0.8:
+                rows[i] = (i, rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3]), rng.choice(["x", "y", None]))
+        new = spark.createDataFrame(list(rows.values()), schema)
+        changes = C.change_rows(old, new, "id", preimages=True)
+        for held in (sums, kinds):
+            held.apply(version, changes)
+            if version % 3 == 2:
+                held.apply(version, changes)  # a replay
+            if version in (3, 5):
+                held.fold(version if version == 5 else 2)
+        want = new.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("sum_v"), F.avg("v").alias("avg_v"))
+        assert sorted(map(str, sums.read().collect())) == sorted(map(str, want.collect()))
+        distinct = new.groupBy("g").agg(F.count_distinct("p").alias("n"))
+        assert sorted(map(str, kinds.read().collect())) == sorted(map(str, distinct.collect()))
+    # A batch that changes nothing leaves nothing.
+    assert M.deltas(changes.filter("false"), "g", ["v"]).count() == 0
 
 
 def test_equal_dates_are_cut_into_even_runs(spark):
