@@ -321,11 +321,25 @@ def matched_diagnoses(
 
 def _folded(c: Column) -> Column:
     """Lower case of the same length: the one letter that grows is replaced first."""
-    return F.translate(F.lower(F.translate(c, "İ", "i")), "ς", "σ")
+    return F.replace(F.lower(F.replace(c, F.lit("İ"), F.lit("i"))), F.lit("ς"), F.lit("σ"))
 
 
-def _spaced(words: Column) -> Column:
-    return F.array_join(F.filter(words, lambda w: w != ""), " ")
+_GAP = r"(?U)\s+"
+# The characters that pattern takes for white space.
+_UNICODE_SPACE = (
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def _spaced(c: Column) -> Column:
+    """The words joined by single spaces."""
+    return F.btrim(F.regexp_replace(c, _GAP, " "), F.lit(" "))
+
+
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def locate_snippet(c: Column, snippet: Column) -> Column:
@@ -333,54 +347,42 @@ def locate_snippet(c: Column, snippet: Column) -> Column:
 
     ``struct<start, end>`` with 0-based offsets, end exclusive; NULL when the
     snippet is shorter than five characters or absent.  Both are joined by single
-    spaces and compared; a fold over the words then finds those that hold the
-    first and the last character and their places in the text.  Linear.
+    spaces and compared.  Where no gap of the text is wider than a character, places are
+    the same but for the white space in front.  Else the words before a place are counted
+    by the spaces, and the text that follows as many words tells the place: a few passes
+    over the text, however many words it has.
     """
-    gap = r"(?U)\s+"
+    spaces = F.lit(_UNICODE_SPACE)
 
-    def mapped(text: Column, wanted: Column, first: Column) -> Column:
-        last = first + F.length(wanted) - 1
-        parts = F.arrays_zip(
-            F.split(text, gap, -1).alias("word"),
-            F.regexp_extract_all(text, F.lit(gap), F.lit(0)).alias("gap"),
-        )
-        none = F.lit(None).cast("int")
+    def place(f: Column, at: Column) -> Column:
+        before = F.substr(f["flat"], F.lit(1), at)
 
-        def step(state: Column, part: Column) -> Column:
-            size = F.length(part["word"])
+        def after(before: Column) -> Column:
+            words = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+            rest = F.element_at(F.split(c, _GAP, words + F.least(f["lead"], F.lit(1)) + 1), -1)
+            return F.length(c) - F.length(rest) + F.length(F.substring_index(before, " ", -1))
 
-            def at(place: Column, before: Column) -> Column:
-                inside = (place >= state["flat"]) & (place < state["flat"] + size)
-                return F.when(inside, state["own"] + place - state["flat"]).otherwise(before)
+        return F.when(f["plain"], f["lead"] + at).otherwise(_bound(before, after))
 
-            return F.struct(
-                (state["own"] + size + F.coalesce(F.length(part["gap"]), F.lit(0))).alias("own"),
-                (state["flat"] + F.when(size > 0, size + 1).otherwise(0)).alias("flat"),
-                at(first, state["start"]).alias("start"),
-                at(last, state["last"]).alias("last"),
-            )
+    def searched(raw: Column) -> Column:
+        wanted = F.when(F.length(F.btrim(raw, spaces)) >= 5, _folded(_spaced(raw)))
+        return F.struct(_folded(_spaced(c)).alias("flat"), wanted.alias("wanted"))
 
-        zero = F.lit(0)
-        begin = F.struct(zero.alias("own"), zero.alias("flat"), none.alias("start"), none.alias("last"))
-        return F.aggregate(
-            parts,
-            begin,
-            step,
-            lambda s: F.struct(s["start"].alias("start"), (s["last"] + 1).alias("end")),
+    def found(both: Column) -> Column:
+        return F.struct(
+            both["flat"].alias("flat"),
+            (F.position(both["wanted"], both["flat"]) - 1).alias("first"),
+            F.length(both["wanted"]).alias("size"),
+            (F.length(c) - F.length(F.ltrim(c, spaces))).alias("lead"),
+            (F.length(F.btrim(c, spaces)) == F.length(both["flat"])).alias("plain"),
         )
 
-    def found(both: Column) -> Column:
-        first = F.position(both["wanted"], both["flat"]) - 1
-        usable = (F.length(F.regexp_replace(both["raw"], r"(?U)^\s+|\s+$", "")) >= 5) & (first >= 0)
-        return F.when(usable, mapped(c, both["wanted"], first))
-
-    # Bound once: the joined forms are looked at more than once below.
-    both = F.struct(
-        _folded(_spaced(F.split(c, gap, -1))).alias("flat"),
-        _folded(_spaced(F.split(snippet, gap, -1))).alias("wanted"),
-        snippet.alias("raw"),
-    )
-    return F.get(F.transform(F.array(both), found), F.lit(0))
+    def mapped(f: Column) -> Column:
+        last = f["first"] + f["size"] - 1
+        span = F.struct(place(f, f["first"]).alias("start"), (place(f, last) + 1).alias("end"))
+        return F.when(f["first"] >= 0, span)
+
+    return _bound(_bound(_bound(snippet, searched), found), mapped)
 
 
 def finding_category(c: Column) -> Column:

@@ -182,7 +182,11 @@ def pipe(values: dict[int, Column], size: int, name: str) -> Column:
 
 
 def hl7_messages(t: Tables) -> DataFrame:
-    """``source_file, content``: one message per order."""
+    """``source_file, content``: one message per order.
+
+    The orders are one file here, where messages would be many; so the rows are dealt out
+    before they are written as messages.
+    """
     key = F.col("o_orderkey").cast("string")
     cust = F.col("o_custkey").cast("string")
     day = F.date_format("o_orderdate", "yyyyMMdd")
@@ -266,7 +270,7 @@ def hl7_messages(t: Tables) -> DataFrame:
         F.concat(F.lit("ZDS|1.2."), key),
     ]
     return (
-        t.orders
+        t.orders.repartition(t.spark.sparkContext.defaultParallelism)
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(

@@ -138,3 +138,21 @@ def test_unusable_patterns_and_empty_lists(spark):
             T.positive_mention(F.col("t"), [pattern])
     for test in (lambda c: P.name_any(c, ""), lambda c: P.text_terms(c, "\n"), lambda c: T.positive_mention(c, [])):
         assert one(spark, "anything", test) is False
+
+
+def test_locating_a_snippet_takes_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (16_000, 64_000):
+        words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(i.cast("string"), F.when(i % 7 == 0, " ").otherwise("")))
+        df = spark.range(4).select(F.array_join(words, " ").alias("t")).repartition(4).cache()
+        found = df.select(T.locate_snippet(F.col("t"), F.regexp_replace("t", r"\s+", " ")).alias("m"), F.length("t").alias("n"))
+        assert found.filter("m.start = 0 AND m.end >= n - 1").count() == 4
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            found.write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        took.append(min(times))
+    assert took[1] < 8 * took[0]  # four times the words; quadratic would be sixteen
