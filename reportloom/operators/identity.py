@@ -291,10 +291,12 @@ def empty_mapping(spark) -> DataFrame:
 def resolve_batch(
     mapping: DataFrame, reports: DataFrame, null_ids: str = "group"
 ) -> tuple[DataFrame, DataFrame]:
-    """Mapping rows a batch adds or may alter, before and after: ``(old, new)``.
+    """Mapping rows a batch adds or alters, before and after: ``(old, new)``.
 
-    ``new`` holds the batch's reports and all reports of the stored patients the
-    batch touches; ``old`` holds the stored state of the latter.
+    ``new`` holds the batch's reports and the reports of stored patients whose id or flag
+    the batch changes; ``old`` holds the stored state of the latter.  The patients the
+    batch merely touches are summed up, a row each, and the reports without identifiers
+    not even that, since their patient has none to disagree on.
     """
     fresh = unmapped(newest_per(reports, REPORT, ["mpi", "epic_mrn"]), mapping)
     batch = cut(fresh.select(REPORT, "mpi", "epic_mrn", _anchor(null_ids).alias("anchor")))
@@ -315,32 +317,42 @@ def resolve_batch(
     stored = touched.select(F.col("vertex").alias("a"), _vertex("patient", "patient_id").alias("b"))
     components = connected_components(own.unionByName(stored).distinct())
 
-    patients = touched.select("patient_id").distinct()
-    patients = patients.join(components, _vertex("patient", "patient_id") == F.col("vertex"))
-    affected = mapping.join(patients.select("patient_id", "component"), "patient_id")
-    placed = batch.join(components, F.col("anchor") == F.col("vertex")).select(
-        F.lit(None).cast("string").alias("patient_id"),
-        REPORT,
-        "mpi",
-        "epic_mrn",
-        F.lit(None).cast("boolean").alias("consistent"),
-        "component",
+    # What is known of each touched patient; of the one without identifiers all is.
+    named = touched.filter(F.col("vertex") != NO_IDS).select("patient_id").distinct()
+    extremes = [agg(c).alias(f"_{agg.__name__}_{c}") for c in ("mpi", "epic_mrn") for agg in (F.min, F.max)]
+    summed = mapping.join(named, "patient_id", "left_semi").groupBy("patient_id").agg(
+        *extremes, F.min("consistent").alias("_was")
+    )
+    nothing = [F.lit(None).cast("string").alias(f"_{agg}_{c}") for c in ("mpi", "epic_mrn") for agg in ("min", "max")]
+    lonely = touched.filter(F.col("vertex") == NO_IDS).select("patient_id", *nothing, F.lit(True).alias("_was"))
+    patients = cut(
+        summed.unionByName(lonely).join(components, _vertex("patient", "patient_id") == F.col("vertex")).drop("vertex")
+    )
+    placed = cut(
+        batch.join(components, F.col("anchor") == F.col("vertex")).select(REPORT, "mpi", "epic_mrn", "component")
     )
-    members = cut(affected.select(*MAPPING_COLUMNS, "component").unionByName(placed))
+    incoming = placed.groupBy("component").agg(*extremes, F.min(REPORT).alias("_first"))
+    facts = patients.select("component", "patient_id", F.lit(None).cast("string").alias("_first"), *[c for c in patients.columns if c[:5] in ("_min_", "_max_")])
+    facts = facts.unionByName(incoming.withColumn("patient_id", F.lit(None).cast("string")))
 
-    first_new = F.min(F.when(F.col("patient_id").isNull(), F.col(REPORT)))
-    verdict = members.groupBy("component").agg(
-        F.coalesce(F.min("patient_id"), F.sha2(first_new, 256)).alias("_id"),
-        (_single("mpi") & _single("epic_mrn")).alias("_ok"),
+    def agree(c: str) -> Column:
+        return F.coalesce(F.min(f"_min_{c}") == F.max(f"_max_{c}"), F.lit(True))
+
+    verdict = facts.groupBy("component").agg(
+        F.coalesce(F.min("patient_id"), F.sha2(F.min("_first"), 256)).alias("_id"),
+        (agree("mpi") & agree("epic_mrn")).alias("_ok"),
     )
-    new = members.join(verdict, "component").select(
-        F.col("_id").alias("patient_id"),
-        REPORT,
-        "mpi",
-        "epic_mrn",
-        F.col("_ok").alias("consistent"),
+    altered = cut(
+        patients.join(verdict, "component")
+        .filter((F.col("patient_id") != F.col("_id")) | ~F.col("_was").eqNullSafe(F.col("_ok")))
+        .select("patient_id", "_id", "_ok")
+    )
+    affected = mapping.join(altered, "patient_id").select(*MAPPING_COLUMNS, "_id", "_ok")
+    added = placed.join(verdict, "component").select(
+        F.col("_id").alias("patient_id"), REPORT, "mpi", "epic_mrn", F.col("_ok").alias("consistent")
     )
-    return members.filter(F.col("patient_id").isNotNull()).select(*MAPPING_COLUMNS), new
+    renamed = affected.select(F.col("_id").alias("patient_id"), REPORT, "mpi", "epic_mrn", F.col("_ok").alias("consistent"))
+    return affected.select(*MAPPING_COLUMNS), renamed.unionByName(added)
 
 
 def update_mapping(

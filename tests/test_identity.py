@@ -107,3 +107,18 @@ def test_batches_do_not_matter(spark, null_ids):
     without = {k for k, v in reports.items() if v == (None, None)}
     sizes = [len(w) for w, _ in webs(whole) if w & without]
     assert sizes == ([len(without)] if null_ids == "group" else [1] * len(without))
+
+
+def test_a_report_without_ids_touches_one_row(spark):
+    reports = {f"r{i:02d}": (None, None) if i % 2 else (f"m{i}", f"e{i}") for i in range(60)}
+    mapping = I.build_mapping(frame(spark, reports))
+    old, new = I.resolve_batch(mapping, frame(spark, {"z": (None, None)}))
+    assert old.count() == 0 and new.count() == 1
+    assert new.first()["patient_id"] == mapping.filter("primary_report_identifier = 'r01'").first()["patient_id"]
+    # A known patient's further report alters none of the rows it has, a second id all of them.
+    old, new = I.resolve_batch(mapping, frame(spark, {"z": ("m0", "e0")}))
+    assert old.count() == 0 and new.first()["consistent"]
+    old, new = I.resolve_batch(mapping, frame(spark, {"z": ("m0", "other")}))
+    assert old.count() == 1 and not any(r["consistent"] for r in new.collect())
+    old, new = I.resolve_batch(mapping, frame(spark, {"z": ("m0", "e2")}))
+    assert old.count() == 2 and len({r["patient_id"] for r in new.collect()}) == 1
