@@ -1,11 +1,12 @@
 """N-gram Jaccard join: a grouped prefix join over word shingles.
 
-A document is the set of its distinct shingles, as 64-bit hashes.  Two documents link
-when 100 * intersection >= threshold * union.
+A document is the set of its distinct shingles, known by 48 bits of a hash and the number
+of its hash range, of which there are more the larger the corpus; beyond 65,536 ranges that
+is the whole hash of 64 bits.  Two documents link when 100 * intersection >= threshold * union.
 
 1. *Frequencies.*  A task cuts its rows into blocks and sends each hash range one blob
-   per block; hashes that several documents of the block share are sent once, with
-   their count.  A range counts its hashes and answers with those that occur in more
+   per block, of seven bytes a hash, however many ranges there are; hashes that several
+   documents of the block share are sent once, with their count.  A range counts its hashes and answers with those that occur in more
    than one document.  Nothing else of a document matters: a shingle that occurs
    nowhere else links nobody, and a document that shares less than the least possible
    intersection is alone.
@@ -78,11 +79,36 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _high(bucket: int, buckets: int) -> int:
+    """The upper 16 bits of the names of a bucket's hashes, from its number."""
+    return bucket >> max(0, (buckets - 1).bit_length() - 16)
+
+
 def _name(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """A hash as its bucket knows it: 48 bits and the bucket."""
+    """A hash as its bucket knows it: 48 bits and the bucket's number.
+
+    Beyond 65,536 buckets, a power of two then, the number holds the other 16 bits of the hash.
+    """
+    if buckets > 1 << 16:
+        return hashes
     return (hashes & _LOW) | (_bucket(hashes, buckets) << np.uint64(48))
 
 
+def _steps(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, a byte each; 255 says that more follows."""
+    steps = np.diff(ascending, prepend=0)
+    over = steps // 255
+    out = np.full(int(over.sum()) + len(steps), 255, dtype=np.uint8)
+    out[np.cumsum(over + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def _stepped(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8)
+    reach = np.cumsum(steps, dtype=np.int64)
+    return reach[steps < 255]
+
+
 def _packed(hashes: np.ndarray) -> tuple[bytes, bytes]:
     return (hashes & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((hashes >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
@@ -141,25 +167,20 @@ def _send(words: int, buckets: int, chars: int, batches: Iterator[pa.RecordBatch
         ]
         rows = [(-1 - block, block, -1, *record)]
         flat, of = flat[single], of[single]
-        edges = np.arange(buckets + 1, dtype=np.uint64)
-        at = np.searchsorted(_bucket(flat, buckets), edges)
-        at_common = np.searchsorted(_bucket(common, buckets), edges)
-        for b in range(buckets):
-            mine, theirs = slice(at[b], at[b + 1]), slice(at_common[b], at_common[b + 1])
-            if mine.start == mine.stop and theirs.start == theirs.stop:
-                continue
+        ranges, ranges_common = _bucket(flat, buckets), _bucket(common, buckets)
+        for b in np.union1d(ranges, ranges_common):
+            mine = slice(*np.searchsorted(ranges, [b, b + np.uint64(1)]))
+            theirs = slice(*np.searchsorted(ranges_common, [b, b + np.uint64(1)]))
             whose = np.argsort(of[mine], kind="stable")
-            counts = np.bincount(of[mine], minlength=len(own)).astype("<u4").tobytes()
             shared = _packed(common[theirs])
-            rows.append(
-                (b, block, b, *_packed(flat[mine][whose]), counts, *shared, common_times[theirs].astype("<u4").tobytes(), None, None)
-            )
+            times_of = common_times[theirs].astype("<u4").tobytes()
+            rows.append((int(b), block, int(b), *_packed(flat[mine][whose]), _steps(of[mine][whose]), *shared, times_of, None, None))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*rows))], names=_NAMES
         )
 
 
-def _answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _answer(buckets: int, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Of one hash range, for every block: what occurs in other documents too."""
     if key[0] < 0:
         return frame
@@ -173,12 +194,12 @@ def _answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     seen = np.empty(len(flat), dtype=np.int64)
     seen[order] = total[np.cumsum(new) - 1]
     seen = np.minimum(seen, 0xFFFFFFFF)
-    high, out, at, at_common = np.uint64(int(key[0]) & 0xFFFF) << np.uint64(48), [], 0, sum(map(len, tokens))
+    high = np.uint64(_high(int(key[0]), buckets) if buckets > 1 << 16 else int(key[0])) << np.uint64(48)
+    out, at, at_common = [], 0, sum(map(len, tokens))
     for i in range(len(frame)):
         own = seen[at : at + len(tokens[i])]
         often = own > 1
-        counts = np.frombuffer(frame["b2"].iloc[i], "<u4")
-        whose = np.repeat(np.arange(len(counts)), counts)[often]
+        whose = _stepped(frame["b2"].iloc[i])[often]
         out.append(
             (
                 (tokens[i][often] | high).astype("<u8").tobytes(),
@@ -315,8 +336,10 @@ def _set_classes(rows: DataFrame, words: int, threshold: int, bucket_bytes: int,
     """Classes of equal sets in each block, with the shingles that occur in other documents too."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size) // bucket_bytes))
+    if buckets > 1 << 16:
+        buckets = 1 << (buckets - 1).bit_length()
     sent = rows.mapInArrow(functools.partial(_send, words, buckets, block_chars), SENT)
-    answered = sent.groupBy("key").applyInPandas(_answer, SENT)
+    answered = sent.groupBy("key").applyInPandas(functools.partial(_answer, buckets), SENT)
     return staged(answered.groupBy("block").applyInPandas(functools.partial(_classes, threshold), CLASSES), "classes")
 
 
@@ -411,13 +434,19 @@ def join(
     )
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """One row of each component stays, that of the smallest id; rows without id stay."""
-    found = join(docs, key=key, **options).filter(F.col("doc_id") == F.col("component_id"))
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of each component the document of the smallest id stays; rows without id stay.
+
+    Of rows of that id with equal texts one stays, that of the smallest hash over all its
+    columns; rows of that id with other texts are not dropped for it, since an id that
+    stays does so with all its texts.
+    """
+    found = join(docs, key=key, text=text, **options).filter(F.col("doc_id") == F.col("component_id"))
     kept = staged(found.select(F.col("doc_id").alias(key)).distinct(), "kept")
     del found
     release(docs.sparkSession)  # before the texts are shuffled
     named = docs.filter(F.col(key).isNotNull())
-    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns).unionByName(
-        docs.filter(F.col(key).isNull())
-    )
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    first = F.min_by(F.struct(*docs.columns), order)
+    own = named.join(kept, key, "left_semi").groupBy(F.col(key).alias("_k"), F.xxhash64(text).alias("_t")).agg(first.alias("_row"))
+    return own.select("_row.*").unionByName(docs.filter(F.col(key).isNull()))
