@@ -172,6 +172,10 @@ def _features(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         )
 
 
+#: Parts of a label's rows that are looked through side by side.
+_SHARES = 64
+
+
 def fit(
     docs: DataFrame,
     train: Column,
@@ -187,7 +191,9 @@ def fit(
 ) -> LanguageModel:
     """Model of the rows where ``train`` holds and the label is not null.
 
-    ``sample_per_class`` bounds the rows whose features reach the driver.
+    ``sample_per_class`` bounds the rows of a label whose features reach the driver; rows of
+    equal id and label count once there.  The labels are the classes of the model, which has
+    a weight for each of them and each of ``2 ** bits`` features: a fixed, small set.
     """
     rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     named = rows.select(
@@ -198,14 +204,19 @@ def fit(
     for r in counted.groupBy("feature").agg(F.sum("df").alias("df")).collect():  # 2 ** bits + 1 rows at most
         df[r.feature] = r.df
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1.0
-    # The bounded sample is chosen on (label, hash) alone, then joined to its texts.
-    turn = Window.partitionBy("lang").orderBy("turn")
+    # The bounded sample is chosen on (label, hash) alone, then joined to its texts.  A label
+    # may hold most rows, so its first ones are found among its shares, then among those.
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("turn"), F.lit(_SHARES))).orderBy("turn")
+    whole = Window.partitionBy("lang").orderBy("turn")
     chosen = (
         named.select("lang", "turn")
-        .withColumn("nth", F.row_number().over(turn))
+        .distinct()
+        .withColumn("nth", F.row_number().over(share))
+        .filter(F.col("nth") <= sample_per_class)
+        .withColumn("nth", F.row_number().over(whole))
         .filter(F.col("nth") <= sample_per_class)
         .groupBy("lang")
-        .agg(F.max("turn").alias("last"), F.count("*").alias("n"))
+        .agg(F.max("turn").alias("last"))
     )
     bars = {r.lang: r.last for r in chosen.collect()}  # one row a language
     classes = sorted(bars)
@@ -216,7 +227,8 @@ def fit(
     )
     sample = (
         named.filter(below)
-        .select("lang", "turn", "text")
+        .groupBy("lang", "turn")  # copies of a row count once, before they are sent
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .mapInArrow(functools.partial(_features, bits), "lang string, turn long, at binary, counts binary")
         .collect()
     )
