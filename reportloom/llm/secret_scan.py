@@ -209,7 +209,9 @@ def of_kind(spans: Column, *kinds: str) -> Column:
 
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """``docs`` with every span of the text, overlapping ones as one, replaced by ``mark``."""
-    scanned = scan(docs, text=text, allowed=allowed)
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in map("secret_spans_{}".format, range(len(taken) + 1)) if n not in taken)
+    scanned = docs.withColumn(name, secret_spans(whole_text(text), allowed))
     body = F.col(text)
 
     def step(state: Column, s: Column) -> Column:
@@ -222,9 +224,9 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", allow
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
-        F.col("spans"),
+        F.col(name),
         start,
         step,
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))),
     )
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(body)).select(docs.columns)
+    return scanned.withColumn(text, F.when(F.size(name) > 0, clean).otherwise(body)).select(docs.columns)
