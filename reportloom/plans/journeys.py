@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intervals as V
 from ..operators import longitudinal as L
 from ..operators.windows import newest_per
 from .metrics import BURSTS
@@ -234,3 +235,51 @@ def _(t):
     ids = t.supplier.select(F.concat(F.lit("E"), (F.col("s_suppkey") * 7).cast("string")).alias("id"))
     found = L.patient_history(exams(t), ids, "requested_dt", ["epic_mrn", "mpi"])
     return found.select("epic_mrn", "accession_number", "requested_dt")
+
+
+@query(
+    "J16_exams_in_window",
+    f"""WITH {EXAMS} SELECT a.accession_number AS accession, b.accession_number AS index_accession FROM exams a
+       JOIN exams b ON a.patient_id = b.patient_id AND b.report_status = 'P'
+         AND a.requested_dt BETWEEN b.requested_dt - INTERVAL 180 DAY AND b.requested_dt""",
+)
+def _(t):
+    e = exams(t).select("patient_id", F.col("accession_number").alias("accession"), "requested_dt", "report_status")
+    index = e.filter("report_status = 'P'").select(
+        "patient_id", F.col("accession").alias("index_accession"), F.col("requested_dt").alias("index_dt")
+    )
+    found = V.within(e, index, "patient_id", "requested_dt", "index_dt", 180 * 86_400)
+    return found.select("accession", "index_accession")
+
+
+@query(
+    "J6_nearest_before",
+    f"""WITH {EXAMS}, e AS (SELECT patient_id, o_orderkey, requested_dt, report_status FROM exams),
+       m AS (SELECT patient_id, requested_dt, max(o_orderkey) AS prior FROM e
+         WHERE report_status <> 'P' GROUP BY ALL)
+       SELECT i.o_orderkey AS index_key, m.prior, m.requested_dt AS prior_dt FROM (SELECT * FROM e WHERE report_status = 'P') i
+       ASOF LEFT JOIN m ON i.patient_id = m.patient_id AND i.requested_dt > m.requested_dt""",
+)
+def _(t):
+    e = exams(t)
+    index = e.filter("report_status = 'P'").select("patient_id", F.col("o_orderkey").alias("index_key"), F.col("requested_dt").alias("index_dt"))
+    prior = e.filter("report_status <> 'P'").select(
+        "patient_id", "requested_dt", F.col("o_orderkey").alias("prior"), F.col("requested_dt").alias("prior_dt")
+    )
+    found = V.nearest_before(prior, index, "patient_id", "requested_dt", "index_dt", ["prior", "prior_dt"], ["prior"])
+    return found.select("index_key", "prior", "prior_dt")
+
+
+@query(
+    "J6_overlapping_stays",
+    """WITH s AS (SELECT o_custkey AS p, o_orderkey AS k, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 60 AS INTEGER)) AS e
+         FROM orders)
+       SELECT x.p, x.k AS first_stay, y.k AS second_stay FROM s x JOIN s y ON x.p = y.p AND x.k < y.k AND x.a <= y.e AND y.a <= x.e""",
+)
+def _(t):
+    days = F.make_dt_interval(days=(F.col("o_orderkey") % 60).cast("int"))
+    stays = t.orders.select(
+        F.col("o_custkey").alias("p"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + days).alias("e")
+    )
+    found = V.overlaps(stays, stays, "p", "a", "e").filter("k < k_b")
+    return found.select("p", F.col("k").alias("first_stay"), F.col("k_b").alias("second_stay"))
