@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -392,6 +392,54 @@ def patient_view(
     )
 
 
+def validity(changes: DataFrame, order: str = "_commit_version", at: str | None = None) -> DataFrame:
+    """When each report belonged to which patient, from the change rows of the mapping.
+
+    ``valid_from`` is the commit, or the column ``at`` of it, that made a state of the
+    report; ``valid_to`` that of the next other one, NULL for a state that stands.  Commits that
+    repeat a state lengthen it, deleted reports have a gap.  A report has an image a
+    commit at most, so its window is small.
+    """
+    state = F.struct("patient_id", "mpi", "epic_mrn", "consistent")
+    images = changes.filter(F.col("_change_type") != "update_preimage").select(
+        REPORT,
+        F.col(order).alias("_order"),
+        F.col(at or order).alias("valid_from"),
+        F.when(F.col("_change_type") != "delete", state).alias("_state"),
+    )
+    by_commit = Window.partitionBy(REPORT).orderBy("_order")
+    moved = (
+        images.withColumn("_same", F.col("_state").eqNullSafe(F.lag("_state").over(by_commit)))
+        .withColumn("_first", F.row_number().over(by_commit) == 1)
+        .filter(F.col("_first") | ~F.col("_same"))
+    )
+    spans = moved.withColumn("valid_to", F.lead("valid_from").over(by_commit)).filter(F.col("_state").isNotNull())
+    return spans.select("_state.*", REPORT, "valid_from", "valid_to").select(*MAPPING_COLUMNS, "valid_from", "valid_to")
+
+
+def mapping_as_of(spans: DataFrame, at) -> DataFrame:
+    """The mapping as it stood at a commit or a time."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    held = (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+    return spans.filter(held).select(*MAPPING_COLUMNS)
+
+
+def patient_view_as_of(df: DataFrame, spans: DataFrame, at, report: str = REPORT) -> DataFrame:
+    """The patient view of reports as it was at a commit or a time."""
+    return patient_view(df, mapping_as_of(spans, at), report)
+
+
+def patient_at(df: DataFrame, spans: DataFrame, ts: str, report: str = REPORT) -> DataFrame:
+    """Rows with the ``patient_id`` and flag ``consistent`` their report had at the row's own time.
+
+    Rows of reports that were not mapped then have NULL there.
+    """
+    known = spans.select(F.col(REPORT).alias("_report"), "patient_id", "consistent", "valid_from", "valid_to")
+    then = (F.col(ts) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(ts) < F.col("valid_to")))
+    joined = df.join(known, (F.col(report) == F.col("_report")) & then, "left")
+    return joined.select(*df.columns, "patient_id", "consistent")
+
+
 def report_views(curated: DataFrame, latest: DataFrame, mapping: DataFrame, name: str = "reports") -> dict[str, DataFrame]:
     """The tables and patient views that reports may be read from, by name."""
     tables = {f"{name}_curated": curated, f"{name}_latest": latest}

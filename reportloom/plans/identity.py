@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..operators import identity as I
 from ..operators.curate import curate
 from ..operators.windows import newest_per
+from ..session import scratch_path
+from ..streaming.tables import MergeTable
 from .maintenance import BASE, base_reports
 from .registry import query
 from .shapes import EXAMS, exams
@@ -247,6 +249,46 @@ def _(t):
     return view.drop("primary_report_identifier")
 
 
+def mapping_log(t):
+    """The change rows of a mapping that took in the early reports and then the late ones."""
+    table = MergeTable(t.spark, scratch_path(t.spark, "mapping"), "primary_report_identifier")
+    first = I.build_mapping(early(t))
+    table.upsert(0, first)
+    table.upsert(1, I.update_mapping(first, late(t))[0])
+    return table.changes()
+
+
+@query(
+    "E11_view_as_of",
+    f"""WITH {EXAMS}, {LINKS}, r AS (SELECT patient_id, max(epic) AS resolved_epic_mrn, max(mpi) AS resolved_mpi
+         FROM map1 WHERE consistent GROUP BY 1)
+       SELECT e.accession_number, m.patient_id, resolved_epic_mrn, resolved_mpi FROM exams e
+       JOIN map1 m ON m.report = 'o' || e.o_orderkey JOIN r ON r.patient_id = m.patient_id WHERE m.consistent""",
+)
+def _(t):
+    named = exams(t).select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("primary_report_identifier"), "accession_number"
+    )
+    view = I.patient_view_as_of(named, I.validity(mapping_log(t)), 0)
+    return view.drop("primary_report_identifier")
+
+
+@query(
+    "E9_validity",
+    f"""WITH {LINKS}, renamed AS (SELECT w.report, m.patient_id AS was, m.consistent AS was_ok, w.consistent,
+         coalesce(min(m.patient_id) OVER (PARTITION BY w.c), sha256(w.first_report)) AS patient_id
+         FROM whole w LEFT JOIN map1 m ON m.report = w.report),
+       old AS (SELECT report, was AS patient_id, was_ok AS consistent, 0 AS valid_from,
+         CASE WHEN was <> patient_id OR was_ok <> consistent THEN 1 END AS valid_to FROM renamed WHERE was IS NOT NULL)
+       SELECT report AS primary_report_identifier, patient_id, consistent, CAST(valid_from AS INTEGER) AS valid_from,
+         CAST(valid_to AS INTEGER) AS valid_to FROM old
+       UNION ALL SELECT report, patient_id, consistent, 1, NULL FROM renamed
+         WHERE was IS NULL OR was <> patient_id OR was_ok <> consistent""",
+)
+def _(t):
+    return I.validity(mapping_log(t)).select("primary_report_identifier", "patient_id", "consistent", "valid_from", "valid_to")
+
+
 @query(
     "J18_expand_patients",
     """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import policy, status
 from ..operators.windows import newest_per
 from ..session import scratch_path
-from ..streaming import archive
+from ..streaming import archive, watch
 from ..streaming.cascade import fan_out, stream_changes
 from .registry import query
 from .shapes import EXAMS, SOURCE, exams, hl7_messages
@@ -137,6 +137,72 @@ def _(t):
     )
 
 
+def run_twice(t, spark, fill, make):
+    """Rows of a stream that ends, finds later files, and goes on from its checkpoint until all is reported.
+
+    ``fill(late)`` writes the files, first those of the table, then one that lies far ahead.
+    """
+    out, checkpoint = scratch_path(t.spark, "watched"), scratch_path(t.spark, "watch-checkpoint")
+    for late in (False, True):
+        fill(late)
+        stream = make(spark)
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+@query(
+    "K11_unbatched",
+    """SELECT event_id AS key, ts AS received_at FROM events WHERE event_type = 'error' OR user_id % 5 = 0""",
+)
+def _(t):
+    inbox, stored = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "entries")
+    delay = F.when(F.col("user_id") % 5 == 0, 31).otherwise(F.col("user_id") % 31)
+    sent = t.events.select(F.col("event_id").alias("key"), F.col("ts").cast("timestamp").alias("received_at"))
+    noted = t.events.filter("event_type <> 'error'").select(
+        F.col("event_id").alias("key"),
+        (F.col("ts") + F.make_dt_interval(mins=delay.cast("int"))).cast("timestamp").alias("archived_at"),
+    )
+    ahead = t.events.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).cast("timestamp").alias("at"))
+
+    def fill(late):
+        if late:
+            ahead.select(F.lit(-1).cast("long").alias("key"), F.col("at").alias("received_at")).write.mode("append").parquet(inbox)
+            ahead.select(F.lit(-1).cast("long").alias("key"), F.col("at").alias("archived_at")).write.mode("append").parquet(stored)
+        else:
+            sent.write.parquet(inbox)
+            noted.write.parquet(stored)
+
+    def make(spark):
+        messages = spark.readStream.schema("key long, received_at timestamp").parquet(inbox)
+        entries = spark.readStream.schema("key long, archived_at timestamp").parquet(stored)
+        return watch.unbatched(messages, entries)
+
+    return run_twice(t, t.spark, fill, make).select("key", F.col("received_at").cast("timestamp_ntz").alias("received_at"))
+
+
+@query(
+    "K6_stalled_files",
+    f"""SELECT 'f/' || user_id AS file_path, status, ts AS at FROM (
+         SELECT user_id, ts, {STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events)
+       WHERE rn = 1 AND status = 'staged'""",
+)
+def _(t):
+    inbox = scratch_path(t.spark, "status")
+    log = event_log(t).select("file_path", "status", F.col("processed_at").cast("timestamp").alias("processed_at"))
+    ahead = log.agg((F.max("processed_at") + F.expr("INTERVAL 9 DAYS")).alias("processed_at"))
+
+    def fill(late):
+        done = ahead.select(F.lit("ahead").alias("file_path"), F.lit("success").alias("status"), "processed_at")
+        (done if late else log).write.mode("append").parquet(inbox)
+
+    def make(spark):
+        return watch.stalled(spark.readStream.schema("file_path string, status string, processed_at timestamp").parquet(inbox))
+
+    found = run_twice(t, watch.with_timers(t.spark), fill, make)
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("K4_keyed_stream", f"WITH {SOURCE} SELECT k AS key, count(*) AS n FROM src GROUP BY 1")
 def _(t):
     stream = archive.keyed(message_folder(t)).filter("key IS NOT NULL").select("key")
