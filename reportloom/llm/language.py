@@ -173,7 +173,7 @@ def _features(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 #: Parts of a label's rows that are looked through side by side.
-_SHARES = 64
+_SHARES = 8
 
 
 def fit(
