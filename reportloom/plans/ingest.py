@@ -6,12 +6,13 @@ import io
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from ..functions import hl7
 from ..operators import curate
 from ..session import cut, scratch_path
-from ..sources import lists, logs, messages, sinks
+from ..sources import archives, lists, logs, messages, sinks
 from .registry import query
 from .shapes import DOCS, EXAMS, SOURCE, doc_reports, exams, hl7_messages
 
@@ -174,6 +175,37 @@ def _(t):
     )
 
 
+@query(
+    "A8_members_by_offset",
+    f"""WITH {SOURCE} SELECT k AS message_control_id, n_name AS facility, true AS listed FROM src WHERE o_orderstatus <> 'P'""",
+)
+def _(t):
+    folder = scratch_path(t.spark, "zips")
+
+    def pack(batches):
+        # Written by the tasks into the folder they share.
+        store, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(place, recursive=True)
+        for batch in batches:
+            name = batch["source_file"].iloc[0].replace("/", "_") + ".zip"
+            with store.open_output_stream(f"{place}/{name}") as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                for member, content in zip(batch["source_file"], batch["content"]):
+                    z.writestr(member, content)
+            yield pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+    paths = cut(hl7_messages(t).mapInPandas(pack, "path string"))
+    members = archives.list_members(paths)
+    orders = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("k"))
+    chosen = members.join(orders, F.regexp_extract("member", r"(\d+)\.hl7$", 1) == F.col("k"), "left_semi")
+    found = archives.read_members(chosen, task_bytes=1_000_000)
+    parsed = messages.parse_messages(found.withColumn("content", F.decode("content", "utf-8")), "content", keep=["error"])
+    return parsed.select(
+        hl7.component(hl7.header(), 10).alias("message_control_id"),
+        hl7.component(hl7.header(), 4).alias("facility"),
+        F.col("error").isNull().alias("listed"),
+    )
+
+
 @query(
     "A9_code_map",
     "SELECT p_type AS modality, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hl7
+from .archives import zipped_files
 
 
 def parse_messages(df: DataFrame, content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
@@ -37,7 +38,7 @@ def read_hl7(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def unzip_messages(
     archives: DataFrame, path: str = "path", content: str = "content", encoding: str = "utf-8"
 ) -> DataFrame:
-    """Members of zip archives as ``source_file, content``, unpacked in the tasks.
+    """Members of small zip archives given as values, as ``source_file, content``, unpacked in the tasks.
 
     ``source_file`` is ``<archive path>/<member name>``.
     """
@@ -81,17 +82,9 @@ def zipped_messages(archives: DataFrame, wanted: DataFrame | None = None) -> Dat
 def read_zipped_messages(
     spark: SparkSession, archives: str | Sequence[str], wanted: DataFrame | None = None
 ) -> DataFrame:
-    """Parsed messages of zip archives, optionally only the ``wanted`` paths.
+    """Parsed messages of zip archives of any size, optionally only the ``wanted`` paths.
 
-    Only archives with a wanted member are opened: their paths, one for each archive,
-    are all that reaches the driver, as paths of a source must.  An archive is one
-    value, so it has to stay below 2 GB.
+    Members are read by their offsets, see :mod:`reportloom.sources.archives`, which also
+    tells those it had to set aside.
     """
-    source = spark.read.format("binaryFile")
-    if wanted is not None:
-        archive = F.regexp_extract(F.col(wanted.columns[0]), r"(?i)^(.*?\.zip)/", 1).alias("path")
-        listed = source.load(archives).select("path").join(wanted.select(archive).distinct(), "path", "left_semi")
-        archives = [r["path"] for r in listed.collect()]
-        if not archives:
-            return zipped_messages(spark.createDataFrame([], "path string, content binary"))
-    return zipped_messages(source.load(archives).select("path", "content"), wanted)
+    return parse_messages(zipped_files(spark, archives, wanted)[0], "content", keep=["source_file"])
