@@ -2,16 +2,18 @@
 
 Every source is cut into blocks of documents by a hash of the document's id.  A
 source's target gives it whole passes over all its blocks and a rest, which is drawn
-from a seeded permutation of its blocks; the last block drawn is taken document by
-document.  The exact number of block draws of each source is then split among the
+from a seeded permutation of its blocks; the last block drawn is cut into blocks again,
+by another hash, until it holds no more than ``block_words``, and is then taken document
+by document.  The exact number of block draws of each source is then split among the
 output shards: a node of the tree hands half of its shards a multivariate
 hypergeometric sample of its draws, until every leaf is one shard.  Leaves take
 disjoint stretches of a source's permuted draws, and a shard is shuffled locally by a
 seeded key.
 
-That last block is one in ``max_blocks`` of its source, or under ``block_words`` words.
-The driver sees one row per source and block, at most ``max_blocks`` a source, never
-a document.  Everything is a function of the seed and the rows, so reruns agree.
+The driver sees one row per source and block, at most ``max_blocks`` a source and cut,
+never a document; the number of cuts grows with the logarithm of the source, and a task
+walks documents of ``block_words`` words or a few more.  Everything is a function of the
+seed and the rows, so reruns agree.
 
 Defined results: a null text has size 0; sizes of 0 are never drawn; a null source is
 a source of its own and comes last; null ids hash like any other value; repeated rows
@@ -131,6 +133,47 @@ def _first_fit(block: pd.DataFrame) -> pd.DataFrame:
     return block
 
 
+def _cut_again(
+    tail: DataFrame, held: dict[str, int], block_words: int, max_blocks: int, seed: int
+) -> tuple[DataFrame, dict[str, int]]:
+    """The last blocks cut into blocks: those that fit whole are drawn, one is the last block now.
+
+    ``held`` has the words of the last blocks to cut; returned are those of the new ones that
+    are smaller.  One that is not holds a single id, which no cut divides.
+    """
+    spark = tail.sparkSession
+    cuts = spark.createDataFrame(
+        [(n, min(max_blocks, -(-w // block_words))) for n, w in held.items()], "skey string, parts int"
+    )
+    part = F.when(F.col("tail_words") > 0, F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("parts")).cast("int"))
+    parted = tail.join(cuts, "skey", "left").withColumn("part", part).drop("parts")
+    words = F.sum(F.col("size") * F.col("copies_of")).alias("w")
+    found = parted.filter("part IS NOT NULL").groupBy("skey", "part").agg(words, F.max("tail_words").alias("left")).collect()
+    rng, fate, last = np.random.default_rng(seed), [], {}
+    for n in sorted(held):
+        own = sorted((r.part, int(r.w), float(r.left)) for r in found if r.skey == n)
+        left, ended = own[0][2], False
+        for i in rng.permutation(len(own)):
+            number, size, _ = own[i]
+            whole = not ended and size <= left
+            fate.append((n, number, whole, None if whole or ended else left))
+            if whole:
+                left -= size
+            elif not ended:
+                ended = True
+                if size < held[n]:
+                    last[n] = size
+    drawn = spark.createDataFrame(fate, "skey string, part int, whole boolean, rest double")
+    before = F.coalesce("shards", F.array().cast("array<int>"))
+    out = parted.join(drawn, ["skey", "part"], "left").withColumns(
+        {
+            "shards": F.when(F.col("whole"), F.concat(before, F.array("tail_shard"))).otherwise(F.col("shards")),
+            "tail_words": F.when(F.col("part").isNull(), F.col("tail_words")).otherwise(F.col("rest")),
+        }
+    )
+    return cut(out.select(tail.columns)), last
+
+
 def draws(
     docs: DataFrame,
     *,
@@ -189,39 +232,51 @@ def draws(
         "shards",
         F.when(F.col("size") > 0, F.col("shards")).otherwise(F.array().cast("array<int>")),
     )
-    # Only the block at which a source's target ends is walked document by document.
-    ending = (F.col("tail_words") > 0) & (F.col("size") > 0)
-    tail = (
-        dealt.filter(ending)
+    # Only the block at which a source's target ends is looked into.
+    ending = F.coalesce((F.col("tail_words") > 0) & (F.col("size") > 0), F.lit(False))
+    tail = cut(dealt.filter(ending))
+    held = {r.skey: int(r.w) for r in tail.groupBy("skey").agg(words.alias("w")).collect()}
+    level = 0
+    while held := {n: w for n, w in held.items() if w > block_words}:
+        level += 1
+        tail, held = _cut_again(tail, held, block_words, max_blocks, seed + 16 * level)
+    walked = (
+        tail.filter(ending)
         .withColumn("tie", F.xxhash64(F.lit(seed + 1), "id"))
         .groupBy("skey", "block")
         .applyInPandas(_first_fit, dealt.withColumn("tie", F.lit(0).cast("long")).schema)
     )
-    rest = dealt.filter(~F.coalesce(ending, F.lit(False)))
+    rest = dealt.filter(~ending).unionByName(tail.filter(~ending))
     kept = ["id", "source", "size", "copies_of", "source_size", "target", "shards"]
-    return rest.select(kept).unionByName(tail.select(kept)).withColumn(
+    return rest.select(kept).unionByName(walked.select(kept)).withColumn(
         "shards", F.coalesce("shards", F.array().cast("array<int>"))
     )
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", seed: int = 17, **options) -> DataFrame:
-    """``docs`` repeated and dropped as drawn, with ``mix_shard`` and ``mix_order``.
+    """``docs`` repeated and dropped as drawn, with ``mix_copy``, ``mix_shard`` and ``mix_order``.
 
-    Write it with ``repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")``
-    to have every shard shuffled locally.
+    Columns of these three names are replaced.  Write it with
+    ``repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")`` to have every
+    shard shuffled locally.
     """
+    own = "mixed"  # the start of no column's name
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     drawn = draws(docs, key=key, source=source, seed=seed, **options).select(
-        F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("shards").alias("mix_shards")
+        F.col("id").alias(f"{own}id"), F.col("source").alias(f"{own}source"), F.col("size").alias(f"{own}size"), F.col("shards").alias(f"{own}shards")
     )
     size = options.get("size")
-    sized = docs.withColumn("mix_words", F.coalesce(n_words() if size is None else size, F.lit(0)).cast("long"))
+    sized = docs.withColumn(f"{own}words", F.coalesce(n_words() if size is None else size, F.lit(0)).cast("long"))
     same = (
-        F.col("mix_id").eqNullSafe(F.col(key))
-        & F.col("mix_source").eqNullSafe(F.col(source).cast("string"))
-        & (F.col("mix_size") == F.col("mix_words"))
+        F.col(f"{own}id").eqNullSafe(F.col(key))
+        & F.col(f"{own}source").eqNullSafe(F.col(source).cast("string"))
+        & (F.col(f"{own}size") == F.col(f"{own}words"))
     )
+    order = F.xxhash64(F.lit(seed + 2), key, f"{own}copy")
+    kept = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_shard", "mix_order")]
     return (
-        sized.join(drawn.filter(F.size("mix_shards") > 0), same)
-        .select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-        .withColumn("mix_order", F.xxhash64(F.lit(seed + 2), key, "mix_copy"))
+        sized.join(drawn.filter(F.size(f"{own}shards") > 0), same)
+        .select(*docs.columns, F.posexplode(f"{own}shards").alias(f"{own}copy", f"{own}shard"))
+        .select(*kept, F.col(f"{own}copy").alias("mix_copy"), F.col(f"{own}shard").alias("mix_shard"), order.alias("mix_order"))
     )
