@@ -182,3 +182,59 @@ def test_word_scores_of_the_score_query(spark, docs):
         want = sum(np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))) for c in seen)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own) + 1, sum(c > 0 for c in seen), total)
         assert abs(r.base_score - want) < 1e-6 * max(1, abs(want))
+
+
+def test_the_last_block_of_a_source_is_cut_until_it_is_small(spark, monkeypatch):
+    from reportloom.llm import mixing
+
+    walked = []
+    real = mixing._cut_again
+
+    def seen(tail, held, *rest):
+        out = real(tail, held, *rest)
+        walked.append((held, out[1]))
+        return out
+
+    monkeypatch.setattr(mixing, "_cut_again", seen)
+    rows = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"),
+        F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 20 + 1).cast("int")), " ").alias("text"),
+    )
+    found = mixing.draws(rows, block_words=60, max_blocks=4, shards=4).collect()
+    assert len(walked) >= 3 and all(w <= 60 for w in walked[-1][1].values())
+    for source in ("a", "b", None):
+        own = [r for r in found if r.source == source]
+        assert len(own) == 2000
+        taken = sum(r.size * len(r.shards) for r in own)
+        assert abs(taken - own[0].target) <= 20  # a document, however large the blocks
+    again = mixing.draws(rows.repartition(5), block_words=60, max_blocks=4, shards=4).collect()
+    assert sorted((r.id, r.shards) for r in again) == sorted((r.id, r.shards) for r in found)
+    # One id that holds all of a block cannot be cut.
+    same = spark.range(500).select(F.lit(1).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("a").alias("source"))
+    assert mixing.draws(same.unionByName(rows.limit(5)), block_words=10, max_blocks=4, shards=2).count() > 0
+
+
+def test_mixing_leaves_the_users_columns(spark):
+    from reportloom.llm import mixing
+
+    docs = documents(spark).withColumnsRenamed({"size": "mix_words", "spans": "mixedid", "row": "mix_shard"})
+    mixed = mixing.mix(docs, block_words=300, shards=4)
+    assert mixed.columns == [c for c in docs.columns if c != "mix_shard"] + ["mix_copy", "mix_shard", "mix_order"]
+    assert {(r.mix_words, r.mixedid) for r in mixed.collect()} <= {("s", 1), (None, None)}
+
+
+def test_draws_are_split_as_they_would_fall(spark):
+    from reportloom.llm.mixing import split_tree
+
+    quotas, shards, rng = np.array([12, 5, 3], dtype=np.int64), 4, np.random.default_rng(2)
+    found = np.array([split_tree(quotas, shards, rng) for _ in range(4000)])
+    assert (found.sum(axis=1) == quotas).all() and (found.sum(axis=2) == 5).all()
+    # Each shard's draws of a source are hypergeometric: their mean and variance, and how sources compete.
+    total, take = quotas.sum(), 5
+    for i, have in enumerate(quotas):
+        mean = take * have / total
+        var = mean * (1 - have / total) * (total - take) / (total - 1)
+        assert np.allclose(found[:, :, i].mean(axis=0), mean, atol=0.08) and np.allclose(found[:, :, i].var(axis=0), var, atol=0.12)
+    cov = -take * 12 * 5 / total**2 * (total - take) / (total - 1)
+    assert abs(np.cov(found[:, 0, 0], found[:, 0, 1])[0, 1] - cov) < 0.1
