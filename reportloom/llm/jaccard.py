@@ -350,8 +350,8 @@ def join(
     text: str = "text",
     words: int = 5,
     threshold: int = 75,
-    bucket_bytes: int = 12_000_000,
-    block_chars: int = 6_000_000,
+    bucket_bytes: int = 6_000_000,
+    block_chars: int = 4_000_000,
     task_shingles: int = 2_000_000,
     task_classes: int = 4096,
 ) -> DataFrame:
