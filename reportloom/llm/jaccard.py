@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .stage import release, staged, whole_text
+from .stage import give_back, giving_back, release, staged, whole_text
 from .vocab import text_groups
 
 SENT = "key long, block long, bucket long, " + ", ".join(f"b{i} binary" for i in range(8))
@@ -117,6 +117,7 @@ def _unpacked(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)
 
 
+@giving_back
 def _send(words: int, buckets: int, chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs for the hash ranges, and a record of each block that finds its way to the block."""
     task, number = TaskContext.get().partitionId(), 0
@@ -182,6 +183,7 @@ def _send(words: int, buckets: int, chars: int, batches: Iterator[pa.RecordBatch
 
 def _answer(buckets: int, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Of one hash range, for every block: what occurs in other documents too."""
+    give_back()
     if key[0] < 0:
         return frame
     tokens = [_unpacked(a, b) for a, b in zip(frame["b0"], frame["b1"])]
@@ -220,6 +222,7 @@ def _answer(buckets: int, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 def _classes(threshold: int, frame: pd.DataFrame) -> pd.DataFrame:
     """Of one block: its classes, with the shared shingles of those that may link, rarest first."""
+    give_back()
     frame = frame.sort_values("bucket")
     record, answers = frame.iloc[0], frame.iloc[1:]
     digests, sizes = record["b0"], np.frombuffer(record["b1"], "<i8")
@@ -251,6 +254,7 @@ def _classes(threshold: int, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["digest", "n_shingles", "doc_ids", "shared"], dtype=object)
 
 
+@giving_back
 def _prefixes(threshold: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The shared shingles in the prefix: those that occur nowhere else come first in it."""
     for frame in frames:
@@ -259,6 +263,7 @@ def _prefixes(threshold: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         yield frame.assign(prefix=prefix)
 
 
+@giving_back
 def _postings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         tokens = [np.frombuffer(p, "<i8") for p in frame["prefix"]]
@@ -279,6 +284,7 @@ def _root(parent: np.ndarray, i: int) -> int:
 
 def _verify(threshold: int, frame: pd.DataFrame) -> pd.DataFrame:
     """Links among the classes of a task: only across its two sides where it has two."""
+    give_back()
     frame = frame.sort_values(["n_shingles", "class_id"], kind="stable").reset_index(drop=True)
     ids, n = frame["class_id"].to_numpy(), frame["n_shingles"].to_numpy()
     copies, side = frame["copies"].to_numpy(), frame["side"].to_numpy()

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import giving_back
 from .vocab import text_groups
 
 UNKNOWN = "und"
@@ -146,6 +147,7 @@ class LanguageModel:
         return self.classes[best], float(p[best])
 
 
+@giving_back
 def _frequencies(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of one partition, its number of documents last."""
     total = np.zeros((1 << bits) + 1, dtype=np.int64)
@@ -158,6 +160,7 @@ def _frequencies(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["feature", "df"])
 
 
+@giving_back
 def _features(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in text_groups(batches):
         found = [ngram_counts(t, bits) for t in texts]
@@ -253,6 +256,7 @@ def fit(
     return LanguageModel(classes, bits, idf, weights, heat)
 
 
+@giving_back
 def _predict(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = model.value
     for part, texts in text_groups(batches):
@@ -272,6 +276,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text:
     return rows.mapInArrow(functools.partial(_predict, shared), f"`{key}` {kind}, lang_pred string, score double")
 
 
+@giving_back
 def _keep(model, column: str, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = model.value
     for part, texts in text_groups(batches, column):
