@@ -44,6 +44,9 @@ SCORE_PATTERNS = {
     ),
 }
 
+# What every score pattern of a kind holds, in lower case.
+SCORE_STEMS = {"LIRADS": ("rads", "lr"), "BIRADS": ("rads",), "PIRADS": ("rads",)}
+
 # Scores from the highest risk to the lowest.
 SCORE_PRIORITY = {
     "LIRADS": ("LR-M", "LR-5", "LR-TIV", "LR-4", "LR-TR", "LR-3", "LR-2", "LR-1", "LR-NC"),
@@ -125,12 +128,14 @@ def positive_mention(
         )
 
     def one(pattern: str) -> Column:
-        return F.aggregate(
+        # Most texts have no hit, which a test tells before anything is taken apart.
+        found = F.aggregate(
             _gaps_and_hits(lowered, pattern),
             F.struct(F.lit("").alias("tail"), F.lit(False).alias("found")),
             step,
             lambda state: state["found"],
         )
+        return F.when(lowered.rlike(FLAGS + pattern), found).otherwise(False)
 
     usable = checked(patterns)
     if not usable:
@@ -173,7 +178,7 @@ def match_spans(
         )
 
     def one(pattern: str) -> Column:
-        return F.aggregate(
+        found = F.aggregate(
             _gaps_and_hits(lowered, pattern),
             F.struct(
                 F.lit("").alias("tail"),
@@ -183,6 +188,8 @@ def match_spans(
             step,
             lambda state: state["spans"],
         )
+        searched = lowered.isNull() | lowered.rlike(FLAGS + pattern)
+        return F.when(searched, found).otherwise(F.array().cast(span_type))
 
     usable = checked(patterns)
     if not usable:
@@ -237,9 +244,11 @@ def extract_scores(c: Column, kind: str) -> Column:
             for p in SCORE_PATTERNS[kind]
         ]
     )
-    return F.coalesce(
-        F.array_distinct(F.transform(found, normalise)), F.array().cast("array<string>")
-    )
+    # Every pattern holds one of these; a text without them is not searched.  The long s is an s in either case.
+    plain = F.replace(F.lower(c), F.lit("ſ"), F.lit("s"))
+    possible = any_of([F.contains(plain, F.lit(stem)) for stem in SCORE_STEMS[kind]])
+    none = F.array().cast("array<string>")
+    return F.when(possible, F.array_distinct(F.transform(found, normalise))).otherwise(none)
 
 
 def primary_score(scores: Column, kind: str) -> Column:

@@ -104,7 +104,7 @@ def nearest_before(
     """Every event of ``index`` with ``columns`` of the newest row of its key before it.
 
     ``strict`` leaves out rows of the same time.  Among rows of one time the largest
-    ``tiebreak`` wins.  Where no row is found, or it is more than ``most`` seconds
+    ``tiebreak`` wins.  ``runs`` is the number of runs, by the number of rows if not given.  Where no row is found, or it is more than ``most`` seconds
     older, the columns are NULL.  ``columns`` may be names that ``index`` lacks.
     """
     ties = [f"_tie{i}" for i in range(len(tiebreak))]

@@ -70,6 +70,15 @@ def duplicate_rank(
     )
 
 
+#: Rows of a run, where the number of runs is not given.
+RUN_ROWS = 1_000_000
+
+
+def runs_for(df: DataFrame, rows: int = RUN_ROWS) -> int:
+    """Number of runs of about so many rows; counts the rows."""
+    return max(1, -(-df.count() // rows))
+
+
 def in_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int | None = None) -> DataFrame:
     """Add ``_run``: the range of key and order a row falls in, all of about equal size.
 
@@ -77,7 +86,9 @@ def in_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int
     dates make a large one, as long as the order is total.  The rows are written
     once, since two evaluations might draw different ranges.
     """
-    runs = runs or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs or runs_for(df)
+    if runs == 1:
+        return df.withColumn("_run", F.lit(0).cast("bigint"))
     ranged = df.repartitionByRange(runs, *keys, *order)
     return cut(ranged.withColumn("_run", F.spark_partition_id().cast("bigint")))
 
@@ -96,14 +107,25 @@ def with_neighbours(
 
     ``lags`` and ``leads`` map a new column to ``(source column, offset)``.
     ``order`` columns are ascending and should be total.  Equal to the window
-    functions of the same names.  ``runs`` is the number of runs, that of shuffle
-    partitions if not given.  A cut falls into at most one key, so at most
+    functions of the same names.  ``runs`` is the number of runs; if it is not given it
+    follows the number of rows, and where one run holds them all nothing is cut or written
+    and the window functions are taken as they are.  A cut falls into at most one key, so at most
     ``runs - 1`` keys have rows in several runs; only those need edges, two rows of
     them for each run at most, which bounds the broadcast sides.
     """
     keys, order = _list(keys), list(order)
     lags, leads = lags or {}, leads or {}
-    runs = in_runs(df, keys, order, runs)
+    number_of_runs = runs or runs_for(df)
+    if number_of_runs == 1:
+        whole = Window.partitionBy(*keys)
+        by = whole.orderBy(*order)
+        plain = {n: F.lag(c, k).over(by) for n, (c, k) in lags.items()} | {n: F.lead(c, k).over(by) for n, (c, k) in leads.items()}
+        if number:
+            plain[number] = F.row_number().over(by).cast("bigint")
+        if size:
+            plain[size] = F.count(F.lit(1)).over(whole)
+        return df.withColumns(plain).select(*df.columns, *plain)
+    runs = in_runs(df, keys, order, number_of_runs)
     in_run = Window.partitionBy(*keys, "_run").orderBy(*order)
     rows = runs.withColumns(
         {

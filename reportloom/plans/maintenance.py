@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import changes as C
-from ..operators import curate, status
+from ..operators import curate, layout, status
 from ..operators import maintained as M
 from ..session import cut, scratch_path
 from ..sources.messages import parse_messages
@@ -456,6 +458,29 @@ def _(t):
     return C.compact(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
 
 
+@query(
+    "C15_clustered",
+    """SELECT 'date' AS wanted, count(*) AS n, true AS skips FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-01'
+       UNION ALL SELECT 'facility', count(*), true FROM orders WHERE o_orderpriority BETWEEN '2-HIGH' AND '2-HIGH'
+       UNION ALL SELECT 'accession', count(*), true FROM orders WHERE o_orderkey BETWEEN 100 AND 200""",
+)
+def _(t):
+    path = scratch_path(t.spark, "clustered")
+    layout.write_clustered(t.orders, path, ["o_orderdate", "o_orderpriority", "o_orderkey"], ["o_orderkey"], partitions=24)
+    laid = t.spark.read.parquet(path)
+    wanted = {
+        "date": ("o_orderdate", dt.datetime(1996, 1, 1), dt.datetime(1996, 3, 1)),
+        "facility": ("o_orderpriority", "2-HIGH", "2-HIGH"),
+        "accession": ("o_orderkey", 100, 200),
+    }
+    parts = []
+    for name, (c, low, high) in wanted.items():
+        groups = layout.groups_read(t.spark, path, {c: (low, high)}).select((F.col("n_read") < F.col("n_groups")).alias("skips"))
+        rows = laid.filter(F.col(c).between(F.lit(low), F.lit(high))).agg(F.count("*").alias("n"))
+        parts.append(rows.select(F.lit(name).alias("wanted"), "n", groups.scalar().alias("skips")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "C16_working_copy",
     f"""WITH {EXAMS} SELECT primary_report_identifier, accession_number, modality, CAST(NULL AS BOOLEAN)
