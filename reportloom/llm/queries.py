@@ -78,17 +78,22 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def held_out(key: str, folds: int):
-    """Rows whose CRC of the id as text falls into the first of so many folds."""
+    """Rows whose CRC of the id as text falls into the first of so many folds; NULL without id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0
 
 
+def _held_out(folds: int):
+    """As the queries report it: a row without id is neither held out nor learned from."""
+    return F.coalesce(held_out("doc_id", folds), F.lit(False)).alias("held_out")
+
+
 @_query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from four folds of five."""
     docs = _table(spark, folder, "documents")
     model = language.fit(docs, ~held_out("doc_id", 5))
     return language.predict(docs, model).select(
-        "doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score"
+        "doc_id", _held_out(5), "lang_pred", "score"
     )
 
 
@@ -124,7 +129,7 @@ def op9_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held_out("doc_id", 10))
     return scored.select(
-        "doc_id", held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", _held_out(10), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
 

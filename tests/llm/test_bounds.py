@@ -238,3 +238,34 @@ def test_draws_are_split_as_they_would_fall(spark):
         assert np.allclose(found[:, :, i].mean(axis=0), mean, atol=0.08) and np.allclose(found[:, :, i].var(axis=0), var, atol=0.12)
     cov = -take * 12 * 5 / total**2 * (total - take) / (total - 1)
     assert abs(np.cov(found[:, 0, 0], found[:, 0, 1])[0, 1] - cov) < 0.1
+
+
+def walked_chunks(raw):
+    """Chunk ends found byte by byte."""
+    from reportloom.llm import chunks
+
+    out, start = [], 0
+    for end in range(1, len(raw) + 1):
+        h = 0
+        for b in raw[max(0, end - 32) : end]:  # what came earlier has left the 32 bits
+            h = ((h << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
+        size, last = end - start, end == len(raw)
+        bar = 0 if size < chunks.LEAST else chunks._STRICT if size < chunks.NORMAL else chunks._LOOSE
+        if h < bar or size == chunks.MOST or last:
+            out.append(end)
+            start = end
+    return out
+
+
+def test_chunks_are_those_of_a_walk_over_the_bytes():
+    from reportloom.llm import chunks
+
+    rng = np.random.default_rng(6)
+    given = [b"", b"a", b"abcdefgh", bytes(300), bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), "é日本 ".encode() * 200]
+    given += [(t or "").encode() for t in texts(5)[:40]]
+    for raw in given:
+        assert chunks.boundaries(raw) == walked_chunks(raw)
+        found = {raw[a:b] for a, b in zip([0, *walked_chunks(raw)], walked_chunks(raw))}
+        own = chunks.fingerprint(raw.decode("latin-1")) if raw.isascii() else None
+        if own is not None:
+            assert sorted(int(x) & 0xFFFF for x in own) == sorted(map(len, found))
