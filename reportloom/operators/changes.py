@@ -106,6 +106,13 @@ def upsert(
     return joined.select(*[merged(c) for c in columns])
 
 
+def _with_preimages(changed: DataFrame) -> DataFrame:
+    """Every update twice, as the image before it and the one after."""
+    both = F.array(F.lit(PREIMAGE), F.lit("update_postimage"))
+    kinds = F.when(F.col("_change_type") == "update_postimage", both).otherwise(F.array("_change_type"))
+    return changed.withColumn("_change_type", F.explode(kinds))
+
+
 def change_rows(
     old: DataFrame,
     new: DataFrame,
@@ -136,9 +143,7 @@ def change_rows(
     )
     changed = joined.withColumn("_change_type", kind).filter(F.col("_change_type").isNotNull())
     if preimages:
-        both = F.array(F.lit(PREIMAGE), F.lit("update_postimage"))
-        kinds = F.when(F.col("_change_type") == "update_postimage", both).otherwise(F.array("_change_type"))
-        changed = changed.withColumn("_change_type", F.explode(kinds))
+        changed = _with_preimages(changed)
     return (
         changed.select(
             *[
@@ -158,10 +163,12 @@ def upsert_changes(
     key: str | Sequence[str],
     update_when: str | None = None,
     exclude: Sequence[str] = ("updated",),
+    preimages: bool = False,
 ) -> DataFrame:
     """The change rows that :func:`upsert` makes, by one join from the source's side.
 
     Columns that the source lacks keep their values; ``exclude`` columns alone are no change.
+    ``preimages`` as for :func:`change_rows`.
     """
     keys = _keys(key)
     if target is None:
@@ -187,9 +194,12 @@ def upsert_changes(
         changed = changed & F.coalesce(F.expr(update_when), F.lit(False))
     kind = F.when(F.col("t._in_t").isNull(), "insert").when(changed, "update_postimage")
     columns = [*target.columns, *[c for c in source.columns if c not in target.columns]]
-    return joined.withColumn("_change_type", kind).filter(F.col("_change_type").isNotNull()).select(
-        *[new(c).alias(c) for c in columns], "_change_type"
-    )
+    rows = joined.withColumn("_change_type", kind).filter(F.col("_change_type").isNotNull())
+    if preimages:
+        rows = _with_preimages(rows)
+        before = F.col("_change_type") == PREIMAGE
+        return rows.select(*[F.when(before, old(c)).otherwise(new(c)).alias(c) for c in columns], "_change_type")
+    return rows.select(*[new(c).alias(c) for c in columns], "_change_type")
 
 
 def merge_reports(

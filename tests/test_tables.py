@@ -204,6 +204,23 @@ def test_aggregates_follow_the_log(spark, tmp_path):
     assert M.deltas(changes.filter("false"), "g", ["v"]).count() == 0
 
 
+def test_a_table_feeds_its_aggregate(spark, tmp_path):
+    make = lambda data: spark.createDataFrame(data, "id long, g string, v int")
+    table = MergeTable(spark, str(tmp_path / "t"), "id", preimages=True)
+    held = M.MaintainedAggregate(spark, str(tmp_path / "sums"), ["g"], ["v"])
+    batches = [[(1, "a", 1), (2, "a", 2), (3, "b", 3)], [(1, "b", 5), (4, "b", None)], [(2, "a", 2)]]
+    for version, rows in enumerate(batches):
+        if table.upsert(version, make(rows)):
+            held.apply(version, table.changes().filter(F.col("_commit_version") == version))
+    touched = spark.createDataFrame([("a",)], "g string")
+    assert table.replace(3, make([(9, "a", 7), (2, "a", 4)]), touched, "g")
+    held.apply(3, table.changes().filter("_commit_version = 3"))
+    assert rows_of(table.read()) == [(1, "b", 5), (2, "a", 4), (3, "b", 3), (4, "b", None), (9, "a", 7)]
+    assert sorted(map(tuple, held.read().collect())) == [("a", 2, 11, 5.5), ("b", 3, 8, 4.0)]
+    images = table.changes().filter("_commit_version = 1").select("id", "g", "_change_type")
+    assert rows_of(images) == [(1, "a", "update_preimage"), (1, "b", "update_postimage"), (4, "b", "insert")]
+
+
 def test_equal_dates_are_cut_into_even_runs(spark):
     rows = spark.range(100_000).select(F.lit("k").alias("k"), F.lit(5).alias("at"), "id")
     sizes = [r["count"] for r in windows.in_runs(rows, ["k"], ["at", "id"], 16).groupBy("_run").count().collect()]
