@@ -125,9 +125,9 @@ FROM d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k O
 
 @_query
 def op9_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Log10 probabilities of every document, the word counts learned from nine folds of ten."""
+    """Log10 probabilities of every document, learned from nine folds of ten."""
     docs = _table(spark, folder, "documents")
-    scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held_out("doc_id", 10))
+    scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held_out("doc_id", 10), rounds=3)
     return scored.select(
         "doc_id", _held_out(10), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

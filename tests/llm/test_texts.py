@@ -215,6 +215,33 @@ def test_scores_of_odd_rows(spark):
     assert lattice.score(empty(spark), PIECES, train).count() == 0
 
 
+def test_a_learned_lattice_fits_texts_it_has_not_seen(spark):
+    stems = ["inter", "anti", "over", "pre", "trans", "sub", "auto", "micro"]
+    tails = ["formation", "graphic", "national", "stellar", "active", "marine", "mission", "scope"]
+    made = [(i, " ".join(stems[(i + k) % 8] + tails[i * (k + 1) % 7] + " the" * 3 for k in range(9))) for i in range(200)]
+    made += [(203, None), (204, "\x00\u65e5 " + "q" * 900), (None, "autoscope")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 10 != 0
+    plain, learned = (
+        {r.doc_id: r for r in lattice.score(docs, PIECES, train, rounds=n, bucket_bytes=3000, block_chars=3000).collect()}
+        for n in (0, 3)
+    )
+    assert len(learned) == len(made) and all(math.isfinite(r.score) for r in learned.values())
+    held = [r for i, r in learned.items() if i is not None and i < 200 and not r.learned]
+    assert sum(r.score for r in held) > 1.15 * sum(r.base_score for r in held)
+    assert all(r.score > 0.5 * plain[r.doc_id].score for r in held)
+    nothing = lattice.score(docs, PIECES, F.lit(False), rounds=2).collect()
+    assert all(math.isfinite(r.score) for r in nothing) and len(nothing) == len(made)
+    assert lattice.score(empty(spark), PIECES, train, rounds=2).count() == 0
+
+
+def test_expected_pieces_add_up_to_the_words():
+    model = lattice.Lattice(PIECES)
+    counts = model.expected(["the", "thontiwh", "hello,"], model.scores)
+    sizes = np.array([len(p) for p in model.pieces])
+    assert float(counts @ sizes) == pytest.approx(len("_the_thontiwh_hello,"), abs=1e-6)
+
+
 def test_lattice_adds_up_all_segmentations():
     import sentencepiece
 
