@@ -4,15 +4,19 @@ A log holds many messages between ``<SB>`` and ``<EB>`` lines.  One day's log ma
 be far larger than an executor, so it is never read as one value.  Lines come
 from the splittable text source; where a frame opens and closes is a state
 machine over the lines of a file, and the transitions compose.  Each input block
-is therefore scanned on its own, the few block summaries are chained per file,
-and the result is joined back.
+is therefore folded to frames in the task that scans it, for both states it may be
+entered with; the few block summaries are chained per file, and the result is joined
+back to the frames.  Lines are never shuffled or sorted, only frames.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,36 +124,106 @@ def read_log_lines(
     )
 
 
-def _enter_blocks(tagged: DataFrame) -> DataFrame:
-    """``log_path, block, entry, opened_before``: the state each block is entered with.
+class _Fold:
+    """Frames of one block as its lines pass, for entering it outside (0) and inside (1) a frame."""
+
+    def __init__(self):
+        self.inside, self.opened, self.start = [0, 1], [0, 0], [0, 0]
+
+    def ranges(self, lo: int, hi: int, tags: Sequence[tuple[int, int]]) -> list[tuple[int, int, int | None, int | None]]:
+        """Ranges of kept lines among ``lo`` to ``hi`` with their frame's number for either entry."""
+        out: list[list] = []
+
+        def put(v: int, end: int) -> None:
+            number = self.opened[v] - 1
+            if v == 1 and out and out[-1][0] == self.start[1] and out[-1][1] == end and out[-1][3] is None:
+                out[-1][3] = number  # the same lines either way
+            else:
+                out.append([self.start[v], end, *((number, None) if v == 0 else (None, number))])
+
+        self.start = [lo, lo]
+        for at, tag in tags:
+            for v in (0, 1):
+                before = self.inside[v]
+                after = 1 - before if tag == 3 else int(tag == 1)
+                if after > before:
+                    self.opened[v] += 1
+                    self.start[v] = at + 1
+                elif after < before:
+                    put(v, at + 1)
+                self.inside[v] = after
+        for v in (0, 1):
+            if self.inside[v]:
+                put(v, hi)
+        return [tuple(r) for r in out]
+
+
+_PIECES = "log_path string, block long, pos long, from_out long, from_in long, lines array<string>"
+_STATE = "struct<inside:int,opened:bigint>"
+_BLOCKS = f"log_path string, block long, from_out {_STATE}, from_in {_STATE}"
+
+
+def _fold_lines(summary: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of frames, or with ``summary`` the states in which the blocks end.
 
-    A block lies in one scan task, so its tag lines are gathered before the
-    shuffle and only one small row per block moves.  The tags are folded for both
-    possible states at the start of the block; the blocks of a file are then
-    chained, which settles the state and the number of frames opened so far.
+    The lines of a block come in order and in one task; a frame is cut where a batch ends.
     """
-    tags = F.array_sort(
-        F.collect_list(
-            F.when(
-                F.col("swap") | F.col("set_to").isNotNull(), F.struct("pos", "swap", "set_to")
-            )
+    state = pa.struct([("inside", pa.int32()), ("opened", pa.int64())])
+
+    def ended(key: tuple, fold: _Fold) -> pa.RecordBatch:
+        states = [pa.array([{"inside": i, "opened": n}], state) for i, n in zip(fold.inside, fold.opened)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), *states],
+            names=["log_path", "block", "from_out", "from_in"],
         )
-    )
 
-    def run(start: int) -> Column:
-        def step(state: Column, tag: Column) -> Column:
-            after = F.when(tag["swap"], 1 - state["inside"]).otherwise(tag["set_to"])
-            opens = ((state["inside"] == 0) & (after == 1)).cast("bigint")
-            return F.struct(after.alias("inside"), (state["opened"] + opens).alias("opened"))
+    key, fold = None, _Fold()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        paths, blocks = batch.column(0), batch.column(1).to_numpy()
+        tags = batch.column(3).to_numpy()
+        codes = paths.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(blocks) != 0)) + 1
+        edges, found = [0, *cuts.tolist(), batch.num_rows], []
+        marked = np.flatnonzero(tags)
+        for lo, hi in zip(edges, edges[1:]):
+            own = (paths[lo].as_py(), int(blocks[lo]))
+            if own != key:
+                if summary and key is not None:
+                    yield ended(key, fold)
+                key, fold = own, _Fold()
+            mine = marked[np.searchsorted(marked, lo) : np.searchsorted(marked, hi)]
+            ranges = fold.ranges(lo, hi, list(zip(mine.tolist(), tags[mine].tolist())))
+            found += [(lo, min(start, hi - 1), start, end, a, b) for start, end, a, b in ranges]
+        if summary or not found:
+            continue
+        run, at, start, end, outside, within = zip(*found)
+        start, sizes = np.array(start), np.array(end) - np.array(start)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        taken = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], sizes)
+        yield pa.RecordBatch.from_arrays(
+            [
+                paths.take(pa.array(run)),
+                batch.column(1).take(pa.array(run)),
+                batch.column(2).take(pa.array(at)),
+                pa.array(outside, pa.int64()),
+                pa.array(within, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), batch.column(4).take(pa.array(taken, pa.int64()))),
+            ],
+            names=["log_path", "block", "pos", "from_out", "from_in", "lines"],
+        )
+    if summary and key is not None:
+        yield ended(key, fold)
 
-        first = F.struct(F.lit(start).alias("inside"), F.lit(0).cast("bigint").alias("opened"))
-        return F.aggregate("tags", first, step)
 
-    blocks = (
-        tagged.groupBy("log_path", "block")
-        .agg(tags.alias("tags"))
-        .select("log_path", "block", run(0).alias("from_out"), run(1).alias("from_in"))
-    )
+def _enter_blocks(blocks: DataFrame) -> DataFrame:
+    """``log_path, block, entry, opened_before``: the state each block is entered with.
+
+    ``blocks`` has for both possible states at the start of a block the one at its end;
+    the blocks of a file are chained, which settles the state and the number of frames
+    opened so far.
+    """
     entry_type = "array<struct<block:bigint,entry:int,opened_before:bigint>>"
 
     def chain(state: Column, block: Column) -> Column:
@@ -178,57 +252,49 @@ def _enter_blocks(tagged: DataFrame) -> DataFrame:
     )
 
 
+def _frames(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Messages of lines whose blocks each lie in one task, in order, optionally only of ``found`` logs."""
+    starts, ends = F.contains("line", F.lit("<SB>")), F.contains("line", F.lit("<EB>"))
+    kept = F.replace(F.regexp_replace("line", "<R>$", ""), F.lit("<EB>"), F.lit(""))
+    tagged = lines.select(
+        "log_path", "block", "pos", F.coalesce(starts.cast("int") + 2 * ends.cast("int"), F.lit(0)).alias("tag"), kept.alias("line")
+    )
+    entered = _enter_blocks(
+        tagged.withColumn("line", F.lit("")).mapInArrow(functools.partial(_fold_lines, True), _BLOCKS)
+    )
+    if found is not None:
+        listed = found.select(same_path("log_path").alias("_path")).distinct()
+        entered = entered.join(listed, same_path("log_path") == F.col("_path"), "left_semi")
+    pieces = tagged.mapInArrow(functools.partial(_fold_lines, False), _PIECES)
+    number = F.when(F.col("entry") == 1, F.col("from_in")).otherwise(F.col("from_out"))
+    return (
+        pieces.join(entered, ["log_path", "block"])
+        .withColumn("message_number", F.col("opened_before") + number)
+        .filter("message_number IS NOT NULL")
+        .groupBy("log_path", "message_number")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "pos", "lines"))).alias("pieces"))
+        .select("log_path", "message_number", F.flatten(F.col("pieces.lines")).alias("lines"))
+    )
+
+
 def split_frames(lines: DataFrame) -> DataFrame:
-    """Messages as ``log_path, message_number, lines`` from ordered log lines.
+    """Messages as ``log_path, message_number, lines`` from log lines in any order.
 
     A line holding ``<SB>`` opens a frame and is dropped; lines are then kept up
     to and including one holding ``<EB>``, whose tag is removed.  A frame that
     never closes ends with its file.  Anything outside frames is noise.
 
     A line leaves the open/closed state alone, sets it, or swaps it (both tags on
-    one line).  Inside a block the state after a line is the last value set,
-    turned once per swap since; the state a block starts with is known from
-    ``_enter_blocks``.
+    one line).  The lines of a block are brought together and ordered first, which
+    those just read from files already are: see ``read_message_logs``.
     """
-    starts, ends = F.contains("line", F.lit("<SB>")), F.contains("line", F.lit("<EB>"))
-    tagged = lines.select(
-        "log_path",
-        "block",
-        "pos",
-        "line",
-        (starts & ends).alias("swap"),
-        F.when(starts & ~ends, F.lit(1)).when(ends & ~starts, F.lit(0)).alias("set_to"),
-    )
-    entered = _enter_blocks(tagged.drop("line"))
-
-    block = Window.partitionBy("log_path", "block").orderBy("pos")
-    so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swaps = F.sum(F.col("swap").cast("int")).over(so_far)
-    states = (
-        tagged.join(entered, ["log_path", "block"])
-        .withColumn("swaps", swaps)
-        .withColumn(
-            "base", F.last((F.col("set_to") + F.col("swaps")) % 2, ignorenulls=True).over(so_far)
-        )
-        .withColumn("after", (F.coalesce("base", "entry") + F.col("swaps")) % 2)
-        .withColumn("before", F.coalesce(F.lag("after").over(block), F.col("entry")))
-        .withColumn("opens", ((F.col("before") == 0) & (F.col("after") == 1)).cast("int"))
-        .withColumn("opened", F.col("opened_before") + F.sum("opens").over(so_far))
-    )
-    kept = F.replace(F.regexp_replace("line", "<R>$", ""), F.lit("<EB>"), F.lit(""))
-    inside = states.filter((F.col("before") == 1) | (F.col("opens") == 1)).select(
-        "log_path",
-        (F.col("opened") - 1).alias("message_number"),
-        F.when(F.col("opens") == 0, F.struct("block", "pos", kept.alias("line"))).alias("entry"),
-    )
-    return inside.groupBy("log_path", "message_number").agg(
-        F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["line"]).alias("lines")
-    )
+    rows = lines.filter("log_path IS NOT NULL AND block IS NOT NULL")
+    return _frames(rows.repartition("log_path", "block").sortWithinPartitions("log_path", "block", "pos"))
 
 
 def read_message_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Messages of framed logs as ``log_path, message_number, lines, log_date``."""
-    return split_frames(read_log_lines(spark, paths)).withColumn("log_date", log_date("log_path"))
+    return _frames(read_log_lines(spark, paths)).withColumn("log_date", log_date("log_path"))
 
 
 def same_path(path: Column | str) -> Column:
@@ -244,11 +310,8 @@ def read_discovered_logs(
 
     Logs found for a date should be read with it, so that no other day is opened.
     """
-    listed = found.select(same_path("log_path").alias("_path")).distinct()
-    lines = read_log_lines(spark, root, date).join(
-        listed, same_path("log_path") == F.col("_path"), "left_semi"
-    )
-    return split_frames(lines).withColumn("log_date", log_date("log_path"))
+    lines = read_log_lines(spark, root, date)
+    return _frames(lines, found).withColumn("log_date", log_date("log_path"))
 
 
 def validate_messages(
