@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
 import gc
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import give_back, giving_back, scratch_path  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,28 +41,3 @@ def whole_text(column: str = "text") -> Column:
 def n_words(column: str = "text") -> Column:
     """Words of a text, as long; a null text has none."""
     return F.regexp_count(whole_text(column), F.lit(WORD)).cast("long")
-
-
-def give_back() -> None:
-    """Return to the system what freed arrays held.
-
-    A Python worker lives on after its task, and its allocators keep what they once got,
-    which would count against the executor while other stages run.
-    """
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim is not None:
-        trim(0)
-
-
-def giving_back(fn: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A function over the batches of a task that gives memory back at its end."""
-
-    @functools.wraps(fn)
-    def run(*args):
-        try:
-            yield from fn(*args)
-        finally:
-            give_back()
-
-    return run

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +59,28 @@ def local_session(app: str = "reportloom", cores: str | int = "*", **conf: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def give_back() -> None:
+    """Return to the system what freed arrays held.
+
+    A Python worker lives on after its task, and its allocators keep what they once got,
+    which would count against the executor while other stages run.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(fn: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over the batches of a task that gives memory back at its end."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        try:
+            yield from fn(*args)
+        finally:
+            give_back()
+
+    return run

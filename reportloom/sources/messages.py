@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hl7
+from ..session import giving_back
 from .archives import zipped_files
 
 
@@ -43,25 +43,26 @@ def unzip_messages(
     ``source_file`` is ``<archive path>/<member name>``.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @giving_back
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, data in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as members:
+            # Archives are read where the batch holds them, members some at a time.
+            for archive, data in zip(batch.column(0), batch.column(1)):
+                with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as members:
                     names = [n for n in members.namelist() if not n.endswith("/")]
                     for at in range(0, len(names), 1000):
                         part = names[at : at + 1000]
-                        yield pd.DataFrame(
-                            {
-                                "source_file": [f"{archive}/{n}" for n in part],
-                                "content": [
-                                    members.read(n).decode(encoding, "replace") for n in part
-                                ],
-                            }
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([f"{archive.as_py()}/{n}" for n in part], pa.string()),
+                                pa.array([members.read(n).decode(encoding, "replace") for n in part], pa.string()),
+                            ],
+                            names=["source_file", "content"],
                         )
 
-    return archives.select(
-        F.col(path).alias("path"), F.col(content).alias("content")
-    ).mapInPandas(unpack, "source_file string, content string")
+    return archives.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(
+        unpack, "source_file string, content string"
+    )
 
 
 def zipped_messages(archives: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
