@@ -268,7 +268,8 @@ def _frames(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     pieces = tagged.mapInArrow(functools.partial(_fold_lines, False), _PIECES)
     number = F.when(F.col("entry") == 1, F.col("from_in")).otherwise(F.col("from_out"))
     return (
-        pieces.join(entered, ["log_path", "block"])
+        # Frames pass by the few rows of their blocks, so that they need not be sorted.
+        pieces.join(entered.hint("shuffle_hash"), ["log_path", "block"])
         .withColumn("message_number", F.col("opened_before") + number)
         .filter("message_number IS NOT NULL")
         .groupBy("log_path", "message_number")

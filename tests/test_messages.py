@@ -108,3 +108,26 @@ def test_log_files(spark, tmp_path):
     assert sorted(r["error_message"] for r in errors.collect()) == [logs.EMPTY_MESSAGE, logs.NO_MESSAGES]
     with pytest.raises(FileNotFoundError):
         logs.discover_logs(spark, str(tmp_path), "2031-01-01")
+
+
+def test_frames_across_blocks_and_batches(spark, tmp_path):
+    rng = random.Random(5)
+    pieces = ["MSH|1<R>", "text", "", "<SB>", "<EB>", "x<EB>y<R>", "<SB><EB>", "a<SB>b", "<R>"]
+    expected = {}
+    for f in range(3):
+        lines = [rng.choice(pieces) for _ in range(400)] + ["end"]
+        (tmp_path / f"f{f}.log").write_text("\n".join(lines))
+        expected |= {(f"f{f}.log", i): m for i, m in enumerate(split_by_hand(lines))}
+    small = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    held = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        split = logs.read_message_logs(spark, str(tmp_path))
+        # Lines are folded where they are read; a window would sort and spill every one of them.
+        assert "Window" not in split._jdf.queryExecution().executedPlan().toString()
+        got = {(r["log_path"].split("/")[-1], r["message_number"]): list(r["lines"]) for r in split.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == expected
