@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from reportloom.operators import changes as C
 from reportloom.operators import maintained as M
-from reportloom.operators import windows
+from reportloom.operators import identity, windows
 from reportloom.plans.maintenance import base_reports
 from reportloom.plans.registry import Tables
+from reportloom.streaming import cascade
 from reportloom.streaming.cascade import ReportTables
 from reportloom.streaming.tables import MergeTable
 
@@ -225,3 +226,27 @@ def test_equal_dates_are_cut_into_even_runs(spark):
     rows = spark.range(100_000).select(F.lit("k").alias("k"), F.lit(5).alias("at"), "id")
     sizes = [r["count"] for r in windows.in_runs(rows, ["k"], ["at", "id"], 16).groupBy("_run").count().collect()]
     assert len(sizes) > 8 and max(sizes) <= 2 * 100_000 / 16
+
+
+def test_first_commits_are_not_held(spark, tmp_path, monkeypatch):
+    made = []
+    persist = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: made.append(df.columns) or persist(df, *a))
+    table = MergeTable(spark, str(tmp_path / "t"), "id")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    assert table.replace(0, rows, rows.select("id"), "id") and not made
+    assert table.upsert(1, rows.withColumn("v", F.col("v") + 1)) and len(made) == 1
+    assert rows_of(table.read()) == [("a", 2), ("b", 3)]
+    # A single table reads the batch itself, several have it held.
+    cascade.fan_out([lambda b, v: b.count()])(rows, 0)
+    assert len(made) == 1
+    cascade.fan_out([lambda b, v: b.count()] * 2)(rows, 0)
+    assert len(made) == 2
+
+
+def test_an_empty_mapping_is_empty_in_the_plan(spark):
+    empty = identity.empty_mapping(spark)
+    assert empty.columns == list(identity.MAPPING_COLUMNS) and empty.schema["consistent"].dataType.simpleString() == "boolean"
+    reports = spark.createDataFrame([("r", "m")], "primary_report_identifier string, mpi string")
+    plan = identity.unmapped(reports, empty)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
