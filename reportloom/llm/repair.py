@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import giving_back, keep_freed
 from .vocab import encoder, text_slices
 
 FILE = (
@@ -40,59 +41,74 @@ FILE = (
 READ = "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _alive(symbols: np.ndarray, after: np.ndarray, at: np.ndarray, least: int):
-    """Places whose pair occurs ``least`` times without overlap, the rank of each, and the pairs by rank.
+# Rank of a place whose pair is not to be replaced.
+_NEVER = np.int32(np.iinfo(np.int32).max)
 
-    ``at`` holds every place that may count, ascending.  In a run of one symbol every
-    second place counts; the others get a rank above all pairs.
+
+def _seconds(follow: np.ndarray, at: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Every second one of the places, numbered ``equal`` in ``at``, of each run of one symbol."""
+    goes_on = np.zeros(len(equal), dtype=bool)
+    goes_on[1:] = (np.diff(equal) == 1) & (follow[equal[:-1]] == at[equal[1:]])
+    nth = np.arange(len(equal))
+    nth -= np.maximum.accumulate(np.where(goes_on, 0, nth))
+    return equal[nth % 2 == 1]
+
+
+def _frequent(symbols: np.ndarray, after: np.ndarray | None, at: np.ndarray, least: int, rank_at: np.ndarray, sieve: bool):
+    """Places that may have a pair that occurs ``least`` times without overlap, and these pairs by rank.
+
+    ``at`` holds every place that may count, ascending; ``rank_at``, by place + 1, takes
+    the ranks.  In a run of one symbol every second place counts; the numbers of the
+    others are returned as well.  ``sieve`` first counts buckets of pairs: where fewer
+    than ``least`` places fall into one, all its pairs are rare.
     """
-    left, right = symbols[at], symbols[after[at]]
+    follow = at + 1 if after is None else after[at]
+    left, right = symbols[at], symbols[follow]
+    if sieve:
+        bucket = left * np.uint32(0x9E3779B1)
+        bucket += right
+        bucket *= np.uint32(0x85EBCA6B)
+        bucket >>= np.uint32(32 - max(len(at).bit_length() - 1, 1))
+        maybe = np.flatnonzero((np.bincount(bucket) >= least)[bucket])
+        at, follow, left, right = at[maybe], follow[maybe], left[maybe], right[maybe]
+    if not len(at):
+        return None
+    none = int(max(left.max(), right.max())) + 1  # a symbol above all; its pairs sort last
     equal = np.flatnonzero(left == right)
-    pair = left.astype(np.uint64)
-    pair <<= np.uint64(32)
-    pair |= right
-    other, own, where = equal[:0], pair, None
-    if len(equal):  # places of a run follow each other
-        goes_on = np.zeros(len(equal), dtype=bool)
-        goes_on[1:] = (np.diff(equal) == 1) & (after[at[equal[:-1]]] == at[equal[1:]])
-        nth = np.arange(len(equal))
-        nth -= np.maximum.accumulate(np.where(goes_on, 0, nth))
-        other = equal[nth % 2 == 1]
-    if len(other):
-        counted = np.ones(len(at), dtype=bool)
-        counted[other] = False
-        where = np.flatnonzero(counted)
-        own = pair[where]
+    other = _seconds(follow, at, equal) if len(equal) else equal  # places of a run follow each other
+    left[other] = right[other] = none
     # The pair's symbols and its place in one number, where they fit: sorted without an index.
-    wide, far = int(max(left.max(), right.max())).bit_length(), len(own).bit_length()
-    if 2 * wide + far <= 64:
-        code = own >> np.uint64(32)
-        code <<= np.uint64(wide)
-        code |= own & np.uint64((1 << wide) - 1)
+    wide, far = none.bit_length(), len(rank_at).bit_length()
+    fits = 2 * wide + far <= 64
+    wide = wide if fits else 32
+    code = left.astype(np.uint64)
+    code <<= np.uint64(wide)
+    code |= right
+    if fits:
         code <<= np.uint64(far)
-        code |= np.arange(len(own), dtype=np.uint64)
+        code |= at.view(np.uint64)
         code.sort()
         by = (code & np.uint64((1 << far) - 1)).view(np.int64)
         code >>= np.uint64(far)
     else:
-        by = np.argsort(own, kind="stable")
-        code = own[by]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    times = np.diff(np.append(first, len(code)))
-    often = np.flatnonzero(times >= least)
-    if not len(often):
+        order = np.argsort(code, kind="stable")
+        code, by = code[order], at[order]
+    edge = np.ones(len(code) + 1, dtype=bool)
+    np.not_equal(code[1:], code[:-1], out=edge[1:-1])
+    first = np.flatnonzero(edge)
+    times, first = np.diff(first), first[:-1]
+    often = times >= least
+    if len(other):
+        often[-1] = False
+    order = np.flatnonzero(often)
+    if not len(order):
         return None
-    order = often[np.argsort(-times[often], kind="stable")]
-    none = np.int32(len(order))
-    rank_of = np.full(len(first), none, dtype=np.int32)
+    order = order[np.argsort(-times[order], kind="stable")]
+    rank_of = np.full(len(first), _NEVER)
     rank_of[order] = np.arange(len(order), dtype=np.int32)
-    rank = np.full(len(at), none, dtype=np.int32)
-    rank[by if where is None else where[by]] = np.repeat(rank_of, times)
-    pairs = own[by[first[order]]]
-    stays = rank < none
-    if len(other):  # the others of a run live as long as those that count
-        stays[other] = np.isin(pair[other], pairs)
-    return at[stays], rank[stays], pairs
+    rank_at[by + 1] = np.repeat(rank_of, times)
+    pairs = code[first[order]]
+    return at, follow, other, (pairs >> np.uint64(wide)) << np.uint64(32) | pairs & np.uint64((1 << wide) - 1)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = 6):
@@ -102,40 +118,51 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = 6):
     no pair occurs ``least`` times without overlap; with six, a rule (16 bytes with its
     size) is smaller than what it saves.
 
-    The sequence is a linked list over its first places.  A place of a rare pair is left
-    alone until one of its symbols is replaced, so a round costs as much as there are
-    places left.  A pair can become frequent again where a rule is used in several rounds:
-    when no place is left, all are looked at once more, until that finds none.
+    A place of a rare pair is left alone until one of its symbols is replaced, so a round
+    costs as much as there are places left.  While these are many, the sequence is written
+    anew after each round and neighbours lie side by side; then it is a linked list over
+    its places (``after``, ``before``, ``live``).  A pair can become frequent again where a
+    rule is used in several rounds: when no place is left, all are looked at once more,
+    until that finds none.
     """
-    n = len(ids)
     symbols, marks = ids.astype(np.uint32), ends.copy()
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-    live = np.ones(n, dtype=bool)
-    rank_at = np.full(n + 2, np.iinfo(np.int32).max, dtype=np.int32)  # by place + 1
+    marks[-1:] = True  # no pair goes on behind a document's end, nor behind the last id
+    after = before = live = None
+    rank_at = np.full(len(symbols) + 2, _NEVER)  # by place + 1
     halves: list[np.ndarray] = []
     sizes = [np.zeros(0, dtype=np.int64)]
     known, known_as = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)  # rules that may come again
     made = 0
-
-    def places(of: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(of)
-        return at[~marks[at] & (after[at] < n)]  # no pair goes on behind a document's end
-
-    at, every = places(live), True
+    at, every = np.flatnonzero(~marks), True
     while True:
-        found = _alive(symbols, after, at, least) if len(at) else None
+        found = _frequent(symbols, after, at, least, rank_at, made > 0) if len(at) else None
         if found is None:
             if every:
                 break
-            at, every = places(live), True
+            if after is not None:
+                symbols, marks, after = symbols[live], marks[live], None
+                rank_at = rank_at[: len(symbols) + 2]
+            at, every = np.flatnonzero(~marks), True
             continue
         every = False
-        at, rank, pairs = found
-        rank_at[at + 1] = rank
+        at, follow, other, pairs = found
+        n = len(symbols)
+        if after is None and 4 * len(at) < n:
+            after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+            live = np.ones(n, dtype=bool)
+        rank = rank_at[at + 1]
+        stays = rank < _NEVER
+        stays[other] = stays[other - 1]  # the others of a run live as long as those that count
         # More frequent than the pairs it overlaps.
-        free = (rank < len(pairs)) & (rank < rank_at[before[at] + 1]) & (rank < rank_at[after[at] + 1])
-        taken, which = at[free], rank[free]
-        rank_at[at + 1] = np.iinfo(np.int32).max
+        if after is None:
+            free = (rank_at[1:-1] < rank_at[:-2]) & (rank_at[1:-1] < rank_at[2:])
+            taken = np.flatnonzero(free)
+            which = rank_at[taken + 1]
+            rank_at.fill(_NEVER)
+        else:
+            free = (rank < rank_at[before[at] + 1]) & (rank < rank_at[follow + 1])
+            taken, which = at[free], rank[free]
+            rank_at[at + 1] = _NEVER
         # A pair that its neighbours leave too few places waits; the most frequent never does.
         spot = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
         is_known = known[spot] == pairs if len(known) else np.zeros(len(pairs), dtype=bool)
@@ -154,23 +181,34 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = 6):
         known, known_as = np.concatenate([known, pairs[fresh]]), np.concatenate([known_as, symbol[fresh]])
         by = np.argsort(known)
         known, known_as = known[by], known_as[by]
-        gone = after[taken].astype(np.int64)
         symbols[taken] = symbol[which]
+        gone = taken + 1 if after is None else after[taken].astype(np.int64)
         marks[taken] = marks[gone]
-        live[gone] = False
-        follow = after[gone]
-        after[taken] = follow
-        inside = follow < n
-        before[follow[inside]] = taken[inside]
-        watch = np.zeros(n, dtype=bool)
-        watch[at] = watch[taken] = True
-        ahead = before[taken]
-        watch[ahead[ahead >= 0]] = True
-        watch[gone] = False
-        at = places(watch)
-    kept = np.flatnonzero(live)
+        if after is None:
+            watch, kept = np.zeros(n, dtype=bool), np.ones(n, dtype=bool)
+            watch[at] = stays
+            watch[taken] = True
+            watch[taken[taken > 0] - 1] = True
+            kept[gone] = False
+            kept = np.flatnonzero(kept)
+            symbols, marks = symbols[kept], marks[kept]
+            at = np.flatnonzero(watch[kept] & ~marks)
+            rank_at = rank_at[: len(symbols) + 2]
+        else:
+            live[gone] = False
+            follow = after[gone]
+            after[taken] = follow
+            inside = follow < n
+            before[follow[inside]] = taken[inside]
+            ahead = before[taken]
+            at = np.concatenate([at[stays], taken, ahead[ahead >= 0]])
+            at = np.sort(at[live[at] & ~marks[at]])
+            at = at[np.diff(at, prepend=-1) > 0]
+    if after is not None:
+        symbols, marks = symbols[live], marks[live]
+    marks[-1:] = ends[-1:]
     rules = np.concatenate(halves) if halves else np.zeros((0, 2), dtype=np.uint32)
-    return symbols[kept], marks[kept], rules, np.concatenate(sizes)
+    return symbols, marks, rules, np.concatenate(sizes)
 
 
 def _size(symbols: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
@@ -277,6 +315,7 @@ _ARROW = pa.schema(
 
 
 def _write(path: str, end: int, shard_ids: int, options: dict, batches: Iterator[pa.RecordBatch]):
+    keep_freed()
     code = encoder(path)
     base, part, shard, docs, lengths, ids, held = code.size, 0, 0, [], [], [], 0
     for rows, texts in text_slices(batches, chars=4 * shard_ids):
@@ -313,7 +352,8 @@ def write_ids(
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .withColumn("part", F.spark_partition_id())
     )
-    ordered.mapInArrow(functools.partial(_write, tokenizer, end_id, shard_ids, options), FILE).write.parquet(path)
+    write = functools.partial(_write, tokenizer, end_id, shard_ids, options)
+    ordered.mapInArrow(giving_back(write), FILE).write.parquet(path)
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

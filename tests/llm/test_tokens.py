@@ -1,6 +1,7 @@
 """Token counts, packing and token files against the tokenizers library."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from reportloom.llm import packing, repair
+from reportloom.llm import packing, repair, vocab
 from reportloom.llm.token_counts import MergeCounter, token_counts
 from reportloom.llm.vocab import PieceEncoder
 
@@ -163,6 +164,40 @@ def test_grammar_ends_when_no_pair_is_frequent():
     assert max(seen.values()) < 6
 
 
+def test_places_of_rare_pairs_are_sieved_before_sorting():
+    rng = np.random.default_rng(6)
+    symbols = rng.integers(0, 1 << 16, 200_000).astype(np.uint32)
+    symbols[1000:1020] = np.tile([70_000, 70_001], 10)
+    at, rank_at = np.arange(len(symbols) - 1), np.full(len(symbols) + 2, repair._NEVER)
+    found, follow, other, pairs = repair._frequent(symbols, None, at, 6, rank_at, True)
+    assert 20 <= len(found) < len(at) / 20 and (follow == found + 1).all() and not len(other)
+    assert pairs.tolist() == [70_000 << 32 | 70_001, 70_001 << 32 | 70_000]
+    assert (np.flatnonzero(rank_at < repair._NEVER) == np.arange(1001, 1020)).all()
+
+
+def test_grammar_is_the_same_for_symbols_too_wide_to_pack():
+    rng = np.random.default_rng(7)
+    ids = np.repeat(rng.integers(0, 30, 3000), rng.integers(1, 6, 3000)).astype(np.uint32)
+    ends = rng.random(len(ids)) < 0.01
+    low, high = (repair.compress(ids, ends, base) for base in (30, 1 << 31))
+    assert (low[1] == high[1]).all() and (low[3] == high[3]).all() and len(low[2]) > 30
+    for a, b in zip(low[::2], high[::2]):
+        assert (np.where(a < 30, a, a + np.uint32((1 << 31) - 30)) == b).all()
+
+
+def test_byte_level_pieces_share_the_bytes_of_the_texts():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aZ .,é×÷Øɏɐ\n!?À;ı汉🙂1'\x01\x80¿", k=rng.randint(0, 14))) for _ in range(3000)]
+    given = pa.array(texts + ["", "a,b\nc d", " x"])
+    given = given.filter(vocab.byte_level_fits(given, []))
+    marked = [re.sub(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])|(?= )|(?=\n)|(?<=\n)", "\0", t).split("\0") for t in given.to_pylist()]
+    for part, want in ((given, marked), (given.slice(7, 900), marked[7:907]), (given.slice(3, 0), []), (pa.array(["", ""]), [[""]] * 2)):
+        pieces = vocab.cut_byte_level(part)
+        assert pieces.to_pylist() == [[p for p in w if p] for w in want]
+    assert vocab.cut_byte_level(given).values.buffers()[2].address == given.buffers()[2].address
+    assert [np.frombuffer(i, "<u4").tolist() for i in vocab.encoder(BYTES).ids(texts)] == [list(i) for i in library(BYTES, texts)]
+
+
 def test_token_files_of_odd_rows(spark, tmp_path):
     docs, path = documents(spark), str(tmp_path / "ids")
     repair.write_ids(docs, BYTES, path, shard_ids=500)
