@@ -250,3 +250,67 @@ def test_an_empty_mapping_is_empty_in_the_plan(spark):
     reports = spark.createDataFrame([("r", "m")], "primary_report_identifier string, mpi string")
     plan = identity.unmapped(reports, empty)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_known_sources_are_not_held_and_images_dealt_once(spark, tmp_path, monkeypatch):
+    made = []
+    persist = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: made.append(df.columns) or persist(df, *a))
+    table = MergeTable(spark, str(tmp_path / "t"), "id")
+    some = lambda n, v: spark.range(n).select(F.nullif("id", F.lit(3)).alias("id"), F.lit(v).alias("v"))
+    assert table.upsert(0, some(8, 1)) and table.upsert(1, some(10, 1))
+    assert not table.upsert(2, some(10, 1)) and table.upsert(3, some(5, 2)) and not made
+    kinds = table.changes().groupBy("_commit_version", "_change_type").count()
+    assert rows_of(kinds) == [(0, "insert", 8), (1, "insert", 2), (3, "update_postimage", 5)]
+    assert table.read().filter("v = 2").count() == 5 and table.read().count() == 10 and table._null_keys(table.changes())
+    # A log without NULL keys meets the source where its images lie by key already.
+    whole = MergeTable(spark, str(tmp_path / "w"), "id")
+    assert whole.upsert(0, spark.range(9).withColumn("v", F.lit(1))) and not whole._null_keys(whole.changes())
+    for null_keys, dealt in ((True, 3), (False, 2)):
+        rows = C.upsert_changes(whole.read().hint("merge"), spark.range(9).withColumn("v", F.lit(2)), "id", null_keys=null_keys)
+        assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash") == dealt
+
+
+@pytest.mark.parametrize("nulls", [True, False])
+def test_changes_of_a_replacement(spark, nulls):
+    rng = random.Random(6)
+    rows = lambda n: [(k, rng.choice(["a", "b", "c", "d", None]), rng.randrange(2), {"x": rng.randrange(2)}) for k in rng.sample(range(40), n)]
+    make = lambda data: spark.createDataFrame(data, "id int, g string, v int, m map<string,int>")
+    extra = [(None, "a", 1, None)] if nulls else []
+    old, new = make(rows(30) + extra).withColumn("was", F.lit(7)), make(rows(30) + extra).withColumn("w", F.lit("y"))
+    touched = spark.createDataFrame([("a",), ("b",), (None,), ("a",), ("z",)], "g string")
+    group = old.filter("g IN ('a', 'b') OR g IS NULL")
+    for preimages in (False, True):
+        want = C.change_rows(group, new, "id", preimages=preimages)
+        got = C.replace_changes(old, new, touched, "id", "g", preimages=preimages, null_keys=nulls)
+        assert got.columns == want.columns and want.count() > 20
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_are_hashed_as_they_are_written(spark, tmp_path):
+    tables = ReportTables(spark, str(tmp_path / "r"))
+    make = lambda n, **more: spark.range(n).select(F.col("id").cast("string").alias("source_file"), F.lit(2020).alias("year"), *[F.lit(v).alias(k) for k, v in more.items()])
+    assert tables.ingest(0, make(3, a="x", b="y")) and tables.ingest(1, make(4, a="x")) and not tables.ingest(2, make(2, a="x"))
+    log = tables.base.changes()
+    for version, reports in ((0, make(3, a="x", b="y")), (1, make(4, a="x").filter("source_file = '3'"))):
+        want = rows_of(C.with_content_hash(reports).select("source_file", C.CONTENT_HASH))
+        assert rows_of(log.filter(F.col("_commit_version") == version).select("source_file", C.CONTENT_HASH)) == want
+    assert log.columns[:6] == ["source_file", "year", "a", "b", C.CONTENT_HASH, "updated"]
+
+
+def test_components_settle_as_soon_as_they_are_stars(spark):
+    make = lambda edges: spark.createDataFrame(edges, "u string, v string")
+    assert identity._settled(make([("c", "a"), ("d", "a"), ("f", "e")])) and identity._settled(make([]))
+    assert not identity._settled(make([("c", "a"), ("c", "b")])) and not identity._settled(make([("c", "b"), ("b", "a")]))
+
+
+def test_a_batch_tells_what_it_changes_in_the_mapping(spark):
+    make = lambda rows: spark.createDataFrame(rows, "primary_report_identifier string, mpi string, epic_mrn string")
+    mapping = identity.build_mapping(make([("a", "m1", None), ("b", "m2", "e2"), ("c", "m3", None), ("d", None, None)]))
+    batch = make([("x", "m1", "e2"), ("y", "m3", None), ("b", "m2", "e2"), ("z", None, None)])
+    affected, added = identity.place_batch(mapping, batch)
+    old, new = identity.resolve_batch(mapping, batch)
+    assert sorted(r[0] for r in added.select("primary_report_identifier").collect()) == ["x", "y", "z"]
+    assert rows_of(identity.placed_history(affected)) == rows_of(identity.mapping_history(old, new))
+    want = C.upsert_changes(mapping, new, "primary_report_identifier")
+    assert rows_of(identity.placed_changes(affected, added)) == rows_of(want.select(*identity.MAPPING_COLUMNS, "_change_type"))
